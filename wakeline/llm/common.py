@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Text bytes that a kernel holds at once; a longer single document is held alone.
 CHUNK_BYTES = 2 << 20
 #: The words of every operator here: maximal runs without these bytes.
@@ -18,7 +20,8 @@ WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the session a checkpoint folder, unless the cluster names one."""
+    """Ship the package, and set a checkpoint folder unless the cluster names one."""
+    ship(spark)
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-ckpt-"))
 
@@ -36,6 +39,7 @@ def keyed(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
     numbers the rows in the order of (id, the other columns), nulls last, and is
     checkpointed so that later stages see the same numbers.
     """
+    prepare(df.sparkSession)
     out = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(k) for k, c in columns.items()])
     whole = isinstance(out.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     if whole:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_counts
+from . import minhash, mixing, sharding, token_counts
 
-_MODULES = [mixing, sharding, token_counts]
+_MODULES = [minhash, mixing, sharding, token_counts]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, chunks
+from .common import batch_of, chunks, prepare
 
 #: Pre-tokens of the byte-level vocabularies (a fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     gives an empty result; a very long text is counted whole.
     """
     spark = docs.sparkSession
+    prepare(spark)
     table = spark.sparkContext.broadcast(MergeTable(tokenizer_file))
 
     def count(batches):
