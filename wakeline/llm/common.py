@@ -128,9 +128,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((sums[stop] - sums[start]) * back[start])
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of terms: ASCII letters and digits and all bytes of other characters.
+IS_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row limits (in words, rows + 1) of the words of each row."""
-    word = _IS_WORD[data]
+    word = inside[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
     prev = np.empty(len(data), bool)
@@ -145,10 +149,10 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(col: pa.Array, lower: bool = True, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of each row, and the row limits in words."""
     data, offs = utf8(col)
-    starts, ends, limits = word_spans(data, offs)
+    starts, ends, limits = word_spans(data, offs, inside)
     return span_hash(prefix_sums(data, lower), starts, ends), limits
 
 
