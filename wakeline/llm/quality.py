@@ -20,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, cut, keyed, row_sums, utf8
+from .common import batch_of, chunks, cut, keyed, row_sums, table, utf8
 
 #: Bytes of an n-gram; a text begins with ORDER - 1 bytes 2 and ends with a byte 3.
 ORDER = 5
 #: Text bytes of a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 16 << 20
+#: Text bytes that are counted at once.
+PART_BYTES = 4 << 20
+#: Trusted ids up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
 HELD_OUT = 0.25
 #: The quantile of a language, and the factor above it at which a document is rejected.
@@ -60,7 +64,7 @@ def _count(batches):
     """Distinct n-grams of each chunk with their counts."""
     schema = pa.schema([("g", pa.int64()), ("c", pa.int64())])
     for batch in batches:
-        for part in chunks(batch, "text", BLOCK_BYTES):
+        for part in chunks(batch, "text", PART_BYTES):
             g, c = np.unique(grams(part.column("text"))[0], return_counts=True)
             yield batch_of(schema, g.astype(np.int64), c)
 
@@ -71,7 +75,7 @@ def _ask(batches):
     for batch in batches:
         blocks = batch.column("block").to_numpy(zero_copy_only=False)
         for b in np.unique(blocks):
-            for part in chunks(batch.filter(pa.array(blocks == b)), "text", BLOCK_BYTES):
+            for part in chunks(batch.filter(pa.array(blocks == b)), "text", PART_BYTES):
                 g = np.unique(grams(part.column("text"))[0])
                 yield batch_of(schema, np.full(len(g), b, np.int64), g.astype(np.int64))
 
@@ -137,7 +141,7 @@ def perplexities(rows: DataFrame, tables: CountTables) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).repartition(int(blocks), "block")
-    asked = cut(rows.select("block", "text").mapInArrow(_ask, "block long, g long").distinct())
+    asked = table(rows.select("block", "text").mapInArrow(_ask, "block long, g long").distinct())
     found = asked.join(tables.log_probabilities(asked.select("g").distinct()), "g").select("block", "g", "logp")
     scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, "rid long, n long, logp double")
     return scored.select("rid", "n", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"))
@@ -155,6 +159,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     rows = keyed(docs, id_col, text=text_col, lang=lang_col).withColumn("text", F.coalesce("text", F.lit("")))
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     trusted = rows.join(good, "id", "left_semi").withColumn("held", F.pmod(F.xxhash64(F.lit("held out"), F.col("rid")), F.lit(1000)) < int(1000 * HELD_OUT))
     tables = CountTables(trusted.filter("not held"))
     scored = cut(perplexities(rows.select("rid", "text"), tables))
