@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import vessel_queries
+
+_MODULES = [vessel_queries]
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
