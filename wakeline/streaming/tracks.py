@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.reports import KM_PER_NM, MAX_SPEED_KN
 from ..session import ship
 
+SHIFT_US = 5_000_000_000_000_000
 _OUT = "mmsi string, pos long, t_us long, lon double, lat double, rejected string"
 _STATE = "t_us long, lon double, lat double"
 
@@ -48,7 +49,8 @@ def clean_stream(reports: DataFrame, late: str = "2 hours") -> DataFrame:
     duplicate filter's own state.
     """
     ship(reports.sparkSession)
-    timed = reports.withColumn("at", F.timestamp_micros("t_us")).withWatermark("at", late).dropDuplicatesWithinWatermark(["mmsi", "pos"])
+    # a watermark begins at 1970 and drops what is not after it: shifted, so that reports of any year pass
+    timed = reports.withColumn("at", F.timestamp_micros(F.col("t_us") + SHIFT_US)).withWatermark("at", late).dropDuplicatesWithinWatermark(["mmsi", "pos"])
     return timed.select("mmsi", "pos", "t_us", "lon", "lat").groupBy("mmsi").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
