@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, keyed, table
 
 DEPTH, LEAST_DOCS, AGREE = 3, 10, 0.7
+#: Leaves of several lines are broadcast up to this many, so lines of other leaves are not shuffled; more are joined by a shuffle.
+BROADCAST_LEAVES = 500_000
 
 
 def masked(line):
@@ -44,12 +46,15 @@ def _tree(lines: DataFrame) -> DataFrame:
 def recurring(rows: DataFrame, least_docs: int = LEAST_DOCS, agree: float = AGREE) -> DataFrame:
     """h1, h2 of the masked lines whose template recurs."""
     lines = _tree(_lines(rows))
-    counts = cut(lines.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")))
+    counts = table(lines.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")))
     leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("variants"))
     mixed = cut(leaves.filter((F.col("variants") > 1) & (F.col("leaf_docs") >= least_docs)).select("leaf", "leaf_docs"))
-    own = cut(lines.join(mixed.select("leaf"), "leaf", "left_semi").select("rid", "leaf", "h1", "h2", "m"))
+    asked = mixed.select("leaf")
+    if asked.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+        asked = F.broadcast(asked)
+    own = table(lines.join(asked, "leaf", "left_semi").select("rid", "leaf", "h1", "h2", "m"))
     variants = own.groupBy("leaf", "h1", "h2").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("docs"))
-    spread = cut(variants.select("leaf", "h1", "h2", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")))
+    spread = table(variants.select("leaf", "h1", "h2", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")))
     fixed = spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).join(mixed, "leaf").filter("2 * n > leaf_docs").select("leaf", "pos", "token")
     same = spread.join(fixed.withColumn("hit", F.lit(1)), ["leaf", "pos", "token"], "left").groupBy("leaf", "h1", "h2").agg((F.count("hit") >= F.lit(agree) * F.count(F.lit(1))).alias("in"))
     inside = cut(same.filter("in").select("leaf", "h1", "h2"))
