@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,14 +138,20 @@ class CountTables:
 
 
 def perplexities(rows: DataFrame, tables: CountTables) -> DataFrame:
-    """rid, n, perplexity of rows (rid, text); n counts bytes and the stop."""
+    """rid, n, perplexity of rows (rid, text); n counts bytes and the stop.
+
+    The result is checkpointed: the texts are shuffled to their blocks once and kept
+    (in memory, else on disk) only until then.
+    """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).repartition(int(blocks), "block")
+    rows = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).repartition(int(blocks), "block").persist(StorageLevel.MEMORY_AND_DISK)
     asked = table(rows.select("block", "text").mapInArrow(_ask, "block long, g long").distinct())
     found = asked.join(tables.log_probabilities(asked.select("g").distinct()), "g").select("block", "g", "logp")
     scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, "rid long, n long, logp double")
-    return scored.select("rid", "n", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"))
+    out = cut(scored.select("rid", "n", F.exp(-F.col("logp") / F.col("n")).alias("perplexity")))
+    rows.unpersist()
+    return out
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -163,7 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         good = F.broadcast(good)
     trusted = rows.join(good, "id", "left_semi").withColumn("held", F.pmod(F.xxhash64(F.lit("held out"), F.col("rid")), F.lit(1000)) < int(1000 * HELD_OUT))
     tables = CountTables(trusted.filter("not held"))
-    scored = cut(perplexities(rows.select("rid", "text"), tables))
+    scored = perplexities(rows.select("rid", "text"), tables)
     known = trusted.filter("held").select("rid", "lang").join(scored, "rid")
     steady = F.col("perplexity") * F.exp(-SHORT / F.sqrt("n"))
     by_lang = known.groupBy("lang").agg(F.percentile_approx(steady, F.lit(quantile), F.lit(10_000)).alias("q"), F.count(F.lit(1)).alias("m")).filter(f"m >= {LEAST_TRUSTED}")
