@@ -111,14 +111,14 @@ class CountTables:
         self.grams, self.contexts, self.discounts = {}, {}, {}
         top = trusted.select("text").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
         for n in range(ORDER, 0, -1):
-            self.grams[n] = top = cut(top)
+            self.grams[n] = top = table(top)
             counts = {r.c: r.n for r in top.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
             n1, n2, n3, n4 = (float(counts.get(i, 0)) for i in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
             self.discounts[n] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
             one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-            self.contexts[n] = cut(top.groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("total"), one(F.col("c") == 1).alias("n1"), one(F.col("c") == 2).alias("n2"), one(F.col("c") > 2).alias("n3")))
+            self.contexts[n] = table(top.groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("total"), one(F.col("c") == 1).alias("n1"), one(F.col("c") == 2).alias("n2"), one(F.col("c") > 2).alias("n3")))
             # lower orders count the distinct bytes that precede
             top = top.groupBy(suffix(F.col("g"), n - 1).alias("g")).agg(F.count(F.lit(1)).alias("c"))
 
