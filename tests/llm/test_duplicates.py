@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from corpus import components, edited, frame, prose, rows
+from corpus import WORDS, components, edited, frame, prose, rows
 from pyspark.sql import functions as F
 
 from wakeline.llm.embedding_dedup import near_vectors
@@ -43,6 +43,17 @@ def test_one_large_group_of_near_copies(spark):
     assert got == brute_components(data, 2)
 
 
+def test_many_short_texts_of_frequent_shingles(spark):
+    """Crowded buckets whose hub tells nothing about most members."""
+    rng = random.Random(11)
+    base = [[rng.choice(WORDS[:6]) for _ in range(rng.randint(8, 13))] for _ in range(800)]
+    texts = base + [b + [rng.choice(WORDS[:6])] for b in base[::8]]
+    rng.shuffle(texts)
+    data = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=2).collect()}
+    assert got == brute_components(data, 2)
+
+
 def test_rows_without_a_key_of_their_own(spark):
     data = [(1, "a b c", None, None, None), (1, "a b c", None, None, None), (None, "a b c", None, None, None), (None, None, None, None, None)]
     got = near_duplicates(frame(spark, data), k=2).collect()
