@@ -9,52 +9,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.llm.common import table
 from wakeline.llm.decontamination import decontaminate
 from wakeline.llm.minhash import near_duplicates
-from wakeline.llm.mixing import mix
+from wakeline.llm.mixing import hash60, mix, word_count
 from wakeline.llm.quality import quality
 from wakeline.llm.sharding import shard
 
 SHARDS = 24
+#: The mix draws by hashes of this seed.
+SEED = 7
 #: Rows to drop up to this many are broadcast as ids; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped (null ids are matched as equal)."""
-    dropped = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key ``_row`` of each row, and whether that is doc_id; else rows are numbered by doc_id and text, nulls last."""
+    if isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+            return docs.withColumn("_row", F.col("doc_id").cast("long")), True
+    order = F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()
+    return table(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())), False
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows without those whose key an operator, run with the key as id, returned in dropped."""
+    dropped = table(dropped.select(F.col("doc_id").alias("_row")))
     if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model does not reject (of rows that share an id, all or none)."""
-    judged = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, table(judged.filter("rejected").select("doc_id")))
+    """Documents that the quality model does not reject; a label counts for every row of its id."""
+    rows, is_id = _with_key(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    labels = labels.withColumnRenamed("doc_id", "_row") if is_id else labels.join(rows.select("doc_id", "_row"), "doc_id").select("_row", "quality")
+    return _without(rows, quality(rows, labels, id_col="_row").filter("rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    found = near_duplicates(docs, k=5)
-    return _without(docs, table(found.filter("doc_id <> component_id").select("doc_id")))
+    rows, _ = _with_key(docs)
+    return _without(rows, near_duplicates(rows, k=5, id_col="_row").filter("not kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, table(found.filter("contaminated").select("doc_id")))
+    rows, _ = _with_key(docs)
+    return _without(rows, decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").filter("contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, as often as it takes them (once or twice)."""
-    taken = table(mix(docs).filter("size > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")))
+    # a row's source and hash decide how often it is taken
+    taken = table(mix(docs, seed=SEED).filter("size > 0").select(F.col("source").alias("_source"), F.col("h").alias("_h"), (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct())
     small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    right = taken.withColumnRenamed("doc_id", "_id")
-    out = docs.join(F.broadcast(right) if small else right, docs.doc_id.eqNullSafe(F.col("_id")), "left")
     # rows without words weigh nothing in the mix and stay once
+    rows = docs.withColumn("_key", F.when(word_count(F.col("text")) > 0, hash60(SEED, F.col("doc_id"), F.col("text"))))
+    out = rows.join(F.broadcast(taken) if small else taken, (F.col("_key") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     out = out.withColumn("_copies", F.sequence(F.lit(1), F.lit(2))).withColumn("_copies", F.slice("_copies", 1, F.coalesce("times", F.lit(1))))
     return out.withColumn("_copy", F.explode("_copies")).select(*docs.columns)
 

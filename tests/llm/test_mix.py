@@ -1,11 +1,12 @@
 """Mixing, sharding and the pipeline."""
 
+import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
-from corpus import frame, rows
+from corpus import frame, prose, rows
 
 from wakeline.llm.mixing import mix
 from wakeline.llm.sharding import shard
@@ -83,3 +84,23 @@ def test_pipeline_runs_whole(spark, tmp_path):
     spark.createDataFrame([(r[0], 1, 0) for r in rows()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert bench[0] not in got and set(got) <= {r[0] for r in rows()} and got
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Rows without an id or with a repeated one are documents of their own in the first three stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(300)]
+    junk = "".join(chr(rng.randint(33, 126)) for _ in range(300))
+    spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, texts[3])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = lambda data: frame(spark, [(i, t, "en", s, None) for i, t, s in data]).drop("rid")
+    left = lambda stage, data: Counter((r.doc_id, r.text) for r in stage(spark, docs(data), str(tmp_path)).collect())
+    known = [(i, t, "web") for i, t in enumerate(texts)]
+    odd = [(None, junk, "web"), (None, prose(rng, 60), "web"), (1000, junk[::-1], "web"), (1000, prose(rng, 60), "web")]
+    got = left(corpus_pipeline.quality_stage, known + odd)
+    assert got[odd[1][:2]] == 1 and got[odd[3][:2]] == 1 and not got[odd[0][:2]] and not got[odd[2][:2]]
+    data = [(1, texts[1], "web"), (1, texts[1], "web"), (None, texts[2], "web"), (None, texts[2], "web"), (None, texts[3], "web"), (1, texts[4], "web")]
+    want = Counter({(1, texts[1]): 1, (None, texts[2]): 1, (None, texts[3]): 1, (1, texts[4]): 1})
+    assert left(corpus_pipeline.near_duplicate_stage, data) == want
+    assert left(corpus_pipeline.decontamination_stage, data) == Counter((i, t) for i, t, _ in data if t != texts[3])
