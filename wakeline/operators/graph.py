@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..session import cut
 
+#: Rounds after which components gives up with an error; each one at least halves the longest path to a root.
+MOST_ROUNDS = 200
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for every node of a link (columns a, b).
 
     Alternates two steps until nothing changes: every node hands its smallest
     neighbour to its larger neighbours, then to its smaller ones.  Minima combine on
     the map side and the joins can be split by AQE, so a node of very many links is
-    not one task's work.  Null ends are left out; repeated links count once.
+    not one task's work.  Null ends are left out; repeated links count once.  The
+    result is complete: if it does not settle, an error is raised.
     """
     pairs = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = cut(pairs.distinct())
     last = None
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         # larger neighbours of u get the smallest of u's neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -30,6 +34,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

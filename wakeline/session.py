@@ -1,14 +1,17 @@
-"""What a session needs before it runs this library's Python kernels."""
+"""What a session needs before it runs this library's Python kernels, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_tables: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +26,59 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(home.rglob("*.py")):
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(str(target))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and make sure of a checkpoint folder: the one the cluster names, or a local one on a local master only."""
+    ship(spark)
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() is not None:
+        return
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-ckpt-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write to the shared checkpoint folder and go on from there."""
+    prepare(df.sparkSession)
+    return df.checkpoint()
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Like cut, as a compressed table in the checkpoint folder, for frames of many small rows.
+
+    It goes with ``free``, or when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{top}/wakeline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(_free_all)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wakeline_path = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete tables whose last reader is done."""
+    for df in frames:
+        path = getattr(df, "_wakeline_path", None)
+        if path in _tables:
+            _delete(_tables.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _free_all() -> None:
+    for path, spark in _tables.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
