@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import cut, free, prepare, table  # noqa: F401
 
 #: Text bytes that a kernel holds at once; a longer single document is held alone.
 CHUNK_BYTES = 2 << 20
@@ -21,48 +17,6 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Ship the package, and set a checkpoint folder unless the cluster names one."""
-    ship(spark)
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
-
-
-_tables: list = []
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Like cut, as a compressed table in the checkpoint folder, for frames of many small rows.
-
-    The folder goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    prepare(spark)
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{top}/wakeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _tables:
-        atexit.register(_drop_tables)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_tables() -> None:
-    for spark, path in _tables:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
 def keyed(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
     """Columns ``rid`` (unique, not null), ``id`` and the ones asked for, under their new names.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, cut, keyed, mix
-from .graph import components
+from ..operators.graph import components
 
 TABLES, CELLS, WIDTH = 40, 8, 1.0
 
