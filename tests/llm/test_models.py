@@ -2,14 +2,16 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pytest
 from corpus import edited, frame, prose, rows
 from tokenizers import Tokenizer
 
 from wakeline.llm.decontamination import decontaminate
-from wakeline.llm.quality import ORDER, CountTables, quality
+from wakeline.llm.quality import PRIOR, QUANTILE, SHORT, Model, perplexities, quality
 from wakeline.llm.token_counts import token_counts
 from wakeline.llm.toxicity import score, train
 
@@ -25,44 +27,81 @@ def test_token_counts_match_the_library(spark):
 
 
 def brute_perplexity(trusted, texts):
-    """Interpolated modified Kneser-Ney over bytes, with dictionaries."""
-    pad = lambda t: [2] * (ORDER - 1) + [32 if 9 <= b <= 13 else b for b in t.encode()] + [3]
-    grams = lambda t: [tuple(pad(t)[i : i + ORDER]) for i in range(len(t.encode()) + 1)]
-    counts = {ORDER: Counter(g for t in trusted for g in grams(t))}
-    for n in range(ORDER - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    disc, ctx = {}, {}
-    for n, c in counts.items():
+    """Interpolated modified Kneser-Ney over pairs of words, with dictionaries."""
+    pairs = lambda t: list(zip(["<s>", *(w := re.findall(r"[^\x20\x09-\x0D]+", t))], [*w, "</s>"]))
+    two = Counter(p for t in trusted for p in pairs(t))
+    one = Counter(w for _, w in two)
+
+    def off(c):
         n1, n2, n3, n4 = (float(sum(v == i for v in c.values())) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        disc[n] = [0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))]
-        ctx[n] = defaultdict(list)
-        for g, v in c.items():
-            ctx[n][g[:-1]].append(v)
-
-    def p(g):
-        q = 1 / 256
-        for n in range(1, ORDER + 1):
-            h, d = g[-n:], disc[n]
-            if seen := ctx[n].get(h[:-1]):
-                c = counts[n].get(h, 0)
-                q = (c - d[min(c, 3)]) / sum(seen) + sum(d[min(v, 3)] for v in seen) / sum(seen) * q
+        return [0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))]
+
+    d2, d1, every, after = off(two), off(one), sum(one.values()), defaultdict(list)
+    for (h, _), v in two.items():
+        after[h].append(v)
+    left = sum(d1[min(v, 3)] for v in one.values()) / every
+
+    def p(h, w):
+        q = (one[w] - d1[min(one[w], 3)]) / every + left / (len(one) + 1)
+        if seen := after.get(h):
+            c = two[h, w]
+            q = (c - d2[min(c, 3)]) / sum(seen) + sum(d2[min(v, 3)] for v in seen) / sum(seen) * q
         return q
 
-    return [math.exp(-sum(math.log(p(g)) for g in grams(t)) / len(grams(t))) for t in texts]
-
+    return [math.exp(-sum(math.log(p(*x)) for x in pairs(t)) / len(pairs(t))) for t in texts]
 
-def test_perplexities_match_brute_force(spark):
-    from wakeline.llm.quality import perplexities
 
-    data = [r for r in rows(n=40) if len(r[1] or "") < 2000]
+@pytest.mark.parametrize("shards", [1, 3])
+def test_perplexities_match_brute_force(spark, shards, monkeypatch):
+    monkeypatch.setattr("wakeline.llm.quality.BLOCK_BYTES", 3000)  # here, in the driver: blocks of the executors stay large
+    data = [r for r in rows(n=60) if len(r[1] or "") < 60_000]
     texts = [(i, r[1] or "") for i, r in enumerate(data)]
-    df = spark.createDataFrame(texts, "rid long, text string")
-    got = {r.rid: r.perplexity for r in perplexities(df, CountTables(df.filter("rid % 2 = 0"))).collect()}
+    df = spark.createDataFrame(texts, "rid long, text string").repartition(3, "rid")
+    got = {r.rid: (r.n, r.perplexity) for r in perplexities(df, Model(df.filter("rid % 2 = 0"), shards)).collect()}
     want = brute_perplexity([t for i, t in texts if i % 2 == 0], [t for _, t in texts])
     assert len(got) == len(texts)
-    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+    assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", texts[i][1])) + 1 and math.isclose(p, want[i], rel_tol=1e-9) for i, (n, p) in got.items())
+
+
+def test_quality_limits_by_language(spark):
+    """Limits, and what they reject, recomputed from the perplexities: one language has few trusted rows, one none."""
+    rng = random.Random(8)
+    lang = lambda i: "xx" if i >= 580 else "fr" if i % 30 == 0 else None if i % 7 == 0 else "en"
+    data = [(i, prose(rng, rng.randint(0, 70)) if i % 9 else "".join(chr(rng.randint(33, 126)) + " " * (j % 4 == 0) for j in range(200)), lang(i), "web", None) for i in range(600)]
+    data += [(3, data[3][1], "en", "web", None), (None, None, None, None, None), (None, prose(rng, 30), "fr", None, None)]
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(580)], "doc_id long, quality int")
+    got = quality(frame(spark, data), labels)
+    ids = {r[0]: r[1] for r in got.join(frame(spark, data).select("doc_id").distinct(), "doc_id").select("doc_id", "rid").collect()}
+    assert len(ids) >= 600 and got.count() == len(data)
+    held = {r.rid for r in spark.createDataFrame([(r.rid,) for r in got.collect()], "rid long").filter("pmod(xxhash64('held out', rid), 1000) < 250").collect()}
+    out = got.collect()
+    n = {r.rid: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for r, t in _texts_of(out, data)}
+    of = {r.rid: l for r, l in _langs_of(out, data)}
+    steady = {r.rid: math.log(r.perplexity) - SHORT / math.sqrt(n[r.rid]) for r in out}
+    known = [r for r in out if r.rid in held and r.doc_id is not None and r.doc_id < 580 and r.doc_id % 9]
+    quantile = lambda v: sorted(v)[max(math.ceil(QUANTILE * len(v)) - 1, 0)]
+    every = quantile([steady[r.rid] for r in known])
+    for r in out:
+        own = [steady[x.rid] for x in known if of[x.rid] == of[r.rid]]
+        limit = (quantile(own) * len(own) + every * PRIOR) / (len(own) + PRIOR) if own else every
+        assert math.isclose(math.log(r.limit), limit + SHORT / math.sqrt(n[r.rid]), rel_tol=1e-9)
+        assert r.rejected == (r.perplexity > r.limit)
+
+
+def _paired(out, data, column):
+    """Rows of the result with the input row they come from: both in the order of (id, text, lang), nulls last."""
+    key = lambda r: tuple((x is None, x or 0 if i == 0 else x or "") for i, x in enumerate((r[0], r[1], r[2])))
+    return [(r, d[column]) for r, d in zip(sorted(out, key=lambda r: r.rid), sorted(data, key=key))]
+
+
+def _texts_of(out, data):
+    return _paired(out, data, 1)
+
+
+def _langs_of(out, data):
+    return _paired(out, data, 2)
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):

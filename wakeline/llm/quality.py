@@ -1,185 +1,389 @@
-"""Quality by an interpolated modified Kneser-Ney model of byte n-grams.
+"""Quality by an interpolated modified Kneser-Ney model of word n-grams (pairs and single words).
 
 The model is trained on trusted text and scores every document by its perplexity;
 a document is rejected if that lies above a quantile of its language, taken over
 trusted documents that the counts do not hold.
 
-Counts: map tasks sum the n-grams of their own texts before anything is shuffled,
-and lower orders come from the distinct n-grams by grouped counts (continuation
-counts).  Scores: documents fall into blocks by id; each block asks for its distinct
-n-grams only, the n-grams are joined shard by shard (by hash) with the count tables
-of every order, and the probabilities go back to their block, where whole texts are
-scored.  Neither the counts nor the probabilities pass through the driver, no table
-that grows is broadcast, and a block is a few MB of text whatever the input.
+Counts: map tasks sum the word pairs of their own texts before anything is shuffled;
+shards of pairs (by hash) add them up, and the lower order comes from the distinct
+pairs (continuation counts, and for each first word how its followers are counted),
+again by shards.  Scores: a task asks each shard for the distinct pairs and words of
+some megabytes of its text, the shards answer, and the answers come back to the task's
+own place in the input, so texts are read twice and never shuffled.  Asked keys travel
+sorted, as differences in byte planes, which takes about three bytes each.  No count
+passes through the driver (it sees sums of counts of counts), nothing that grows is
+broadcast, and the number of shards grows with the text.
+
+Words are hashed to 48 bits; in a shard, pairs are told apart by 40 further bits, so
+with a million pairs in a shard one question in a million gets another pair's count.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch_of, chunks, cut, keyed, row_sums, table, utf8
+from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, word_hashes
 
-#: Bytes of an n-gram; a text begins with ORDER - 1 bytes 2 and ends with a byte 3.
-ORDER = 5
-#: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
-#: Text bytes that are counted at once.
-PART_BYTES = 4 << 20
+#: Text bytes that a task counts, or asks about, at once; and of a shard.
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
 #: Trusted ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
 HELD_OUT = 0.25
-#: The quantile of a language, and the factor above it at which a document is rejected.
-QUANTILE, MARGIN = 0.99, 1.1
-LEAST_TRUSTED = 30
-#: A text of n bytes may lie above its limit by the factor exp(SHORT / sqrt(n)): short texts vary more.
+#: The quantile of a language's held-out documents, and how many documents the quantile of all languages counts for beside them.
+QUANTILE, PRIOR = 0.995, 30
+#: The log perplexity of a text of n words scatters by about SHORT / sqrt(n): limits are set, and held, with that allowance.
 SHORT = 2.0
-_MASK = [np.uint64((1 << (8 * n)) - 1) for n in range(9)]
+START, STOP = np.uint64(1), np.uint64(2)
+_LOW40, _LOW48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
 
 
-def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-byte n-grams of each row as numbers (last byte lowest), and row limits.
+def squeeze(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes as compressed byte planes."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
-    White space of any kind counts as one blank byte each; every row ends with a stop.
-    """
-    data, offs = utf8(col)
-    rows, size = len(offs) - 1, np.diff(offs)
-    pad = ORDER  # ORDER - 1 starts and one stop
-    out = np.full(len(data) + rows * pad, 2, np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(rows) * pad + ORDER - 1, size)
-    out[at] = np.where((data >= 9) & (data <= 13), np.uint8(32), data)
-    ends = np.cumsum(size + pad)
-    out[ends - 1] = 3
-    key = np.zeros(len(out), np.uint64)
-    for j in range(ORDER):
-        key[ORDER - 1 :] |= out[ORDER - 1 - j : len(out) - j].astype(np.uint64) << np.uint64(8 * j)
-    take = np.arange(len(data) + rows) + np.repeat(np.arange(rows) * (ORDER - 1) + ORDER - 1, size + 1)
-    return key[take], np.concatenate([[0], np.cumsum(size + 1)])
-
-
-def _count(batches):
-    """Distinct n-grams of each chunk with their counts."""
-    schema = pa.schema([("g", pa.int64()), ("c", pa.int64())])
-    for batch in batches:
-        for part in chunks(batch, "text", PART_BYTES):
-            g, c = np.unique(grams(part.column("text"))[0], return_counts=True)
-            yield batch_of(schema, g.astype(np.int64), c)
+
+def expand(blob: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = pa.Codec("zstd", 1).decompress(blob[8:], n * width, asbytes=True) if n else b""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Sorted 40-bit keys."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)), 5)
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, 5), dtype=np.uint64)
+
+
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit word hashes of each row and a STOP after the last one, and row limits.  Case counts."""
+    h, limits = word_hashes(col, False)
+    h = (h >> np.uint64(16)) | np.uint64(4)  # never START or STOP
+    return np.insert(h, limits[1:], STOP), limits + np.arange(len(limits))
+
+
+def before(w: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The word before each word, START at the head of a row."""
+    out = np.empty_like(w)
+    out[1:] = w[:-1]
+    out[limits[:-1]] = START
+    return out
 
 
-def _ask(batches):
-    """The distinct n-grams of each block (a chunk may hold a part of a block)."""
-    schema = pa.schema([("block", pa.int64()), ("g", pa.int64())])
+def place(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and 40-bit key of hashes."""
+    return ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), h & _LOW40
+
+
+def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(h) + w)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _blocks(batches, columns: tuple):
+    """Lists of parts of about BLOCK_BYTES of text, each a tuple of the columns asked for."""
+    held, size = [], 0
     for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        for b in np.unique(blocks):
-            for part in chunks(batch.filter(pa.array(blocks == b)), "text", PART_BYTES):
-                g = np.unique(grams(part.column("text"))[0])
-                yield batch_of(schema, np.full(len(g), b, np.int64), g.astype(np.int64))
-
-
-def _score(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("logp", pa.float64())])
-    g, lp = (found.column(c).to_numpy() for c in ("g", "logp"))
-    order = np.argsort(g)
-    g, lp = g[order], lp[order]
-    out = []
-    for batch in docs.to_batches():
         for part in chunks(batch, "text"):
-            k, limits = grams(part.column("text"))
-            value = lp[np.searchsorted(g, k.astype(np.int64))]
-            out.append(batch_of(schema, part.column("rid"), np.diff(limits), row_sums(value, limits)))
-    return pa.Table.from_batches(out, schema)
+            n = part.column("text").nbytes
+            if held and size + n > BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+            held.append(tuple(part.column(c) for c in columns))
+            size += n
+    if held:
+        yield held
+
+
+_COUNTED = pa.schema([("shard", pa.int32()), ("h", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
 
 
-def suffix(g, n: int):
-    """The last n bytes of an n-gram."""
-    return g.bitwiseAND(F.lit((1 << (8 * n)) - 1))
+def _sum_pairs(h, w, c):
+    order = np.lexsort((w, h))
+    h, w, c = h[order], w[order], c[order]
+    heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, int)
+    return h[heads], w[heads], (np.add.reduceat(c, heads) if len(h) else c)
 
 
-class CountTables:
-    """Count tables of each order from 1 to ORDER, as DataFrames on the shared checkpoint folder.
+def _count(shards: int):
+    """Distinct pairs of each block with their counts, packed by shard."""
 
-    ``grams[n]``: g, c; ``contexts[n]``: h (the first n - 1 bytes), total, n1, n2, n3;
-    ``discounts[n]``: the three discounts (a few numbers, gathered on the driver).
-    """
+    def run(batches):
+        for block in _blocks(batches, ("text",)):
+            parts = [_sum_pairs(before(*x), x[0], np.ones(len(x[0]), np.int64)) for x in (words(t) for (t,) in block)]
+            h, w, c = _sum_pairs(*(np.concatenate(x) for x in zip(*parts)))
+            order, ends = _by_shard(place(pair_hash(h, w), shards)[0], shards)
+            out = [[], [], [], []]
+            for s in np.flatnonzero(np.diff(ends)):
+                at = order[ends[s] : ends[s + 1]]
+                for o, x in zip(out, (int(s), squeeze(h[at], 6), squeeze(w[at], 6), squeeze(c[at], 8))):
+                    o.append(x)
+            yield batch_of(_COUNTED, *out)
 
-    def __init__(self, trusted: DataFrame):
-        self.grams, self.contexts, self.discounts = {}, {}, {}
-        top = trusted.select("text").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-        for n in range(ORDER, 0, -1):
-            self.grams[n] = top = table(top)
-            counts = {r.c: r.n for r in top.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-            n1, n2, n3, n4 = (float(counts.get(i, 0)) for i in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-            self.discounts[n] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
-            one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-            self.contexts[n] = table(top.groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("total"), one(F.col("c") == 1).alias("n1"), one(F.col("c") == 2).alias("n2"), one(F.col("c") > 2).alias("n3")))
-            # lower orders count the distinct bytes that precede
-            top = top.groupBy(suffix(F.col("g"), n - 1).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-
-    def log_probabilities(self, asked: DataFrame) -> DataFrame:
-        """asked (distinct g): adds logp, the natural logarithm of the interpolated probability."""
-        out = asked.withColumn("p", F.lit(1.0 / 256))
-        for n in range(1, ORDER + 1):
-            d1, d2, d3 = self.discounts[n]
-            out = out.withColumn("_g", suffix(F.col("g"), n)).withColumn("_h", F.shiftright("_g", 8))
-            out = out.join(self.grams[n].select(F.col("g").alias("_g"), "c"), "_g", "left")
-            out = out.join(self.contexts[n].withColumnRenamed("h", "_h"), "_h", "left")
-            c = F.coalesce("c", F.lit(0))
-            cut_off = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-            left = (F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")
-            out = out.select("g", F.when(F.col("total").isNull(), F.col("p")).otherwise((c - cut_off) / F.col("total") + left * F.col("p")).alias("p"))
-        return out.select("g", F.log("p").alias("logp"))
-
-
-def perplexities(rows: DataFrame, tables: CountTables) -> DataFrame:
-    """rid, n, perplexity of rows (rid, text); n counts bytes and the stop.
-
-    The result is checkpointed: the texts are shuffled to their blocks once and kept
-    (in memory, else on disk) only until then.
-    """
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).repartition(int(blocks), "block").persist(StorageLevel.MEMORY_AND_DISK)
-    asked = table(rows.select("block", "text").mapInArrow(_ask, "block long, g long").distinct())
-    found = asked.join(tables.log_probabilities(asked.select("g").distinct()), "g").select("block", "g", "logp")
-    scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, "rid long, n long, logp double")
-    out = cut(scored.select("rid", "n", F.exp(-F.col("logp") / F.col("n")).alias("perplexity")))
-    rows.unpersist()
-    return out
+    return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, perplexity, limit, rejected: one row for each row of docs.
+# kind 0: the shard's counts; 1: what a shard of pairs knows of some words; 2: how many numbers are 1, 2, 3, 4, and how many there are
+_MODEL = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("data", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+_MODEL_SQL = "kind int, shard int, keys binary, data array<binary>, n array<long>"
+
+
+def _spectrum(c: np.ndarray) -> list:
+    return [*np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)[1:5].tolist(), len(c)]
+
+
+def _merge(shards: int):
+    """A shard of pairs: counts by key, and of each word its followers' counts and the words before it."""
+
+    def run(key, t):
+        h, w, c = (np.concatenate([expand(b, k) for b in t.column(n).to_pylist()]) for n, k in (("h", 6), ("w", 6), ("c", 8)))
+        h, w, c = _sum_pairs(h, w, c)
+        keys = place(pair_hash(h, w), shards)[1]
+        order = np.argsort(keys)
+        rows = [(0, key[0].as_py(), _gaps(keys[order]), [squeeze(c[order], 8)], []), (2, 0, None, [], _spectrum(c))]
+        word, at = np.unique(np.concatenate([h, w]), return_inverse=True)
+        first, last = at[: len(h)], at[len(h) :]
+        sums = [np.bincount(last, minlength=len(word)), np.bincount(first, c, len(word)), *(np.bincount(first, x, len(word)) for x in (c == 1, c == 2, c > 2))]
+        order, ends = _by_shard(place(mix(word), shards)[0], shards)
+        for s in np.flatnonzero(np.diff(ends)):
+            x = order[ends[s] : ends[s + 1]]
+            rows.append((1, int(s), squeeze(word[x], 6), [squeeze(v[x].astype(np.uint64), 8) for v in sums], []))
+        return pa.Table.from_batches([batch_of(_MODEL, *map(list, zip(*rows)))])
+
+    return run
+
+
+def _words(shards: int):
+    """A shard of words: of each, the distinct words before it, and of its followers their sum and how many are counted once, twice, more."""
+
+    def run(key, t):
+        word = np.concatenate([expand(b, 6) for b in t.column("keys").to_pylist()])
+        sums = [np.concatenate(x) for x in zip(*[[expand(b, 8) for b in blobs] for blobs in t.column("data").to_pylist()])]
+        word, at = np.unique(word, return_inverse=True)
+        sums = [np.bincount(at, x, len(word)).astype(np.uint64) for x in sums]
+        keys = place(mix(word), shards)[1]
+        order = np.argsort(keys)
+        rows = [(0, key[0].as_py(), _gaps(keys[order]), [squeeze(x[order], 8) for x in sums], []), (2, 0, None, [], _spectrum(sums[0][sums[0] > 0]))]
+        return pa.Table.from_batches([batch_of(_MODEL, *map(list, zip(*rows)))])
+
+    return run
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """What is taken off a count of 0, 1, 2 and more (modified Kneser-Ney)."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return np.array([0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
+
+
+class Model:
+    """Shards of pairs and of words as tables in the checkpoint folder, and the numbers that all of them share."""
+
+    def __init__(self, trusted: DataFrame, shards: int):
+        self.shards = shards
+        counted = trusted.select("text").mapInArrow(_count(shards), "shard int, h binary, w binary, c binary")
+        self.pairs = table(counted.groupBy("shard").applyInArrow(_merge(shards), _MODEL_SQL))
+        self.words = table(self.pairs.filter("kind = 1").groupBy("shard").applyInArrow(_words(shards), _MODEL_SQL))
+        two, one = (self._sums(t) for t in (self.pairs, self.words))
+        self.d2, self.d1 = discounts(*two[:4]), discounts(*one[:4])
+        # of single words: the distinct pairs in all, the mass left to words never seen, and their number
+        self.total, self.kinds = max(two[4], 1), one[4] + 1
+        self.left = (self.d1[1] * one[0] + self.d1[2] * one[1] + self.d1[3] * (one[4] - one[0] - one[1])) / self.total if one[4] else 1.0
+
+    @staticmethod
+    def _sums(t: DataFrame) -> list:
+        r = t.filter("kind = 2").agg(*[F.sum(F.col("n")[i]) for i in range(5)]).first()
+        return [int(x or 0) for x in r]
+
+    def numbers(self) -> tuple:
+        return self.d2, self.d1, self.total, self.kinds, self.left
+
+    def free(self) -> None:
+        free(self.pairs, self.words)
+
+
+def log_probabilities(numbers: tuple, c, seen_before, total, n1, n2, n3, before_total) -> np.ndarray:
+    """Natural logarithms for pairs: their counts, the words before the second one, and what is known of the first one's followers."""
+    d2, d1, every, kinds, left = numbers
+    one = (seen_before - d1[np.minimum(seen_before, 3).astype(np.int64)]) / every + left / kinds
+    kept = (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / np.maximum(before_total, 1)
+    two = (c - d2[np.minimum(c, 3).astype(np.int64)]) / np.maximum(before_total, 1) + kept * one
+    return np.log(np.where(before_total > 0, two, one))
+
+
+def _pack(batches):
+    """One row for each block of a task's texts."""
+    schema = pa.schema([("rid", pa.binary()), ("size", pa.binary()), ("text", pa.binary())])
+    for block in _blocks(batches, ("rid", "text")):
+        rid = np.concatenate([r.to_numpy(zero_copy_only=False) for r, _ in block]).astype(np.int64)
+        texts = [x for _, t in block for x in t.cast(pa.binary()).to_pylist()]
+        yield batch_of(schema, [rid.tobytes()], [np.array([len(x) for x in texts], np.int64).tobytes()], [b"".join(texts)])
+
+
+def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
+    """Words and limits of a packed block, hashed some megabytes at a time."""
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(row.size, np.int64))])
+    texts = pa.array([row.text[a:b].decode() for a, b in zip(ends, ends[1:])], pa.large_string())
+    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    shift = np.cumsum([0, *(len(w) for w, _ in parts)])
+    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(x[1:] + s for (_, x), s in zip(parts, shift))]).astype(np.int64)
+
+
+def _questions(w: np.ndarray, limits: np.ndarray, shards: int):
+    """Distinct words and pairs of a block, in the order of shard and key: their places, limits by shard, and where each pair's words stand."""
+    h = before(w, limits)
+    word, at = np.unique(np.append(w, START), return_inverse=True)
+    last = at[:-1]
+    first = np.empty_like(last)
+    first[1:] = last[:-1]
+    first[limits[:-1]] = at[-1]
+    pair, head, which = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
+    out = []
+    for x in (mix(word), pair):
+        shard, key = place(x, shards)
+        order = np.lexsort((key, shard))
+        out.append((order, key[order], np.searchsorted(shard[order], np.arange(shards + 1))))
+    return out, first[head], last[head], which
+
+
+def _ask(shards: int):
+    def run(part, rows):
+        for i, row in enumerate(rows):
+            (wo, wk, we), (po, pk, pe) = _questions(*_words_of(row), shards)[0]
+            check = int(mix(np.frombuffer(row.rid, np.uint64)).sum(dtype=np.uint64).view(np.int64))
+            for s in range(shards):
+                if we[s + 1] > we[s] or pe[s + 1] > pe[s]:
+                    yield s, part, i, check, _gaps(wk[we[s] : we[s + 1]]), _gaps(pk[pe[s] : pe[s + 1]])
+
+    return run
+
+
+_ASKED = T.StructType([T.StructField(n, t()) for n, t in (("shard", T.IntegerType), ("part", T.IntegerType), ("block", T.IntegerType), ("check", T.LongType), ("words", T.BinaryType), ("pairs", T.BinaryType))])
+_ANSWER = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("check", pa.int64()), ("words", pa.list_(pa.binary())), ("pairs", pa.binary())])
+
+
+def _look_up(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), np.uint64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], np.uint64(0))
+
+
+def _reply(key, asked: pa.Table, model: pa.Table) -> pa.Table:
+    tables = {}
+    for of, keys, data in zip(model.column("of").to_pylist(), model.column("keys").to_pylist(), model.column("data").to_pylist()):
+        tables[of] = _keys(keys), [expand(b, 8) for b in data]
+    none = np.zeros(0, np.uint64)
+    word, sums = tables.get("words", (none, [none] * 5))
+    pair, (count,) = tables.get("pairs", (none, [none]))
+    out = []
+    for batch in asked.to_batches():
+        for r in batch.to_pylist():
+            wk, pk = _keys(r["words"]), _keys(r["pairs"])
+            replies = [squeeze(_look_up(word, s, wk), 8) for s in sums]
+            out.append(batch_of(_ANSWER, [r["shard"]], [r["part"]], [r["block"]], [r["check"]], [replies], [squeeze(_look_up(pair, count, pk), 8)]))
+    return pa.Table.from_batches(out, _ANSWER)
+
+
+def _score(shards: int, numbers: tuple):
+    def run(both):
+        for row, answers in both:
+            if any(a.check != int(mix(np.frombuffer(row.rid, np.uint64)).sum(dtype=np.uint64).view(np.int64)) for a in answers):
+                raise RuntimeError("the texts of a block changed between two reads")
+            w, limits = _words_of(row)
+            ((wo, _, _), (po, _, _)), first, last, which = _questions(w, limits, shards)
+            answers = sorted(answers, key=lambda a: a.shard)
+            known = np.empty((5, len(wo)))
+            for j in range(5):
+                known[j, wo] = np.concatenate([expand(a.words[j], 8) for a in answers])
+            count = np.empty(len(po))
+            count[po] = np.concatenate([expand(a.pairs, 8) for a in answers])
+            total, n1, n2, n3 = known[1:, first]
+            lp = log_probabilities(numbers, count, known[0, last], total, n1, n2, n3, total)
+            n = np.diff(limits)
+            yield row.rid, n.astype(np.int64).tobytes(), row_sums(lp[which], limits).tobytes()
+
+    return run
+
+
+def _unpack(batches):
+    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("perplexity", pa.float64())])
+    for batch in batches:
+        for r in batch.to_pylist():
+            n, lp = np.frombuffer(r["n"], np.int64), np.frombuffer(r["logp"], np.float64)
+            yield batch_of(schema, np.frombuffer(r["rid"], np.int64), n, np.exp(-lp / n))
+
+
+def perplexities(rows: DataFrame, model: Model) -> DataFrame:
+    """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is a table of its own."""
+    spark, shards, numbers = rows.sparkSession, model.shards, model.numbers()
+    single = BatchedSerializer(CPickleSerializer(), 1)  # a block is pickled by itself
+    texts = rows.select("rid", "text").mapInArrow(_pack, "rid binary, size binary, text binary").rdd
+    asked = spark.createDataFrame(texts.mapPartitionsWithIndex(_ask(shards)), _ASKED, verifySchema=False)
+    model_rows = model.pairs.filter("kind = 0").withColumn("of", F.lit("pairs")).unionByName(model.words.filter("kind = 0").withColumn("of", F.lit("words")))
+    reply = asked.groupBy("shard").cogroup(model_rows.select("shard", "of", "keys", "data").groupBy("shard")).applyInArrow(_reply, "shard int, part int, block int, check long, words array<binary>, pairs binary")
+
+    def by_block(found):
+        blocks: dict = {}
+        for _, r in found:
+            blocks.setdefault(r.block, []).append(r)
+        return (blocks[b] for b in sorted(blocks))
+
+    # answers go to the partition that asked; there the texts are read again
+    back = reply.rdd.map(lambda r: (r.part, r)).partitionBy(max(texts.getNumPartitions(), 1), int).mapPartitions(by_block)
+    scored = texts._reserialize(single).zip(back._reserialize(single)).mapPartitions(_score(shards, numbers))
+    packed = spark.createDataFrame(scored, "rid binary, n binary, logp binary", verifySchema=False)
+    return table(packed.mapInArrow(_unpack, "rid long, n long, perplexity double"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, perplexity, limit, rejected (and rid): one row for each row of docs.
 
     Trusted text: the documents whose label is 1.  A quarter of them, by id hash, are
-    held out of the counts and set the limits: ``margin`` times the quantile of their
-    perplexities in each language, or of all of them where a language has fewer than
-    30 (the null language is one of its own); limits are wider for short texts; without any, nothing is rejected.  A
-    null text is empty.  Null or repeated ids are rows of their own, and trusted as
-    their label says.  An empty table gives an empty result.
+    held out of the counts and set the limits.  With steady = log(perplexity) -
+    SHORT / sqrt(words), a language's limit is the quantile of steady over its
+    held-out documents, averaged with that of all of them (which counts for PRIOR
+    documents); the null language is one of its own, and one without held-out
+    documents has the limit of all.  A document is rejected if its steady lies above.
+    Without trusted text nothing is rejected.  A null or empty text has no words and
+    scores its stop alone; texts of any length are scored whole.  Null or repeated
+    ids are rows of their own, trusted as their label says; ties share their limit.
+    An empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text=text_col, lang=lang_col).withColumn("text", F.coalesce("text", F.lit("")))
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
     if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     trusted = rows.join(good, "id", "left_semi").withColumn("held", F.pmod(F.xxhash64(F.lit("held out"), F.col("rid")), F.lit(1000)) < int(1000 * HELD_OUT))
-    tables = CountTables(trusted.filter("not held"))
-    scored = perplexities(rows.select("rid", "text"), tables)
-    known = trusted.filter("held").select("rid", "lang").join(scored, "rid")
-    steady = F.col("perplexity") * F.exp(-SHORT / F.sqrt("n"))
-    by_lang = known.groupBy("lang").agg(F.percentile_approx(steady, F.lit(quantile), F.lit(10_000)).alias("q"), F.count(F.lit(1)).alias("m")).filter(f"m >= {LEAST_TRUSTED}")
-    overall = known.agg(F.percentile_approx(steady, F.lit(quantile), F.lit(10_000))).first()[0]
-    limits = cut(by_lang.select(F.col("lang").alias("_lang"), (F.col("q") * margin).alias("own")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = Model(trusted.filter("not held"), max(1, -(-size // SHARD_BYTES)))
+    scored = perplexities(rows.select("rid", "text"), model)
+    model.free()
+    steady = F.log("perplexity") - SHORT / F.sqrt("n")
+    known = trusted.filter("held").select("rid", "lang").join(scored, "rid").withColumn("steady", steady)
+    q = F.percentile_approx("steady", F.lit(quantile), F.lit(10_000))
+    overall = known.agg(q).first()[0]
+    every = F.lit(None if overall is None else float(overall)).cast("double")
+    limits = known.groupBy("lang").agg(q.alias("q"), F.count(F.lit(1)).alias("m"))
+    limits = cut(limits.select(F.col("lang").alias("_lang"), ((F.col("q") * F.col("m") + every * PRIOR) / (F.col("m") + PRIOR)).alias("own")))
     meta = rows.select("rid", "id", "lang").join(scored, "rid")
     out = meta.join(F.broadcast(limits) if limits.limit(100_001).count() <= 100_000 else limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("own", F.lit(None if overall is None else overall * margin).cast("double"))
-    limit = limit * F.exp(SHORT / F.sqrt("n"))
+    limit = F.exp(F.coalesce("own", every) + SHORT / F.sqrt("n"))
     return out.select(F.col("id").alias("doc_id"), "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") > limit, F.lit(False)).alias("rejected"), "rid")
 
 
