@@ -43,6 +43,19 @@ def test_mix_meets_targets(spark):
     assert mix(frame(spark, [])).count() == 0
 
 
+def test_mix_takes_rows_of_one_hash_together(spark):
+    """Rows that share an id, or without one a text, stand or fall together, also on the edge of a budget."""
+    data = [(7, "a b c", None, s, None) for s in ("x", "x", "x", "y")] + [(None, "d e", None, s, None) for s in ("x", "y", "y", None)] + [(i, "w " * i, None, "y", None) for i in range(1, 30)]
+    got = mix(frame(spark, data)).collect()
+    assert len(got) == len(data)
+    times = {}
+    for r in got:
+        times.setdefault((r.source, r.h), set()).add(r.taken // r.size)
+    assert all(len(t) == 1 for t in times.values())
+    again = mix(frame(spark, data).repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_shards_are_even_in_rows_and_sources(spark):
     data = rows(n=500) + [(7, "same", "en", "web", None)] * 30 + [(None, None, None, None, None)] * 3
     got = shard(frame(spark, data), 8).collect()

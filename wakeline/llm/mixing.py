@@ -90,8 +90,8 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
             )
         )
         state = cut(state)
-        if not state.filter("n > 1").limit(1).count():
-            break
+        if level == LEVELS - 1 or not state.filter("n > 1").limit(1).count():
+            break  # one hash value is left on each edge, or one row
         state = state.select("source", "passes", "need", "lo")
     # the row on the edge is taken if that comes nearer to the target
     width = 1 << (60 - BITS * (level + 1))
