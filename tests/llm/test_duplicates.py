@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,12 +109,14 @@ def brute_lines(data, least=10):
             count[m] = count.get(m, 0) + 1
     drop = {m for m, n in count.items() if n >= least}
     for pairs in leaves.values():
-        n = len(pairs)
-        places = list(zip(*(m.split(" ") for _, m in pairs)))
-        fixed = [next((t for t in set(p) if 2 * p.count(t) > n), None) for p in places]
-        inside = {m for _, m in pairs if sum(a == b for a, b in zip(m.split(" "), fixed)) >= 0.7 * len(fixed)}
-        if len({m for _, m in pairs}) > 1 and n >= least and len({i for i, m in pairs if m in inside}) >= least:
-            drop |= inside
+        n, width = len(pairs), len(pairs[0][1].split(" "))
+        held = [Counter(m.split(" ")[k] for _, m in pairs) for k in range(width)]
+        template = {m: tuple(t if held[k][t] >= least else None for k, t in enumerate(m.split(" "))) for _, m in pairs}
+        if len(template) > 1 and n >= least:
+            docs_of = {}
+            for i, m in pairs:
+                docs_of.setdefault(template[m], set()).add(i)
+            drop |= {m for m, t in template.items() if sum(x is not None for x in t) >= 0.7 * width and len(docs_of[t]) >= least}
     return {i: [x for x in lines if mask(x) not in drop] for i, lines in docs.items()}
 
 
@@ -126,6 +129,24 @@ def test_lines_match_brute_force(spark):
     assert drop_lines(frame(spark, [])).count() == 0
 
 
+def test_templates_that_share_a_leaf(spark):
+    """Three recurring templates of one leaf, the largest of which has most of its lines, beside lines that do not recur; ids null or repeated."""
+    rng = random.Random(12)
+    line = lambda kind, who: ["2024-01-01 10:00 INFO user %s has opened the outer door", "2024-01-02 11:00 INFO job %s is done with all its work", "2024-01-03 12:00 INFO disk %s was found to be nearly full"][kind] % who
+    data = []
+    for i in range(90):
+        kind = 0 if i < 60 else 1 if i < 75 else 2
+        who, other = (rng.choice(WORDS) + rng.choice(WORDS) for _ in range(2))
+        odd = "9 8 INFO " + " ".join(rng.sample(WORDS, 7))
+        data.append((i if i % 10 else None, f"{line(kind, who)}\n{odd}\n\n{line(kind, other)}", "en", "web", None))
+    data += [(5, None, None, None, None), (5, "", None, None, None), (700, "\n".join(f"line {j} {rng.choice(WORDS)}x" + rng.choice(WORDS) for j in range(20_000)), None, None, None)]
+    got = drop_lines(frame(spark, data)).collect()
+    assert len(got) == len(data)
+    dropped = [r for r in got if r.kept and "INFO" in r.kept and r.n_lines == 4]
+    assert len(dropped) == 90 and all(r.n_dropped == 2 and r.kept.startswith("9 8 INFO") for r in dropped)
+    assert [r.n_dropped for r in got if r.n_lines == 20_000] == [0]
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((6, 32))

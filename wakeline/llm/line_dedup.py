@@ -1,16 +1,17 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are split at blanks and tokens with digits become ``<*>``.  The tree
-has a fixed depth: number of tokens, then the leading three tokens.  In a leaf with
-several lines, a position keeps the token that more than half of the leaf's
-(document, line) pairs hold and varies otherwise; a line belongs to the leaf's
-template if it agrees with at least 70 % of its positions, and is a template of its
-own if not.  Templates that occur in ``least_docs`` documents or more are dropped.
-
-Only hashes of lines are shuffled to count them, each line once per document and
-summed on the map side; lines of leaves that hold several lines and enough documents
-are the only ones whose tokens are spread out.  Joins on lines or leaves are plain
-equi-joins that AQE splits where a line is very frequent.
+has a fixed depth: number of tokens, then the leading three tokens.  Below a leaf the
+lines divide into as many templates as they need: a position keeps a token that at
+least ``least_docs`` of the leaf's (document, line) pairs hold there and is variable
+otherwise, so every line has one template; it counts if at least 70 % of its positions
+are kept.  Lines whose template, or whose own text, occurs in ``least_docs`` documents
+or more are dropped.
+
+Only hashes of lines are shuffled: they are made in one scan, written as a table and
+used to count and to drop.  A second scan fetches the tokens of lines in leaves that
+hold several lines and enough documents, once for each different line.  Joins on lines
+or leaves are plain equi-joins that AQE splits where a line is very frequent.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, table
+from .common import cut, free, keyed, table
 
 DEPTH, LEAST_DOCS, AGREE = 3, 10, 0.7
 #: Leaves of several lines are broadcast up to this many, so lines of other leaves are not shuffled; more are joined by a shuffle.
@@ -32,52 +33,51 @@ def masked(line):
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """rid, m: the distinct masked lines of each document that are not blank."""
-    parts = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), masked)), lambda m: m != "")
-    return rows.select("rid", F.explode(parts).alias("m"))
+    """rid, pos, m, and the line's keys h1, h2 and its leaf, of all lines that are not blank."""
+    each = rows.select("rid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).select("rid", "pos", masked(F.col("line")).alias("m")).filter("m <> ''")
+    t = F.split("m", " ")
+    return each.select("*", F.xxhash64("m").alias("h1"), F.xxhash64(F.lit("line"), "m").alias("h2"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"))
 
 
-def _tree(lines: DataFrame) -> DataFrame:
-    """Adds the line's keys h1, h2 and its leaf."""
-    t = F.split("m", " ")
-    return lines.select("*", F.xxhash64("m").alias("h1"), F.xxhash64(F.lit("line"), "m").alias("h2"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"))
+LINE = ["leaf", "h1", "h2"]
 
 
-def recurring(rows: DataFrame, least_docs: int = LEAST_DOCS, agree: float = AGREE) -> DataFrame:
-    """h1, h2 of the masked lines whose template recurs."""
-    lines = _tree(_lines(rows))
-    counts = table(lines.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")))
+def recurring(rows: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, agree: float = AGREE) -> DataFrame:
+    """leaf, h1, h2 of the lines (a table of their keys) that are dropped."""
+    counts = table(lines.select("rid", *LINE).distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("docs")))
     leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("variants"))
-    mixed = cut(leaves.filter((F.col("variants") > 1) & (F.col("leaf_docs") >= least_docs)).select("leaf", "leaf_docs"))
-    asked = mixed.select("leaf")
+    asked = cut(leaves.filter((F.col("variants") > 1) & (F.col("leaf_docs") >= least_docs)).select("leaf"))
     if asked.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
         asked = F.broadcast(asked)
-    own = table(lines.join(asked, "leaf", "left_semi").select("rid", "leaf", "h1", "h2", "m"))
-    variants = own.groupBy("leaf", "h1", "h2").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("docs"))
-    spread = table(variants.select("leaf", "h1", "h2", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")))
-    fixed = spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).join(mixed, "leaf").filter("2 * n > leaf_docs").select("leaf", "pos", "token")
-    same = spread.join(fixed.withColumn("hit", F.lit(1)), ["leaf", "pos", "token"], "left").groupBy("leaf", "h1", "h2").agg((F.count("hit") >= F.lit(agree) * F.count(F.lit(1))).alias("in"))
-    inside = cut(same.filter("in").select("leaf", "h1", "h2"))
-    support = own.join(inside, ["leaf", "h1", "h2"], "left_semi").select("rid", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
-    by_template = inside.join(support, "leaf", "left_semi").select("h1", "h2")
-    return counts.filter(F.col("docs") >= least_docs).select("h1", "h2").union(by_template).distinct()
+    variants = _lines(rows).join(asked, "leaf", "left_semi").groupBy(*LINE).agg(F.first("m").alias("m")).join(counts, LINE)
+    spread = table(variants.select(*LINE, "docs", F.posexplode(F.split("m", " ")).alias("at", "token")))
+    kept = spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("hit"))
+    key = lambda *salt: F.bit_xor(F.when(F.col("hit"), F.xxhash64(*salt, "at", "token")))
+    templates = spread.join(kept, ["leaf", "at", "token"], "left").groupBy(*LINE).agg(F.count("hit").alias("held"), F.count(F.lit(1)).alias("n"), key().alias("t1"), key(F.lit("template")).alias("t2"))
+    templates = table(templates.filter(F.col("held") >= F.lit(agree) * F.col("n")).select(*LINE, "t1", "t2"))
+    holders = lines.select("rid", *LINE).join(templates, LINE).select("rid", "leaf", "t1", "t2").distinct()
+    support = holders.groupBy("leaf", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    by_template = templates.join(support, ["leaf", "t1", "t2"], "left_semi").select(*LINE)
+    known = table(counts.filter(F.col("docs") >= least_docs).select(*LINE).union(by_template).distinct())
+    free(counts, spread, templates)
+    return known
 
 
 def drop_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the text without dropped lines): one row for each row of docs.
+    """doc_id, n_lines, n_dropped, kept (the text without dropped lines), rid: one row for each row of docs.
 
     Lines end at a newline; blank lines are kept and count for no template.  A null
-    text is one blank line and stays null.  Null or repeated ids are documents of
-    their own; a line repeated in a document counts for one document and is dropped
-    each time.  An empty table gives an empty result.
+    text is one blank line and stays null; a text of very many lines costs time in
+    proportion to them.  Null or repeated ids are documents of their own, and rows
+    of equal text count each; a line repeated in a document counts for one document
+    and is dropped each time.  An empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text=text_col).select("rid", "id", "text")
-    known = cut(recurring(rows, least_docs))
-    each = rows.select("rid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("rid", "pos", masked(F.col("line")).alias("m"))
-    keys = each.filter("m <> ''").select("rid", "pos", F.xxhash64("m").alias("h1"), F.xxhash64(F.lit("line"), "m").alias("h2"))
-    gone = keys.join(known, ["h1", "h2"], "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("gone"))
+    lines = table(_lines(rows).select("rid", "pos", *LINE))
+    gone = lines.join(recurring(rows, lines, least_docs), LINE, "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("gone"))
     out = rows.join(gone, "rid", "left").withColumn("lines", F.split("text", "\n")).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     return out.select(F.col("id").alias("doc_id"), F.coalesce(F.size("lines"), F.lit(1)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept"), "rid")
 
 
@@ -95,13 +95,13 @@ k AS (SELECT *, row(len(t), t[1:3]) AS leaf FROM l),
 c AS (SELECT leaf, m, t, count(*) AS docs FROM k GROUP BY ALL),
 f AS (SELECT leaf, sum(docs) AS leaf_docs FROM c GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 10),
 s AS (SELECT c.leaf, m, docs, leaf_docs, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM c JOIN f ON c.leaf = f.leaf),
-x AS (SELECT leaf, pos, token FROM s GROUP BY ALL HAVING 2 * sum(docs) > any_value(leaf_docs)),
-i AS (SELECT s.leaf, s.m FROM s LEFT JOIN x ON s.leaf = x.leaf AND s.pos = x.pos AND s.token = x.token
-      GROUP BY ALL HAVING count(x.pos) >= 0.7::DOUBLE * count(*)),
+x AS (SELECT leaf, pos, token FROM s GROUP BY ALL HAVING sum(docs) >= 10),
+i AS (SELECT s.leaf, s.m, list(x.token ORDER BY s.pos) AS template FROM s LEFT JOIN x ON s.leaf = x.leaf AND s.pos = x.pos AND s.token = x.token
+      GROUP BY s.leaf, s.m HAVING count(x.pos) >= 0.7::DOUBLE * count(*)),
+p AS (SELECT i.leaf, i.template FROM k JOIN i ON k.leaf = i.leaf AND k.m = i.m GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 r AS (SELECT m FROM c WHERE docs >= 10
       UNION
-      SELECT i.m FROM i WHERE i.leaf IN (
-        SELECT k.leaf FROM k JOIN i ON k.leaf = i.leaf AND k.m = i.m GROUP BY k.leaf HAVING count(DISTINCT doc_id) >= 10)),
+      SELECT i.m FROM i JOIN p ON i.leaf = p.leaf AND i.template = p.template),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.m IS NOT NULL) AS n_dropped,
              string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE r.m IS NULL) AS kept
       FROM m LEFT JOIN r ON m.m = r.m GROUP BY doc_id)
