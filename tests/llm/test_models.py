@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus import edited, frame, prose, rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wakeline.llm.decontamination import decontaminate
@@ -18,12 +21,15 @@ from wakeline.llm.toxicity import score, train
 
 def test_token_counts_match_the_library(spark):
     data = rows() + [(30_000, "a<|endoftext|>b <|endoftext|><|endoftext|>", None, None, None), (30_001, "I'll  don't\t\n\n x  　 ١٢٣ 日本語 🙂" * 9, None, None, None), (None, "ids may be null", None, None, None), (None, "aaaaaaaa" * 500, None, None, None)]
+    rng = random.Random(3)
+    data += [(40_000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH"[: 4 + 10 * i]) for _ in range(20_000)) + "a" * i, None, None, None) for i in range(4)]
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     want = sorted((r[0] or -1, len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False).ids), n > 1024) for r in data)
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(frame(spark, data), path).collect())
     assert got == want
     assert token_counts(frame(spark, []), path).count() == 0
+    assert token_counts(frame(spark, data[:2]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), path).first().doc_id == "d1"
 
 
 def brute_perplexity(trusted, texts):
@@ -119,8 +125,33 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert quality(frame(spark, []), labels).count() == 0
 
 
-def test_toxicity_learns_pairs_on_held_out_rows(spark):
-    """Neither term alone is toxic, both together are: only the interaction tells."""
+def _machine(rows, rule, n=3000, factors=None):
+    """Held-out accuracy of a machine fitted on the first two thirds, with the pair marked toxic by rule."""
+    from wakeline.llm import toxicity
+
+    texts = pa.array([t for t, _, _ in rows], pa.string())
+    values, limits = toxicity.term_sets(texts)
+    y = np.array([int(rule(a, b)) for _, a, b in rows])
+    cut = 2 * n // 3
+    m = toxicity.fit(y[:cut], values[: limits[cut]], limits[: cut + 1], **({} if factors is None else {"factors": factors}))
+    return float(((m.score(values, limits) >= 0.5) == y)[cut:].mean())
+
+
+def test_toxicity_learns_what_no_single_term_tells():
+    """One of two terms, but not both: each alone is as frequent in either label, so an additive refit learns nothing."""
+    rng = random.Random(6)
+    rows_ = []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = prose(rng, 20).split() + ["insult"] * a + ["mention"] * b
+        rng.shuffle(w)
+        rows_.append((" ".join(w), a, b))
+    assert _machine(rows_, lambda a, b: a != b) > 0.95
+    assert _machine(rows_, lambda a, b: a != b, factors=0) < 0.6
+    assert _machine(rows_, lambda a, b: a and b) > 0.95
+
+
+def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     data, labels = [], []
     for i in range(3000):
@@ -129,12 +160,13 @@ def test_toxicity_learns_pairs_on_held_out_rows(spark):
         rng.shuffle(words)
         data.append((i, " ".join(words), "en", "web", None))
         labels.append((i, int(insult and group)))
-    data.append((5000, None, None, None, None))
+    data += [(5000, None, None, None, None), (None, data[0][1], None, None, None), (0, data[0][1], None, None, None), (5001, "insult mention " * 50_000, None, None, None)]
     machine = train(frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"), lambda i: i < 2000)
-    got = {r.doc_id: r for r in score(frame(spark, data), machine).collect()}
+    out = score(frame(spark, data), machine).collect()
+    got = {r.doc_id: r for r in out}
     test = [(got[i].predicted, y) for i, y in labels if i >= 2000]
     assert sum(p == y for p, y in test) / len(test) > 0.97
-    assert 0 <= got[5000].score <= 1
+    assert 0 <= got[5000].score <= 1 and got[None].score == got[0].score and got[5001].predicted == 1 and len(out) == len(data)
     nothing = train(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"), lambda i: i < 2000)
     assert {r.score for r in score(frame(spark, data[:5]), nothing).collect()} == {0.5}
 

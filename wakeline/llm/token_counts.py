@@ -3,19 +3,22 @@
 Pre-tokens of many texts are held as one ragged numpy array of symbols.  In each
 round every sequence finds its lowest-ranked adjacent pair and applies all its
 occurrences at once, left to right; when no sequence has a known pair, the
-surviving symbols are counted.  One pass over the documents and no shuffle: each
+surviving symbols are counted.  A pre-token of more than a few hundred bytes goes
+through the same rounds by itself, each of which visits only the places of its rank.  One pass over the documents and no shuffle: each
 Arrow batch is counted where it was read.
 """
 
 from __future__ import annotations
 
 import json
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batch_of, chunks, prepare
 
@@ -23,6 +26,8 @@ from .common import batch_of, chunks, prepare
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Counted pre-tokens that a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 48
+#: Bytes of a pre-token above which it is merged by itself.
+LONG = 256
 _NONE = np.int64(1) << 40
 
 
@@ -41,8 +46,15 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.byte_ids = np.array([vocab[c] for c in _byte_letters()], np.int64)
+        self._pairs = None
         self.specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
 
+    def pairs(self) -> dict:
+        """Ranks by pair, made when the first long word comes."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self._pairs
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -60,7 +72,10 @@ def merged_counts(table: MergeTable, words: list[bytes]) -> np.ndarray:
     """Symbols that survive in each word once no pair of the table is left."""
     size = np.array([len(w) for w in words], np.int64)
     count = size.copy()
-    symbols = table.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+    for i in np.flatnonzero(size > LONG):
+        count[i] = _merged_alone(table, words[i])
+    size = np.where(size > LONG, 0, size)
+    symbols = table.byte_ids[np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8)]
     seq = np.repeat(np.arange(len(words)), size)
     while len(symbols) > 1:
         inside = seq[1:] == seq[:-1]
@@ -86,6 +101,42 @@ def merged_counts(table: MergeTable, words: list[bytes]) -> np.ndarray:
     return count
 
 
+def _merged_alone(table: MergeTable, word: bytes) -> int:
+    """The same for one long word: a round visits only the places of its rank, not all symbols, so the work follows the merges."""
+    symbols = table.byte_ids[np.frombuffer(word, np.uint8)]
+    first = table.rank(symbols[:-1], symbols[1:])
+    places: dict[int, list] = {}
+    order = np.argsort(first, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+        if len(at) and first[at[0]] < _NONE:
+            places[int(first[at[0]])] = at.tolist()
+    ranks, made, pair = list(places), table.made, table.pairs()
+    heapify(ranks)
+    s, n = symbols.tolist(), len(symbols)
+    after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
+    left = n
+    while ranks:
+        r = heappop(ranks)
+        for p in sorted(places.pop(r)):
+            q = after[p]
+            if s[p] < 0 or q >= n or pair.get(s[p] << 32 | s[q]) != r:
+                continue  # an earlier merge took one of the two
+            s[p], s[q] = int(made[r]), -1
+            left -= 1
+            after[p] = after[q]
+            if after[q] < n:
+                prior[after[q]] = p
+            for x in (prior[p], p):
+                if x >= 0 and after[x] < n:
+                    new = pair.get(s[x] << 32 | s[after[x]])
+                    if new is not None:
+                        if new not in places:
+                            places[new] = []
+                            heappush(ranks, new)
+                        places[new].append(x)
+    return left
+
+
 class _Counter:
     def __init__(self, table: MergeTable):
         self.table, self.known = table, {}
@@ -115,7 +166,7 @@ class _Counter:
         return [e + sum(map(known.__getitem__, p)) for e, p in zip(extra, parts)]
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+_COUNTS = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -131,6 +182,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     prepare(spark)
     table = spark.sparkContext.broadcast(MergeTable(tokenizer_file))
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *_COUNTS])
 
     def count(batches):
         counter = _Counter(table.value)
@@ -140,10 +193,10 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
                 texts = ["" if t is None else t for t in col.to_pylist()]
                 n = counter.count(texts)
                 size = np.array([len(t.encode()) for t in texts], np.int64)
-                yield batch_of(SCHEMA, part.column("doc_id"), size, np.array(n, np.int64), np.array(n, np.int64) > limit)
+                yield batch_of(schema, part.column("doc_id"), size, np.array(n, np.int64), np.array(n, np.int64) > limit)
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.selectExpr(f"`{id_col}` doc_id", f"`{text_col}` text")
+    return rows.mapInArrow(count, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

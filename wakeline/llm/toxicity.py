@@ -3,8 +3,10 @@
 Terms (runs of letters, digits and non-ASCII bytes, A-Z in lower case) are hashed to
 32 bits; a document's features are its distinct terms.  The machine
 ``bias + sum w_i + sum_{i<j} <v_i, v_j>`` learns weights and pairwise interactions
-by full-batch Adam on a bounded sample of labelled rows, over the terms whose document
-counts differ between the labels.  The fitted model has at most ``TERMS`` rows and is
+by full-batch Adam on a bounded sample of labelled rows.  Its terms are those whose own
+document counts differ between the labels, and those of pairs whose joint counts do
+though the terms' own counts do not explain it, so that two terms that say nothing
+alone can be learned together.  The fitted model has at most ``TERMS + PAIRED`` rows and is
 broadcast; every text is scored whole, where it was read, without a shuffle.
 """
 
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import IS_TERM, batch_of, chunks, distinct_rows, prepare, word_hashes
 
@@ -21,6 +24,8 @@ from .common import IS_TERM, batch_of, chunks, distinct_rows, prepare, word_hash
 SAMPLE = 20_000
 #: Terms of the model at most, least documents with a term, and least distance of its counts from chance.
 TERMS, LEAST_DOCS, LEAST_Z = 1 << 16, 3, 4.5
+#: Terms (those in most documents of the sample) whose pairs are tried, and how much farther from chance than its terms a pair must be.
+PAIRED, PAIR_Z = 2048, 6.0
 FACTORS, STEPS, RATE, DECAY = 4, 300, 0.05, 1e-4
 
 
@@ -65,8 +70,31 @@ def _raw(w, v, at, row, rows):
     return z
 
 
-def fit(y: np.ndarray, values: np.ndarray, limits: np.ndarray, seed: int = 3) -> Machine:
-    """A machine for labels y and rows of distinct terms."""
+def _paired(y: np.ndarray, row: np.ndarray, at: np.ndarray, df: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose joint count in toxic rows lies farther from chance than both terms' own counts together."""
+    n, p = len(y), float((y > 0).mean())
+    often = np.flatnonzero((df >= LEAST_DOCS) & (df < n))
+    often = np.sort(often[np.argsort(-df[often], kind="stable")[:PAIRED]])
+    place = np.full(len(df), -1)
+    place[often] = np.arange(len(often))
+    row, at = row[place[at] >= 0], place[at[place[at] >= 0]]
+    both, toxic = (np.zeros((len(often), len(often)), np.float32) for _ in range(2))
+    for lo in range(0, n, 2048):
+        x, y_ = np.searchsorted(row, [lo, lo + 2048])
+        held = np.zeros((min(2048, n - lo), len(often)), np.float32)
+        held[row[x:y_] - lo, at[x:y_]] = 1
+        both += held.T @ held
+        some = held[y[lo : lo + 2048] > 0]
+        toxic += some.T @ some
+    own = np.abs(z[often])
+    joint = np.abs(toxic - both * p) / np.sqrt(np.maximum(both, 1) * p * (1 - p))
+    found = (both >= LEAST_DOCS) & (joint >= PAIR_Z + own[:, None] + own[None, :])
+    np.fill_diagonal(found, False)
+    return often[found.any(1)]
+
+
+def fit(y: np.ndarray, values: np.ndarray, limits: np.ndarray, seed: int = 3, factors: int = FACTORS) -> Machine:
+    """A machine for labels y and rows of distinct terms; without factors it is additive."""
     n, pos = len(y), float((y > 0).sum())
     empty = Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), float(np.log((pos + 0.5) / (n - pos + 0.5))))
     if not 0 < pos < n:
@@ -76,8 +104,8 @@ def fit(y: np.ndarray, values: np.ndarray, limits: np.ndarray, seed: int = 3) ->
     hits = np.bincount(at, (y > 0)[row], len(terms))
     p = pos / n
     z = (hits - df * p) / np.sqrt(df * p * (1 - p))
-    good = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:TERMS]])
+    alone = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
+    good = np.union1d(alone[np.argsort(-np.abs(z[alone]), kind="stable")[:TERMS]], _paired(y, row, at, df, z))
     if not len(good):
         return empty
     place = np.full(len(terms), -1)
@@ -85,7 +113,7 @@ def fit(y: np.ndarray, values: np.ndarray, limits: np.ndarray, seed: int = 3) ->
     at = place[at]
     row, at = row[at >= 0], at[at >= 0]
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS)), empty.bias
+    w, v, bias = np.zeros(len(good)), rng.normal(0, 0.01, (len(good), factors)), empty.bias
     m = [np.zeros_like(w), np.zeros_like(v), 0.0]
     s = [np.zeros_like(w), np.zeros_like(v), 0.0]
     weight = np.where(y > 0, 0.5 / p, 0.5 / (1 - p))  # both labels count alike
@@ -93,7 +121,7 @@ def fit(y: np.ndarray, values: np.ndarray, limits: np.ndarray, seed: int = 3) ->
     for step in range(1, STEPS + 1):
         g = weight * (1 / (1 + np.exp(-np.clip(bias + _raw(w, v, at, row, n), -60, 60))) - t) / n
         grads = [np.bincount(at, g[row], len(w)) + DECAY * w / len(w), np.empty_like(v), g.sum()]
-        for f in range(FACTORS):
+        for f in range(factors):
             x = v[at, f]
             others = np.bincount(row, x, n)[row] - x
             grads[1][:, f] = np.bincount(at, g[row] * others, len(w))
@@ -131,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     rows = text.join(F.broadcast(known), "_id").select("toxic", "text").mapInArrow(_features, "toxic int, terms binary")
-    found = rows.repartition(1).mapInArrow(_fit_task, "term long, w double, v array<double>").orderBy("term").collect()  # at most TERMS + 1 rows
+    found = rows.repartition(1).mapInArrow(_fit_task, "term long, w double, v array<double>").orderBy("term").collect()  # at most TERMS + PAIRED + 1 rows
     if not found:
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     return Machine(np.array([r.term for r in found[1:]], np.uint64), np.array([r.w for r in found[1:]]), np.array([r.v for r in found[1:]]).reshape(-1, FACTORS), found[0].w)
@@ -140,12 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= least), one row for each row of docs.
 
-    A null or empty text has no terms and gets the score of the bias alone.  Rows
-    never meet, so null or repeated ids and extra columns do no harm.
+    A null or empty text has no terms and gets the score of the bias alone; texts of
+    any length are scored whole.  Rows never meet, so null, repeated or textual ids and
+    extra columns do no harm, and equal texts score alike.  Of repeated ids in the
+    labels the greater label counts.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -153,7 +184,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 s = model.value.score(*term_sets(part.column("text")))
                 yield batch_of(schema, part.column("doc_id"), s, (s >= least).astype(np.int32))
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.selectExpr(f"`{id_col}` doc_id", f"`{text_col}` text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int")
 
 
 def held_out(id_col):
