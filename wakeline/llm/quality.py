@@ -14,8 +14,8 @@ sorted, as differences in byte planes, which takes about three bytes each.  No c
 passes through the driver (it sees sums of counts of counts), nothing that grows is
 broadcast, and the number of shards grows with the text.
 
-Words are hashed to 48 bits; in a shard, pairs are told apart by 40 further bits, so
-with a million pairs in a shard one question in a million gets another pair's count.
+Words are hashed to 40 bits; in a shard, pairs are told apart by 40 bits, so with a
+million pairs in a shard one question in a million gets another pair's count.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, word_hashes
 
 #: Text bytes that a task counts, or asks about, at once; and of a shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 32 << 20
 #: Trusted ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
@@ -40,7 +40,7 @@ QUANTILE, PRIOR = 0.995, 30
 #: The log perplexity of a text of n words scatters by about SHORT / sqrt(n): limits are set, and held, with that allowance.
 SHORT = 2.0
 START, STOP = np.uint64(1), np.uint64(2)
-_LOW40, _LOW48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def squeeze(values: np.ndarray, width: int) -> bytes:
@@ -67,9 +67,9 @@ def _keys(blob: bytes) -> np.ndarray:
 
 
 def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit word hashes of each row and a STOP after the last one, and row limits.  Case counts."""
+    """40-bit word hashes of each row and a STOP after the last one, and row limits.  Case counts."""
     h, limits = word_hashes(col, False)
-    h = (h >> np.uint64(16)) | np.uint64(4)  # never START or STOP
+    h = (h >> np.uint64(24)) | np.uint64(4)  # never START or STOP
     return np.insert(h, limits[1:], STOP), limits + np.arange(len(limits))
 
 
@@ -95,8 +95,8 @@ def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _blocks(batches, columns: tuple):
-    """Lists of parts of about BLOCK_BYTES of text, each a tuple of the columns asked for."""
+def _blocks(batches):
+    """Lists of text columns of about BLOCK_BYTES."""
     held, size = [], 0
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -104,7 +104,7 @@ def _blocks(batches, columns: tuple):
             if held and size + n > BLOCK_BYTES:
                 yield held
                 held, size = [], 0
-            held.append(tuple(part.column(c) for c in columns))
+            held.append(part.column("text"))
             size += n
     if held:
         yield held
@@ -124,14 +124,14 @@ def _count(shards: int):
     """Distinct pairs of each block with their counts, packed by shard."""
 
     def run(batches):
-        for block in _blocks(batches, ("text",)):
-            parts = [_sum_pairs(before(*x), x[0], np.ones(len(x[0]), np.int64)) for x in (words(t) for (t,) in block)]
+        for block in _blocks(batches):
+            parts = [_sum_pairs(before(*x), x[0], np.ones(len(x[0]), np.int64)) for x in map(words, block)]
             h, w, c = _sum_pairs(*(np.concatenate(x) for x in zip(*parts)))
             order, ends = _by_shard(place(pair_hash(h, w), shards)[0], shards)
             out = [[], [], [], []]
             for s in np.flatnonzero(np.diff(ends)):
                 at = order[ends[s] : ends[s + 1]]
-                for o, x in zip(out, (int(s), squeeze(h[at], 6), squeeze(w[at], 6), squeeze(c[at], 8))):
+                for o, x in zip(out, (int(s), squeeze(h[at], 5), squeeze(w[at], 5), squeeze(c[at], 8))):
                     o.append(x)
             yield batch_of(_COUNTED, *out)
 
@@ -151,7 +151,7 @@ def _merge(shards: int):
     """A shard of pairs: counts by key, and of each word its followers' counts and the words before it."""
 
     def run(key, t):
-        h, w, c = (np.concatenate([expand(b, k) for b in t.column(n).to_pylist()]) for n, k in (("h", 6), ("w", 6), ("c", 8)))
+        h, w, c = (np.concatenate([expand(b, k) for b in t.column(n).to_pylist()]) for n, k in (("h", 5), ("w", 5), ("c", 8)))
         h, w, c = _sum_pairs(h, w, c)
         keys = place(pair_hash(h, w), shards)[1]
         order = np.argsort(keys)
@@ -162,7 +162,7 @@ def _merge(shards: int):
         order, ends = _by_shard(place(mix(word), shards)[0], shards)
         for s in np.flatnonzero(np.diff(ends)):
             x = order[ends[s] : ends[s + 1]]
-            rows.append((1, int(s), squeeze(word[x], 6), [squeeze(v[x].astype(np.uint64), 8) for v in sums], []))
+            rows.append((1, int(s), squeeze(word[x], 5), [squeeze(v[x].astype(np.uint64), 8) for v in sums], []))
         return pa.Table.from_batches([batch_of(_MODEL, *map(list, zip(*rows)))])
 
     return run
@@ -172,7 +172,7 @@ def _words(shards: int):
     """A shard of words: of each, the distinct words before it, and of its followers their sum and how many are counted once, twice, more."""
 
     def run(key, t):
-        word = np.concatenate([expand(b, 6) for b in t.column("keys").to_pylist()])
+        word = np.concatenate([expand(b, 5) for b in t.column("keys").to_pylist()])
         sums = [np.concatenate(x) for x in zip(*[[expand(b, 8) for b in blobs] for blobs in t.column("data").to_pylist()])]
         word, at = np.unique(word, return_inverse=True)
         sums = [np.bincount(at, x, len(word)).astype(np.uint64) for x in sums]
@@ -226,24 +226,31 @@ def log_probabilities(numbers: tuple, c, seen_before, total, n1, n2, n3, before_
     return np.log(np.where(before_total > 0, two, one))
 
 
-def _pack(batches):
-    """One row for each block of a task's texts."""
-    schema = pa.schema([("rid", pa.binary()), ("size", pa.binary()), ("text", pa.binary())])
-    for block in _blocks(batches, ("rid", "text")):
-        rid = np.concatenate([r.to_numpy(zero_copy_only=False) for r, _ in block]).astype(np.int64)
-        texts = [x for _, t in block for x in t.cast(pa.binary()).to_pylist()]
-        yield batch_of(schema, [rid.tobytes()], [np.array([len(x) for x in texts], np.int64).tobytes()], [b"".join(texts)])
+def _texts(rows):
+    """Row keys and texts of each block of a task's rows."""
+    rid, texts, size = [], [], 0
+    for r, t in rows:
+        if texts and size + len(t) > BLOCK_BYTES:
+            yield np.array(rid, np.int64), texts
+            rid, texts, size = [], [], 0
+        rid.append(r)
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield np.array(rid, np.int64), texts
 
 
-def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
-    """Words and limits of a packed block, hashed some megabytes at a time."""
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(row.size, np.int64))])
-    texts = pa.array([row.text[a:b].decode() for a, b in zip(ends, ends[1:])], pa.large_string())
-    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Words and limits of a block, hashed some megabytes at a time."""
+    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text")]
     shift = np.cumsum([0, *(len(w) for w, _ in parts)])
     return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(x[1:] + s for (_, x), s in zip(parts, shift))]).astype(np.int64)
 
 
+def _check(rid: np.ndarray) -> int:
+    return int(mix(rid.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _questions(w: np.ndarray, limits: np.ndarray, shards: int):
     """Distinct words and pairs of a block, in the order of shard and key: their places, limits by shard, and where each pair's words stand."""
     h = before(w, limits)
@@ -263,9 +270,9 @@ def _questions(w: np.ndarray, limits: np.ndarray, shards: int):
 
 def _ask(shards: int):
     def run(part, rows):
-        for i, row in enumerate(rows):
-            (wo, wk, we), (po, pk, pe) = _questions(*_words_of(row), shards)[0]
-            check = int(mix(np.frombuffer(row.rid, np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        for i, (rid, texts) in enumerate(rows):
+            (_, wk, we), (_, pk, pe) = _questions(*_words_of(texts), shards)[0]
+            check = _check(rid)
             for s in range(shards):
                 if we[s + 1] > we[s] or pe[s + 1] > pe[s]:
                     yield s, part, i, check, _gaps(wk[we[s] : we[s + 1]]), _gaps(pk[pe[s] : pe[s + 1]])
@@ -302,10 +309,10 @@ def _reply(key, asked: pa.Table, model: pa.Table) -> pa.Table:
 
 def _score(shards: int, numbers: tuple):
     def run(both):
-        for row, answers in both:
-            if any(a.check != int(mix(np.frombuffer(row.rid, np.uint64)).sum(dtype=np.uint64).view(np.int64)) for a in answers):
+        for (rid, texts), answers in both:
+            if any(a.check != _check(rid) for a in answers):
                 raise RuntimeError("the texts of a block changed between two reads")
-            w, limits = _words_of(row)
+            w, limits = _words_of(texts)
             ((wo, _, _), (po, _, _)), first, last, which = _questions(w, limits, shards)
             answers = sorted(answers, key=lambda a: a.shard)
             known = np.empty((5, len(wo)))
@@ -316,7 +323,7 @@ def _score(shards: int, numbers: tuple):
             total, n1, n2, n3 = known[1:, first]
             lp = log_probabilities(numbers, count, known[0, last], total, n1, n2, n3, total)
             n = np.diff(limits)
-            yield row.rid, n.astype(np.int64).tobytes(), row_sums(lp[which], limits).tobytes()
+            yield rid.tobytes(), n.astype(np.int64).tobytes(), row_sums(lp[which], limits).tobytes()
 
     return run
 
@@ -333,7 +340,7 @@ def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is a table of its own."""
     spark, shards, numbers = rows.sparkSession, model.shards, model.numbers()
     single = BatchedSerializer(CPickleSerializer(), 1)  # a block is pickled by itself
-    texts = rows.select("rid", "text").mapInArrow(_pack, "rid binary, size binary, text binary").rdd
+    texts = rows.select("rid", "text").rdd.mapPartitions(_texts)
     asked = spark.createDataFrame(texts.mapPartitionsWithIndex(_ask(shards)), _ASKED, verifySchema=False)
     model_rows = model.pairs.filter("kind = 0").withColumn("of", F.lit("pairs")).unionByName(model.words.filter("kind = 0").withColumn("of", F.lit("words")))
     reply = asked.groupBy("shard").cogroup(model_rows.select("shard", "of", "keys", "data").groupBy("shard")).applyInArrow(_reply, "shard int, part int, block int, check long, words array<binary>, pairs binary")
