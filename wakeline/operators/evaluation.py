@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def confusion(rows: DataFrame, threshold: float, *keys: str) -> DataFrame:
-    """tp, fp, fn, tn at a threshold (score >= threshold is positive), per key; rows without score or label are left out."""
-    hit, pos = F.col("score") >= threshold, F.col("y") == 1
-    return rows.filter("score is not null and y is not null").groupBy(*keys).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
+    """tp, fp, fn, tn at a threshold (score >= threshold is positive), per key; invalid counts the rows without score or label."""
+    known = F.col("score").isNotNull() & F.col("y").isNotNull()
+    hit, pos = known & (F.col("score") >= threshold), known & (F.col("y") == 1)
+    return rows.groupBy(*keys).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & known & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(known & ~hit & ~pos).alias("tn"), F.count_if(~known).alias("invalid"))
 
 
 def derived(counts: DataFrame, empty=None) -> DataFrame:
@@ -24,14 +25,21 @@ def derived(counts: DataFrame, empty=None) -> DataFrame:
 
 
 def sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Confusion counts and derived scores at each threshold, from one reduction of the rows to counts by score."""
-    spark = rows.sparkSession
-    grid = spark.createDataFrame([(float(t),) for t in sorted(set(thresholds))], "threshold double")
-    by_score = rows.filter("score is not null and y is not null").groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
-    hit = F.col("score") >= F.col("threshold")
-    part = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0)).alias
-    out = by_score.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(part("p", hit)("tp"), part("n", hit)("fp"), part("p", ~hit)("fn"), part("n", ~hit)("tn"))
-    return derived(out)
+    """Confusion counts and derived scores at each threshold.
+
+    A row falls into the interval between two thresholds; the rows are summed by
+    interval once, and running sums over the few intervals give every threshold.
+    """
+    spark, cuts = rows.sparkSession, sorted(set(map(float, thresholds)))
+    grid = spark.createDataFrame([(i + 1, t) for i, t in enumerate(cuts)], "k int, threshold double")
+    # the number of thresholds that the score reaches
+    k = sum((F.when(F.col("score") >= t, 1).otherwise(0) for t in cuts), F.lit(0)).alias("k")
+    by = rows.filter("score is not null and y is not null").groupBy(k).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
+    by = grid.join(by, "k", "full").select("k", "threshold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p", "n")])
+    w = Window.orderBy("k")
+    above, below = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = by.select("threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.coalesce(F.sum("p").over(below), F.lit(0)).alias("fn"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("tn"))
+    return derived(out.filter("threshold is not null"))
 
 
 def best_threshold(swept: DataFrame, key: str = "iou") -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut, prepare
+from .graph import components
 
 M_PER_DEG = math.pi / 180 * 6_371_008.8
 
@@ -33,9 +36,10 @@ def standardise(x: Column, lo: float, hi: float, mean: float, std: float) -> Col
     return F.coalesce((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - mean) / max(std, 1e-6), F.lit(0.0))
 
 
-def pool(pixels: DataFrame, factor: int, how: str, rows: int, cols: int) -> DataFrame:
-    """Mean or max over blocks; the ragged edge is trimmed."""
-    inside = pixels.filter((F.col("row_i") < rows // factor * factor) & (F.col("col_i") < cols // factor * factor))
+def pool(pixels: DataFrame, factor: int, how: str) -> DataFrame:
+    """Mean or max over blocks; the ragged edge, by the raster's own extent, is trimmed."""
+    whole = lambda c: (F.floor((F.max(c) + 1) / factor) * factor).alias(f"_{c}")
+    inside = pixels.crossJoin(F.broadcast(pixels.agg(whole("row_i"), whole("col_i")))).filter("row_i < _row_i and col_i < _col_i")
     agg = F.avg("value") if how == "mean" else F.max("value")
     return inside.groupBy(F.floor(F.col("row_i") / factor).cast("int").alias("r"), F.floor(F.col("col_i") / factor).cast("int").alias("c")).agg(agg.alias("value"))
 
@@ -98,42 +102,26 @@ def neighbours(mask: DataFrame, how: str) -> DataFrame:
 
 
 def connected_regions(mask: DataFrame) -> DataFrame:
-    """8-connected regions of each scene's mask: scene, row_i, col_i, region.
+    """8-connected regions of each scene's mask (scene, row_i, col_i): adds region, the same number for all cells of a region.
 
-    A scene is one image, so its pixels fit one task; scenes run in parallel.
+    Cells meet their neighbours by equi-joins on shifted positions and labels spread by
+    graph.components, so a scene of any size is shared by all tasks.
     """
+    cells = cut(mask.select("scene", "row_i", "col_i").distinct().withColumn("cell", F.monotonically_increasing_id()))
+    half = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    asked = cells.select("scene", F.col("cell").alias("a"), F.explode(half).alias("k"), "row_i", "col_i").select("scene", "a", (F.col("row_i") + F.col("k.a")).alias("row_i"), (F.col("col_i") + F.col("k.b")).alias("col_i"))
+    links = asked.join(cells.withColumnRenamed("cell", "b"), ["scene", "row_i", "col_i"]).select("a", "b")
+    labels = components(links)
+    return cells.join(labels, F.col("cell") == F.col("node"), "left").select("scene", "row_i", "col_i", F.coalesce("root", "cell").alias("region"))
+
+
+def hull(points: DataFrame, salts: int = 16) -> DataFrame:
+    """Convex hull vertices (grp, n, x, y), counter-clockwise from the least x.
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf.row_i.to_numpy(), pdf.col_i.to_numpy()
-        grid = np.full((r.max() - r.min() + 3, c.max() - c.min() + 3), -1, np.int64)
-        at = (r - r.min() + 1, c - c.min() + 1)
-        grid[at] = np.arange(len(r))
-        inside, big = grid >= 0, np.iinfo(np.int64).max
-        now = np.where(inside, grid, big)
-        while True:
-            wide = np.minimum.reduce([np.roll(np.roll(now, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-            new = np.where(inside, np.minimum(now, wide), big)
-            flat = new.ravel()
-            own = flat[inside.ravel()]
-            jump = flat[np.ravel_multi_index(at, grid.shape)]  # labels are pixel numbers: follow them once
-            new[inside] = np.minimum(own, jump[own])
-            if (new == now).all():
-                break
-            now = new
-        _, region = np.unique(now[at], return_inverse=True)
-        return pd.DataFrame({"scene": pdf.scene, "row_i": r, "col_i": c, "region": region.astype(np.int64) + 1})
-
-    return mask.groupBy("scene").applyInPandas(label, "scene string, row_i int, col_i int, region long")
-
-
-def hull(points: DataFrame) -> DataFrame:
-    """Convex hull vertices (grp, n, x, y), counter-clockwise.
-
-    Of the points with one x only the lowest and the highest can be vertices, so each
-    group is first reduced to those.
+    A vertex of the whole is a vertex of any part, so each group is cut into parts, a
+    part is reduced to its own hull, and only those vertices meet in one task.
     """
-    ends = points.groupBy("grp", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    few = ends.select("grp", "x", F.explode(F.array("lo", "hi")).alias("y")).distinct()
+    prepare(points.sparkSession)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         p = sorted(set(zip(pdf.x.tolist(), pdf.y.tolist())))
@@ -148,4 +136,6 @@ def hull(points: DataFrame) -> DataFrame:
         ring = half if len(p) > 1 else p
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "n": range(len(ring)), "x": [q[0] for q in ring], "y": [q[1] for q in ring]})
 
-    return few.groupBy("grp").applyInPandas(chain, "grp long, n int, x double, y double")
+    schema = T.StructType([points.schema["grp"], *T._parse_datatype_string("n int, x double, y double").fields])
+    some = points.select("grp", "x", "y").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
+    return some.groupBy("grp", "part").applyInPandas(lambda pdf: chain(pdf), schema).groupBy("grp").applyInPandas(chain, schema)

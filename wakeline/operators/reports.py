@@ -6,17 +6,22 @@ daily extract is parsed inside whole-stage code generation.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codes
-from ..functions.geo import bearing_deg, haversine_km
+from ..functions.geo import EARTH_RADIUS_KM, bearing_deg, haversine_km
+from ..session import prepare
 
 RAW_COLUMNS = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "COG", "Heading", "VesselName", "IMO", "CallSign", "VesselType", "Status", "Length", "Width", "Draft", "Cargo", "TransceiverClass"]
 # Texts that stand for nothing.
 NO_CALL_SIGN = ["NA", "N/A", "NONE", "NO COMM", "NOCOMM", "UNKNOWN", "-", "--", "0", "NIL"]
 NO_NAME = ["NA", "N/A", "NONE", "UNKNOWN", "NO NAME", "NONAME", "VESSEL", "-", "--", "0"]
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBERS = ["LON", "LAT", "SOG", "COG", "Heading", "Status", "VesselType", "Cargo", "Length", "Width", "Draft"]
 MAX_SPEED_KN, KM_PER_NM, GAP_FACTOR = 45.0, 1.852, 1.5
 
 
@@ -32,17 +37,16 @@ def number(c: str) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def positive(c: str) -> Column:
-    return F.when(number(c) > 0, number(c))
+def positive(x: Column) -> Column:
+    return F.when(x > 0, x)
 
 
-def code(c: str) -> Column:
-    """Integer code, truncated toward zero; 0 means unset."""
-    return F.nullif(number(c).cast("int"), F.lit(0))
+def code(x: Column) -> Column:
+    """Integer code, truncated toward zero; 0 means unset, and what no integer holds is null."""
+    return F.nullif(x.try_cast("int"), F.lit(0))
 
 
-def bearing(c: str, unset: float) -> Column:
-    x = number(c)
+def bearing(x: Column, unset: float) -> Column:
     return F.when((x != unset) & (x >= 0) & (x < 360), x)
 
 
@@ -60,18 +64,19 @@ def parse(raw: DataFrame) -> DataFrame:
     disposition: ``unusable`` if identity, time or position is missing or out of
     range, else ``usable``.  Codes and sentinels that mean "unset" become null.
     """
+    raw = raw.withColumns({f"_{c}": number(c) for c in NUMBERS}).withColumns({"_mmsi": F.trim("MMSI")})
     imo = F.regexp_extract(F.trim("IMO"), r"^(?:[Ii][Mm][Oo])?\s*([1-9][0-9]{6})$", 1)
-    sog = number("SOG")
+    sog = F.col("_SOG")
     out = raw.select(
         "pos",
-        F.when(F.trim("MMSI").rlike("^[0-9]{9}$"), F.trim("MMSI")).alias("mmsi"),
+        F.when(F.col("_mmsi").rlike("^[0-9]{9}$"), F.col("_mmsi")).alias("mmsi"),
         F.unix_micros(F.try_to_timestamp(F.trim("BaseDateTime"))).alias("t_us"),
-        F.round(number("LON"), 6).alias("lon"), F.round(number("LAT"), 6).alias("lat"),
+        F.round("_LON", 6).alias("lon"), F.round("_LAT", 6).alias("lat"),
         F.when((sog != 102.3) & (sog >= 0), F.round(sog, 1)).alias("sog"),
-        bearing("COG", 360.0).alias("cog"), bearing("Heading", 511.0).alias("heading"),
-        number("Status").cast("int").alias("status_code"), text("VesselName", NO_NAME).alias("name"),
+        bearing(F.col("_COG"), 360.0).alias("cog"), bearing(F.col("_Heading"), 511.0).alias("heading"),
+        F.col("_Status").try_cast("int").alias("status_code"), text("VesselName", NO_NAME).alias("name"),
         F.when(imo != "", F.concat(F.lit("IMO"), imo)).alias("imo"), text("CallSign", NO_CALL_SIGN).alias("call_sign"),
-        code("VesselType").alias("type_code"), code("Cargo").alias("cargo_code"), positive("Length").alias("length_m"), positive("Width").alias("width_m"), positive("Draft").alias("draft_m"),
+        code(F.col("_VesselType")).alias("type_code"), code(F.col("_Cargo")).alias("cargo_code"), positive(F.col("_Length")).alias("length_m"), positive(F.col("_Width")).alias("width_m"), positive(F.col("_Draft")).alias("draft_m"),
         text("TransceiverClass").alias("transceiver"),
     )
     bad = F.col("mmsi").isNull() | F.col("t_us").isNull() | F.coalesce(~F.col("lon").between(-180, 180), F.lit(True)) | F.coalesce(~F.col("lat").between(-90, 90), F.lit(True))
@@ -100,25 +105,58 @@ def clean(reports: DataFrame, max_speed_kn: float = MAX_SPEED_KN) -> DataFrame:
     """Reports (mmsi, pos, t_us, lon, lat, ...) with the reason of their rejection, null if accepted.
 
     In time order each report is tested against the last one accepted: a position
-    out of range, then the same instant, then an implied speed above the limit.  The
-    state depends on acceptance, so this is a fold over each vessel's own reports.
+    out of range, then the same instant, then an implied speed above the limit.  What
+    is decided by a report alone (no time, a bad position) is decided first.  A track
+    is cut at silences so long that no place on Earth is too far; a part in which no
+    neighbours are at the same instant or too far apart is accepted as it is, and only
+    the other parts are folded in order, many of them in one task.
     """
-    keep = [c for c in reports.columns if c not in ("mmsi", "t_us", "pos")]
-    row = F.struct("t_us", "pos", *keep)
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.array().cast("array<string>").alias("why"))
-
-    def step(s, r):
-        bad = ~F.coalesce(r["lon"].between(-180, 180) & r["lat"].between(-90, 90), F.lit(False))
-        hours = (r["t_us"] - s["t"]) / F.lit(3.6e9)
-        speed = haversine_km(s["lon"], s["lat"], r["lon"], r["lat"]) / KM_PER_NM / F.when(hours > 0, hours)
-        why = F.when(r["t_us"].isNull(), "unparsable_time").when(bad, "bad_position").when(s["t"] == r["t_us"], "duplicate_timestamp").when(speed > max_speed_kn, "impossible_speed")
-        ok = why.isNull()
-        return F.struct(F.when(ok, r["t_us"]).otherwise(s["t"]).alias("t"), F.when(ok, r["lon"]).otherwise(s["lon"]).alias("lon"), F.when(ok, r["lat"]).otherwise(s["lat"]).alias("lat"), F.array_append(s["why"], why).alias("why"))
-
-    track = reports.groupBy("mmsi").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    track = track.withColumn("why", F.aggregate("rows", start, step, lambda s: s["why"]))
-    flat = track.select("mmsi", F.explode(F.arrays_zip("rows", "why")).alias("z"))
-    return flat.select("mmsi", "z.rows.*", F.col("z.why").alias("rejected"))
+    bad = ~F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))
+    own = F.when(F.col("t_us").isNull(), "unparsable_time").when(bad, "bad_position")
+    named = reports.withColumn("_own", own)
+    w = Window.partitionBy("mmsi", F.col("_own").isNull()).orderBy("t_us", "pos")
+    gap = F.col("t_us") - F.lag("t_us").over(w)
+    # half the circumference at the limit: no later report is too fast after such a silence
+    free = F.coalesce(gap / F.lit(3.6e9) * (max_speed_kn * KM_PER_NM) > HALF_WAY_KM, F.lit(True))
+    named = named.withColumn("_part", F.sum(free.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = lambda c: F.lag(c).over(Window.partitionBy("mmsi", F.col("_own").isNull(), "_part").orderBy("t_us", "pos"))
+    hours = (F.col("t_us") - back("t_us")) / F.lit(3.6e9)
+    fast = haversine_km(back("lon"), back("lat"), F.col("lon"), F.col("lat")) / KM_PER_NM > max_speed_kn * hours
+    named = named.withColumn("_odd", F.col("_own").isNull() & F.coalesce((hours == 0) | fast, F.lit(False)))
+    named = named.withColumn("_fold", F.max("_odd").over(Window.partitionBy("mmsi", F.col("_own").isNull(), "_part")))
+    out = named.filter(~F.col("_fold")).withColumn("rejected", F.col("_own")).drop("_own", "_part", "_odd", "_fold")
+    schema = T.StructType([*reports.schema.fields, T.StructField("rejected", T.StringType())])
+    prepare(reports.sparkSession)
+    folded = named.filter("_fold").drop("_own", "_odd", "_fold").groupBy("mmsi", "_part").applyInPandas(_fold(max_speed_kn), schema)
+    return out.unionByName(folded)
+
+
+HALF_WAY_KM = 20_100.0
+
+
+def _fold(max_speed_kn: float):
+    """The reports of one stretch in time order, each tested against the last one accepted."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t_us", "pos"]).drop(columns="_part")
+        t, x, y = pdf.t_us.to_numpy(), np.radians(pdf.lon.to_numpy()), np.radians(pdf.lat.to_numpy())
+        why, last = [None] * len(pdf), -1
+        for i in range(len(pdf)):
+            if last >= 0 and t[i] == t[last]:
+                why[i] = "duplicate_timestamp"
+            elif last >= 0 and implied_knots(x[last], y[last], x[i], y[i], (t[i] - t[last]) / 3.6e9) > max_speed_kn:
+                why[i] = "impossible_speed"
+            else:
+                last = i
+        return pdf.assign(rejected=why)
+
+    return run
+
+
+def implied_knots(x1, y1, x2, y2, hours):
+    """Speed between two places in radians."""
+    a = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+    return 2 * EARTH_RADIUS_KM * np.arcsin(min(1.0, np.sqrt(a))) / KM_PER_NM / hours
 
 
 def gaps(reports: DataFrame, factor: float = GAP_FACTOR) -> DataFrame:

@@ -46,9 +46,12 @@ _SWEPT = f"""g AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in T)}]) AS th
 sw AS (SELECT threshold, {_CONF.format(t='threshold')} FROM g, scores GROUP BY threshold)"""
 
 
-@query(f"SELECT grp, {_CONF.format(t='0.5::DOUBLE')} FROM scores GROUP BY grp")
+_HOLED = "SELECT grp, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE score END AS score, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE y END AS y FROM scores"
+
+
+@query(f"SELECT grp, {_CONF.format(t='0.5::DOUBLE')}, count(*) FILTER (score IS NULL OR y IS NULL) AS invalid FROM ({_HOLED}) GROUP BY grp")
 def confusion(spark, d):
-    return E.confusion(bridge(spark, d, "scores"), 0.5, "grp")
+    return E.confusion(load(spark, d, with_views(_HOLED, "spark")), 0.5, "grp")
 
 
 _DERIVED = "tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0)::DOUBLE AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS f1, " + _IOU + " AS iou"
@@ -56,7 +59,7 @@ _DERIVED = "tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0
 
 @query(f"WITH c AS (SELECT grp, {_CONF.format(t='0.5::DOUBLE')} FROM scores GROUP BY grp) SELECT *, {_DERIVED} FROM c")
 def derived_scores(spark, d):
-    return E.derived(E.confusion(bridge(spark, d, "scores"), 0.5, "grp"))
+    return E.derived(E.confusion(bridge(spark, d, "scores"), 0.5, "grp").drop("invalid"))
 
 
 @query(f"WITH {_SWEPT} SELECT *, {_DERIVED} FROM sw")
@@ -182,8 +185,8 @@ def standardise(spark, d):
 
 
 for _how in ("mean", "max"):
-    _ORACLES[f"{_how}_pool"] = f"SELECT floor(row_i / 4)::INT AS r, floor(col_i / 4)::INT AS c, round({'avg' if _how == 'mean' else 'max'}(value), 6) AS value FROM raster WHERE row_i < 36 AND col_i < 48 GROUP BY 1, 2"
-    QUERIES[f"{_how}_pool"] = lambda spark, d, how=_how: _r(P.pool(bridge(spark, d, "raster"), 4, how, 38, 50), 6, "value")
+    _ORACLES[f"{_how}_pool"] = f"SELECT floor(row_i / 4)::INT AS r, floor(col_i / 4)::INT AS c, round({'avg' if _how == 'mean' else 'max'}(value), 6) AS value FROM raster WHERE row_i < (SELECT (max(row_i) + 1) // 4 * 4 FROM raster) AND col_i < (SELECT (max(col_i) + 1) // 4 * 4 FROM raster) GROUP BY 1, 2"
+    QUERIES[f"{_how}_pool"] = lambda spark, d, how=_how: _r(P.pool(bridge(spark, d, "raster"), 4, how), 6, "value")
 
 _AREA = "pow(0.0001::DOUBLE * pi() / 180 * 6371008.8::DOUBLE, 2) * cos(radians(28.5::DOUBLE - (row_i + 0.5::DOUBLE) * 0.0001::DOUBLE))"
 
@@ -243,19 +246,28 @@ for _how, _n in (("erode", 9), ("dilate", 1)):
     QUERIES[_how] = lambda spark, d, how=_how: P.neighbours(bridge(spark, d, "raster").filter("value < 1500").select(F.lit("all").alias("scene"), "row_i", "col_i").distinct(), how)
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT row_i, col_i, row_number() OVER (ORDER BY row_i, col_i) AS id FROM (SELECT DISTINCT row_i, col_i FROM raster WHERE oil)),
-e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.row_i - b.row_i) <= 1 AND abs(a.col_i - b.col_i) <= 1),
+@query("""WITH RECURSIVE m AS (SELECT scene, row_i, col_i, row_number() OVER (ORDER BY scene, row_i, col_i) AS id FROM (SELECT DISTINCT 'all' AS scene, row_i, col_i FROM raster WHERE oil UNION ALL SELECT DISTINCT scene, row_i, col_i FROM raster WHERE value < 1500)),
+n AS (SELECT m.*, row_i + a AS r, col_i + b AS c FROM m, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b)),
+e AS MATERIALIZED (SELECT n.id AS a, m.id AS b FROM n JOIN m ON m.scene = n.scene AND m.row_i = n.r AND m.col_i = n.c),
 c(id, root) USING KEY (id) AS (SELECT a, min(b) FROM e GROUP BY a UNION SELECT e.a, min(c.root) FROM c JOIN e ON e.b = c.id JOIN recurring.c AS o ON o.id = e.a WHERE c.root < o.root GROUP BY e.a)
-SELECT size, count(*) AS regions FROM (SELECT root, count(*) AS size FROM c GROUP BY root) GROUP BY size""")
+SELECT scene, size, count(*) AS regions FROM (SELECT scene, root, count(*) AS size FROM c JOIN m USING (id) GROUP BY scene, root) GROUP BY scene, size""")
 def connected_components(spark, d):
-    mask = bridge(spark, d, "raster").filter("oil").select(F.lit("all").alias("scene"), "row_i", "col_i").distinct()
-    return P.connected_regions(mask).groupBy("region").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("regions"))
-
-
-@query()
+    r = bridge(spark, d, "raster")
+    mask = r.filter("oil").select(F.lit("all").alias("scene"), "row_i", "col_i").unionByName(r.filter("value < 1500").select("scene", "row_i", "col_i"))
+    return P.connected_regions(mask).groupBy("scene", "region").agg(F.count(F.lit(1)).alias("size")).groupBy("scene", "size").agg(F.count(F.lit(1)).alias("regions"))
+
+
+# a point is a vertex iff all others fit between two directions less than half a turn apart; here by whole-number coordinates, so no rounding decides
+@query("""WITH p AS (SELECT DISTINCT event_id % 40 AS grp, (event_id * 7919 % 1000) AS x, (event_id * 104729 % 997) AS y FROM events),
+e AS (SELECT a.grp, a.x, a.y, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.grp = b.grp AND (a.x, a.y) <> (b.x, b.y)),
+s AS (SELECT e.grp, e.x, e.y, e.x2, e.y2, bool_and((e.x2 - e.x) * (c.y - e.y) - (e.y2 - e.y) * (c.x - e.x) >= 0) AS side,
+        bool_or((e.x2 - e.x) * (c.y - e.y) - (e.y2 - e.y) * (c.x - e.x) = 0 AND (c.x - e.x) * (e.x2 - e.x) + (c.y - e.y) * (e.y2 - e.y) < 0) AS behind,
+        bool_or((e.x2 - e.x) * (c.y - e.y) - (e.y2 - e.y) * (c.x - e.x) = 0 AND (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) > (e.x2 - e.x) * (e.x2 - e.x) + (e.y2 - e.y) * (e.y2 - e.y) AND (c.x - e.x) * (e.x2 - e.x) + (c.y - e.y) * (e.y2 - e.y) > 0) AS beyond
+      FROM e JOIN p c ON c.grp = e.grp GROUP BY ALL)
+SELECT DISTINCT grp, x::DOUBLE AS x, y::DOUBLE AS y FROM s WHERE side AND NOT behind AND NOT beyond""")
 def convex_hull(spark, d):
-    r = bridge(spark, d, "reports")
-    return P.hull(r.select(F.pmod(F.col("mmsi").cast("long"), F.lit(40)).alias("grp"), F.col("lon").alias("x"), F.col("lat").alias("y")))
+    p = _t(spark, d, "events").select((F.col("event_id") % 40).alias("grp"), (F.col("event_id") * 7919 % 1000).cast("double").alias("x"), (F.col("event_id") * 104729 % 997).cast("double").alias("y"))
+    return P.hull(p).select("grp", "x", "y")
 
 
 _DOC, _LAB = "SELECT doc_id FROM documents", "SELECT doc_id FROM labels"

@@ -11,16 +11,22 @@ from ..operators.reports import RAW_COLUMNS, check_header
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The 17 text columns and ``pos``, the place of a row in its file.
 
-    The header is checked by name and order before the scan; the scan itself never
-    infers a schema.
+    The header of every file is checked by name and order before the scan; the scan
+    itself never infers a schema.  ``limit`` bounds the rows examined, not those kept.
     """
-    first = spark.read.text(path).limit(1).collect()
-    check_header(first[0].value.lstrip("﻿").split(",") if first else [])
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.groupBy("f").agg(F.min_by("value", "n").alias("head")).select(F.ltrim(F.col("head"), F.lit("﻿")).alias("head")).distinct()
+    found = [r.head for r in heads.limit(3).collect()]
+    if not found:
+        check_header([])
+    for head in found:
+        check_header(head.split(","))
     raw = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).option("escape", '"').csv(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id())
+    raw = raw.withColumn("pos", F.monotonically_increasing_id())
+    return raw if limit is None else raw.orderBy("pos").limit(limit)
 
 
 def write(reports: DataFrame, path: str) -> None:

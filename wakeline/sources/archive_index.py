@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 def read(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """One row an object; ``columns`` maps a new name to a part of the header's title.
 
-    The block from ``/*`` to ``*/`` and the header are found in the first lines of the
-    file; short rows are padded with nulls.
+    Rows begin after the line that ends the comment block (``*/``), if there is one, and
+    the header; short rows are padded with nulls.  Every file has the same header.
     """
-    lines = spark.read.text(path)
-    head, block = None, False
-    for r in lines.limit(1000).toLocalIterator():
-        line = r.value
-        if line.startswith("/*"):
-            block = True
-        if not block and line.strip():
-            head = line
-            break
-        if "*/" in line:
-            block = False
-    if head is None:
-        raise ValueError("no header found in the first 1000 lines")
+    # the comment block is found by its end: its own lines may hold tabs
+    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("f"))
+    ends = lines.filter(F.col("value").contains("*/")).groupBy("f").agg(F.min("n").alias("end"))
+    body = lines.join(F.broadcast(ends), "f", "left").filter((F.coalesce("end", F.lit(-1)) < F.col("n")) & (F.trim("value") != ""))
+    first = body.groupBy("f").agg(F.min_by("value", "n").alias("head"), F.min("n").alias("at"))
+    heads = first.select("head").distinct().limit(2).collect()  # one row a file in first, at most two here
+    if not heads:
+        raise ValueError("no header found")
+    if len(heads) > 1:
+        raise ValueError("the files of the folder have different headers")
+    head = heads[0].head
     titles = head.split("\t")
     at = {}
     for name, part in columns.items():
@@ -33,7 +31,7 @@ def read(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
             raise ValueError(f"no column title holds {part!r}")
         at[name] = found[0]
     cells = F.split("value", "\t")
-    rows = lines.filter((F.col("value") != head) & F.col("value").contains("\t"))
+    rows = body.join(F.broadcast(first.select("f", "at")), "f").filter((F.col("n") > F.col("at")) & F.col("value").contains("\t"))
     return rows.select(*[F.nullif(F.trim(F.get(cells, i)), F.lit("")).alias(n) for n, i in at.items()])
 
 
