@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, word_hashes
 
 #: Text bytes that a task counts, or asks about, at once; and of a shard.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+#: Text bytes that are hashed at once: a stage here has up to three Python workers for each core.
+HASHED_BYTES = 1 << 20
 #: Trusted ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
@@ -99,7 +101,7 @@ def _blocks(batches):
     """Lists of text columns of about BLOCK_BYTES."""
     held, size = [], 0
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", HASHED_BYTES):
             n = part.column("text").nbytes
             if held and size + n > BLOCK_BYTES:
                 yield held
@@ -242,7 +244,7 @@ def _texts(rows):
 
 def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Words and limits of a block, hashed some megabytes at a time."""
-    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text")]
+    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", HASHED_BYTES)]
     shift = np.cumsum([0, *(len(w) for w, _ in parts)])
     return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(x[1:] + s for (_, x), s in zip(parts, shift))]).astype(np.int64)
 
@@ -323,19 +325,11 @@ def _score(shards: int, numbers: tuple):
             total, n1, n2, n3 = known[1:, first]
             lp = log_probabilities(numbers, count, known[0, last], total, n1, n2, n3, total)
             n = np.diff(limits)
-            yield rid.tobytes(), n.astype(np.int64).tobytes(), row_sums(lp[which], limits).tobytes()
+            yield from zip(rid.tolist(), n.tolist(), np.exp(-row_sums(lp[which], limits) / n).tolist())
 
     return run
 
 
-def _unpack(batches):
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("perplexity", pa.float64())])
-    for batch in batches:
-        for r in batch.to_pylist():
-            n, lp = np.frombuffer(r["n"], np.int64), np.frombuffer(r["logp"], np.float64)
-            yield batch_of(schema, np.frombuffer(r["rid"], np.int64), n, np.exp(-lp / n))
-
-
 def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is a table of its own."""
     spark, shards, numbers = rows.sparkSession, model.shards, model.numbers()
@@ -354,8 +348,7 @@ def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     # answers go to the partition that asked; there the texts are read again
     back = reply.rdd.map(lambda r: (r.part, r)).partitionBy(max(texts.getNumPartitions(), 1), int).mapPartitions(by_block)
     scored = texts._reserialize(single).zip(back._reserialize(single)).mapPartitions(_score(shards, numbers))
-    packed = spark.createDataFrame(scored, "rid binary, n binary, logp binary", verifySchema=False)
-    return table(packed.mapInArrow(_unpack, "rid long, n long, perplexity double"))
+    return table(spark.createDataFrame(scored, "rid long, n long, perplexity double", verifySchema=False))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
