@@ -290,21 +290,6 @@ same("order_preserving_dedup", "SELECT lower(event_type) AS k, min(event_id) AS
 same("particle_cloud_stats", "WITH c AS (SELECT t_us - t_us % 86400000000 AS day, avg(lon) AS mlon, avg(lat) AS mlat FROM reports GROUP BY t_us - t_us % 86400000000) SELECT c.day, count(*) AS n, round(max(sqrt((lon - mlon) * (lon - mlon) + (lat - mlat) * (lat - mlat))), 6) AS spread FROM reports r JOIN c ON c.day = r.t_us - r.t_us % 86400000000 GROUP BY c.day")
 
 
-@query("SELECT s.event_id, n.i, n.gap FROM events s, LATERAL (SELECT i, abs(s.event_id % 300 - i * 7) AS gap FROM range(43) r(i) ORDER BY gap, i LIMIT 1) n")
-def asof_nearest(spark, d):
-    """Nearest grid step: computed from the step's length, ties to the earlier step."""
-    x = F.col("event_id") % 300
-    low = F.least(F.floor(x / 7), F.lit(42))
-    i = F.when((low < 42) & (F.abs(x - (low + 1) * 7) < F.abs(x - low * 7)), low + 1).otherwise(low)
-    return _t(spark, d, "events").select("event_id", i.cast("long").alias("i"), F.abs(x - i * 7).alias("gap"))
-
-
-@query("SELECT pos, a.seg AS before, least(a.seg + 1, 47) AS after FROM reports r ASOF JOIN (SELECT seg, 1705276800000000 + seg::BIGINT * 1800000000 AS t FROM envelope) a ON r.t_us >= a.t")
-def asof_bracket(spark, d):
-    seg = F.least(F.floor((F.col("t_us") - 1705276800000000) / F.lit(1.8e9)), F.lit(47)).cast("int")
-    return bridge(spark, d, "reports").filter("t_us >= 1705276800000000").select("pos", seg.alias("before"), F.least(seg + 1, F.lit(47)).alias("after"))
-
-
 @query("SELECT o_orderkey, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 1) AS mission, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 2) AS mode, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 3) AS yr FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'S1A_IW_' ELSE 'S1B_EW_' END || (2014 + o_orderkey % 9)::STRING || '_' || o_orderstatus AS k FROM orders)")
 def product_id_regex(spark, d):
     k = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "S1A_IW_").otherwise("S1B_EW_"), (2014 + F.col("o_orderkey") % 9).cast("string"), F.lit("_"), F.col("o_orderstatus"))

@@ -41,6 +41,24 @@ SCORES = "SELECT d.doc_id, d.source AS grp, d.lang AS stratum, CAST(l.quality AS
 FEATURES = "SELECT vec_id, CAST(label % 2 AS INT) AS y, label AS grp, {at} FROM {embeddings} WHERE label IS NOT NULL"
 NAMES = ["darkness", "darkness_p10", "texture", "edge", "compactness", "solidity", "elongation"]
 AT = {"spark": ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS {n}" for i, n in enumerate(NAMES)), "duckdb": ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(NAMES))}
+FIELD = """
+SELECT CAST(l_linenumber AS INT) AS step, CAST(l_suppkey % 9 AS INT) AS gj, CAST(l_partkey % 11 AS INT) AS gi, 27 + (l_suppkey % 9) * 0.5E0 AS lat, -92 + (l_partkey % 11) * 0.5E0 AS lon,
+  CASE WHEN ((l_suppkey % 9) * (l_partkey % 11) + l_linenumber) % 13 = 7 THEN NULL ELSE max(l_discount) * 10E0 - 0.5E0 END AS u,
+  CASE WHEN ((l_suppkey % 9) * (l_partkey % 11) + l_linenumber) % 13 = 7 THEN NULL ELSE 0.4E0 - max(l_tax) * 5E0 END AS v
+FROM {lineitem} GROUP BY l_linenumber, l_suppkey % 9, l_partkey % 11
+"""
+AXIS = "SELECT DISTINCT CAST(l_linenumber AS INT) AS step, 1705276800000000 + CAST(l_linenumber AS BIGINT) * l_linenumber * 10800000000 AS at_us FROM {lineitem}"
+SCENES = """
+SELECT o_orderkey AS scene, o_custkey AS parent, o_orderstatus AS status, -92.5E0 + (o_orderkey % 61) * 0.1E0 AS west, -92.5E0 + (o_orderkey % 61) * 0.1E0 + (o_orderkey % 7) * 0.1E0 + 0.2E0 AS east,
+  26.5E0 + (o_orderkey % 47) * 0.1E0 AS south, 26.5E0 + (o_orderkey % 47) * 0.1E0 + (o_orderkey % 5) * 0.1E0 + 0.1E0 AS north,
+  CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 1705276800000000 + (o_orderkey % 400) * 3600000000 END AS t_us
+FROM {orders}
+"""
+PIXELS = """
+SELECT o_orderkey % 40 AS scene, CAST(o_orderkey // 40 // 24 AS INT) AS row_i, CAST(o_orderkey // 40 % 24 AS INT) AS col_i, o_totalprice / 1000E0 AS vv, CASE WHEN o_custkey % 31 = 0 THEN 0E0 ELSE o_custkey % 97 * 1E0 END AS vh,
+  o_orderkey * 7919 % 100 < 20 AS oil
+FROM {orders}
+"""
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -53,6 +71,7 @@ def views(dialect: str) -> dict[str, str]:
     return {
         "reports": reports, "raw": RAW.format(**names), "envelope": ENVELOPE.format(range=span), "raster": RASTER.format(**names),
         "scores": SCORES.format(**names), "features": FEATURES.format(at=AT[dialect], **names),
+        "field": FIELD.format(**names), "axis": AXIS.format(**names), "scenes": SCENES.format(**names), "pixels": PIXELS.format(**names).replace("//", "div" if dialect == "spark" else "//"),
     }
 
 
