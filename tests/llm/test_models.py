@@ -61,7 +61,7 @@ def brute_perplexity(trusted, texts):
 
 @pytest.mark.parametrize("shards", [1, 3])
 def test_perplexities_match_brute_force(spark, shards, monkeypatch):
-    monkeypatch.setattr("wakeline.llm.quality.BLOCK_BYTES", 3000)  # here, in the driver: blocks of the executors stay large
+    monkeypatch.setattr("wakeline.llm.quality.BLOCK_BYTES", 30_000)  # in the driver: several blocks
     data = [r for r in rows(n=60) if len(r[1] or "") < 60_000]
     texts = [(i, r[1] or "") for i, r in enumerate(data)]
     df = spark.createDataFrame(texts, "rid long, text string").repartition(3, "rid")

@@ -7,10 +7,10 @@ trusted documents that the counts do not hold.
 Counts: map tasks sum the word pairs of their own texts before anything is shuffled;
 shards of pairs (by hash) add them up, and the lower order comes from the distinct
 pairs (continuation counts, and for each first word how its followers are counted),
-again by shards.  Scores: a task asks each shard for the distinct pairs and words of
-some megabytes of its text, the shards answer, and the answers come back to the task's
-own place in the input, so texts are read twice and never shuffled.  Asked keys travel
-sorted, as differences in byte planes, which takes about three bytes each.  No count
+again by shards.  Scores: texts are gathered, compressed, in blocks of some megabytes; a
+block asks each shard for its distinct pairs and words, the shards answer, and the
+answers meet the texts in their block.  Asked keys travel sorted, as differences in
+byte planes, which takes about three bytes each.  No count
 passes through the driver (it sees sums of counts of counts), nothing that grows is
 broadcast, and the number of shards grows with the text.
 
@@ -22,17 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, word_hashes
+from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, utf8, word_hashes
 
-#: Text bytes that a task counts, or asks about, at once; and of a shard.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
-#: Text bytes that are hashed at once: a stage here has up to three Python workers for each core.
-HASHED_BYTES = 1 << 20
+#: Text bytes that a task counts, or asks about, at once; of a shard; and that are hashed at once.
+BLOCK_BYTES, SHARD_BYTES, HASHED_BYTES = 8 << 20, 32 << 20, 1 << 20
 #: Trusted ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
@@ -228,29 +224,47 @@ def log_probabilities(numbers: tuple, c, seen_before, total, n1, n2, n3, before_
     return np.log(np.where(before_total > 0, two, one))
 
 
-def _texts(rows):
-    """Row keys and texts of each block of a task's rows."""
-    rid, texts, size = [], [], 0
-    for r, t in rows:
-        if texts and size + len(t) > BLOCK_BYTES:
-            yield np.array(rid, np.int64), texts
-            rid, texts, size = [], [], 0
-        rid.append(r)
-        texts.append(t)
-        size += len(t)
-    if texts:
-        yield np.array(rid, np.int64), texts
+_PACKED = pa.schema([("block", pa.int32()), ("rid", pa.binary()), ("size", pa.binary()), ("text", pa.binary())])
+_PACKED_SQL = "block int, rid binary, size binary, text binary"
 
 
-def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Words and limits of a block, hashed some megabytes at a time."""
-    parts = [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", HASHED_BYTES)]
-    shift = np.cumsum([0, *(len(w) for w, _ in parts)])
-    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(x[1:] + s for (_, x), s in zip(parts, shift))]).astype(np.int64)
+def _pack(blocks: int):
+    """Compressed texts of a task's rows, one row for each block."""
 
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text", BLOCK_BYTES):
+                rid, texts = part.column("rid").to_numpy(zero_copy_only=False).astype(np.int64), part.column("text")
+                order, ends = _by_shard((mix(rid.view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
+                out = [[], [], [], []]
+                for b in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[b] : ends[b + 1]]
+                    data, offs = utf8(texts.take(pa.array(at)))
+                    for o, x in zip(out, (int(b), rid[at].tobytes(), np.diff(offs).tobytes(), pa.Codec("zstd", 1).compress(data.tobytes(), asbytes=True))):
+                        o.append(x)
+                yield batch_of(_PACKED, *out)
+
+    return run
 
-def _check(rid: np.ndarray) -> int:
-    return int(mix(rid.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+def _block(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row keys, words and limits of a block, in the order of the keys."""
+    rids, parts = [], []
+    for rid, size, text in zip(t.column("rid").to_pylist(), t.column("size").to_pylist(), t.column("text").to_pylist()):
+        size = np.frombuffer(size, np.int64)
+        offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        data = pa.Codec("zstd", 1).decompress(text, int(offs[-1]), asbytes=True) if offs[-1] else b""
+        col = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
+        rids.append(np.frombuffer(rid, np.int64))
+        parts += [words(p.column("text")) for p in chunks(pa.RecordBatch.from_arrays([col], ["text"]), "text", HASHED_BYTES)]
+    rid, shift = np.concatenate(rids), np.cumsum([0, *(len(w) for w, _ in parts)])
+    w = np.concatenate([w for w, _ in parts])
+    limits = np.concatenate([[0], *(x[1:] + s for (_, x), s in zip(parts, shift))]).astype(np.int64)
+    order = np.argsort(rid, kind="stable")
+    n = np.diff(limits)[order]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    take = np.arange(ends[-1]) + np.repeat(limits[:-1][order] - ends[:-1], n)
+    return rid[order], w[take], ends
 
 
 def _questions(w: np.ndarray, limits: np.ndarray, shards: int):
@@ -270,20 +284,18 @@ def _questions(w: np.ndarray, limits: np.ndarray, shards: int):
     return out, first[head], last[head], which
 
 
-def _ask(shards: int):
-    def run(part, rows):
-        for i, (rid, texts) in enumerate(rows):
-            (_, wk, we), (_, pk, pe) = _questions(*_words_of(texts), shards)[0]
-            check = _check(rid)
-            for s in range(shards):
-                if we[s + 1] > we[s] or pe[s + 1] > pe[s]:
-                    yield s, part, i, check, _gaps(wk[we[s] : we[s + 1]]), _gaps(pk[pe[s] : pe[s + 1]])
+_ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
+_ANSWER = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("words", pa.list_(pa.binary())), ("pairs", pa.binary())])
 
-    return run
 
+def _ask(shards: int):
+    def run(key, t):
+        (_, wk, we), (_, pk, pe) = _questions(*_block(t)[1:], shards)[0]
+        some = np.flatnonzero((np.diff(we) > 0) | (np.diff(pe) > 0)).tolist()
+        keys = [(_gaps(wk[we[s] : we[s + 1]]), _gaps(pk[pe[s] : pe[s + 1]])) for s in some]
+        return pa.Table.from_batches([batch_of(_ASKED, some, [key[0].as_py()] * len(some), [k for k, _ in keys], [k for _, k in keys])])
 
-_ASKED = T.StructType([T.StructField(n, t()) for n, t in (("shard", T.IntegerType), ("part", T.IntegerType), ("block", T.IntegerType), ("check", T.LongType), ("words", T.BinaryType), ("pairs", T.BinaryType))])
-_ANSWER = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("check", pa.int64()), ("words", pa.list_(pa.binary())), ("pairs", pa.binary())])
+    return run
 
 
 def _look_up(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -305,50 +317,40 @@ def _reply(key, asked: pa.Table, model: pa.Table) -> pa.Table:
         for r in batch.to_pylist():
             wk, pk = _keys(r["words"]), _keys(r["pairs"])
             replies = [squeeze(_look_up(word, s, wk), 8) for s in sums]
-            out.append(batch_of(_ANSWER, [r["shard"]], [r["part"]], [r["block"]], [r["check"]], [replies], [squeeze(_look_up(pair, count, pk), 8)]))
+            out.append(batch_of(_ANSWER, [r["shard"]], [r["block"]], [replies], [squeeze(_look_up(pair, count, pk), 8)]))
     return pa.Table.from_batches(out, _ANSWER)
 
 
+_SCORED = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("perplexity", pa.float64())])
+
+
 def _score(shards: int, numbers: tuple):
-    def run(both):
-        for (rid, texts), answers in both:
-            if any(a.check != _check(rid) for a in answers):
-                raise RuntimeError("the texts of a block changed between two reads")
-            w, limits = _words_of(texts)
-            ((wo, _, _), (po, _, _)), first, last, which = _questions(w, limits, shards)
-            answers = sorted(answers, key=lambda a: a.shard)
-            known = np.empty((5, len(wo)))
-            for j in range(5):
-                known[j, wo] = np.concatenate([expand(a.words[j], 8) for a in answers])
-            count = np.empty(len(po))
-            count[po] = np.concatenate([expand(a.pairs, 8) for a in answers])
-            total, n1, n2, n3 = known[1:, first]
-            lp = log_probabilities(numbers, count, known[0, last], total, n1, n2, n3, total)
-            n = np.diff(limits)
-            yield from zip(rid.tolist(), n.tolist(), np.exp(-row_sums(lp[which], limits) / n).tolist())
+    def run(key, texts, answers):
+        rid, w, limits = _block(texts)
+        ((wo, _, _), (po, _, _)), first, last, which = _questions(w, limits, shards)
+        order = np.argsort(answers.column("shard").to_numpy())
+        replies, counts = ([answers.column(c)[int(i)].as_py() for i in order] for c in ("words", "pairs"))
+        known = np.empty((5, len(wo)))
+        for j in range(5):
+            known[j, wo] = np.concatenate([expand(r[j], 8) for r in replies])
+        count = np.empty(len(po))
+        count[po] = np.concatenate([expand(c, 8) for c in counts])
+        total, n1, n2, n3 = known[1:, first]
+        lp = log_probabilities(numbers, count, known[0, last], total, n1, n2, n3, total)
+        n = np.diff(limits)
+        return pa.Table.from_batches([batch_of(_SCORED, rid, n, np.exp(-row_sums(lp[which], limits) / n))])
 
     return run
 
 
 def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is a table of its own."""
-    spark, shards, numbers = rows.sparkSession, model.shards, model.numbers()
-    single = BatchedSerializer(CPickleSerializer(), 1)  # a block is pickled by itself
-    texts = rows.select("rid", "text").rdd.mapPartitions(_texts)
-    asked = spark.createDataFrame(texts.mapPartitionsWithIndex(_ask(shards)), _ASKED, verifySchema=False)
-    model_rows = model.pairs.filter("kind = 0").withColumn("of", F.lit("pairs")).unionByName(model.words.filter("kind = 0").withColumn("of", F.lit("words")))
-    reply = asked.groupBy("shard").cogroup(model_rows.select("shard", "of", "keys", "data").groupBy("shard")).applyInArrow(_reply, "shard int, part int, block int, check long, words array<binary>, pairs binary")
-
-    def by_block(found):
-        blocks: dict = {}
-        for _, r in found:
-            blocks.setdefault(r.block, []).append(r)
-        return (blocks[b] for b in sorted(blocks))
-
-    # answers go to the partition that asked; there the texts are read again
-    back = reply.rdd.map(lambda r: (r.part, r)).partitionBy(max(texts.getNumPartitions(), 1), int).mapPartitions(by_block)
-    scored = texts._reserialize(single).zip(back._reserialize(single)).mapPartitions(_score(shards, numbers))
-    return table(spark.createDataFrame(scored, "rid long, n long, perplexity double", verifySchema=False))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = rows.select("rid", "text").mapInArrow(_pack(max(1, -(-size // BLOCK_BYTES))), _PACKED_SQL)
+    asked = packed.groupBy("block").applyInArrow(_ask(model.shards), "shard int, block int, words binary, pairs binary")
+    shards = model.pairs.filter("kind = 0").withColumn("of", F.lit("pairs")).unionByName(model.words.filter("kind = 0").withColumn("of", F.lit("words")))
+    reply = asked.groupBy("shard").cogroup(shards.select("shard", "of", "keys", "data").groupBy("shard")).applyInArrow(_reply, "shard int, block int, words array<binary>, pairs binary")
+    return table(packed.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(model.shards, model.numbers()), "rid long, n long, perplexity double"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
