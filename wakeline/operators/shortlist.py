@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.geo import angle_between, bearing_deg, haversine_km
-from .reports import completeness, courses
+from ..functions.geo import angle_between, bearing_deg, haversine_km, within_box, within_window
+from .reports import clean, completeness, courses
 
 INSIDE, IRRELEVANT = 1.0, 3.0
 STOPPED_KN, SLOW_KN = 1.0, 3.0
@@ -116,3 +116,48 @@ def spill_age(timeline: DataFrame) -> DataFrame:
     t = timeline.crossJoin(F.broadcast(origin)).filter("spread_km > 0")
     t = t.withColumn("ratio", haversine_km(F.col("o.lon"), F.col("o.lat"), F.col("lon"), F.col("lat")) / F.col("spread_km"))
     return t.agg(F.min_by(F.abs("hours"), F.when(F.col("ratio") >= 1, F.col("step"))).alias("resolvable_h"), F.max("ratio").alias("max_ratio"), F.max(F.abs("hours")).alias("horizon_h"))
+
+
+def reason(scored: DataFrame) -> Column:
+    """Why a vessel is relevant, or which of the two ways it is not: no report in the window, or none near enough."""
+    km = lambda c: F.format_string("%.2f km", F.round(c, 2))
+    n = lambda c: F.col(c).cast("string")
+    return (
+        F.when(F.col("reports_relevant") > 0, F.concat(n("reports_relevant"), F.lit(" of "), n("reports"), F.lit(" reports in the release window and within 3 radii")))
+        .when((F.col("reports_in_window") == 0) & F.col("nearest_outside_km").isNotNull(), F.concat(F.lit("no report in the release window; nearest outside it "), km("nearest_outside_km")))
+        .when(F.col("reports_in_window") == 0, "no report in the release window")
+        .otherwise(F.concat(n("reports_in_window"), F.lit(" reports in the release window, the closest "), km("dist_km"), F.format_string(" away (%.1f radii)", F.round("radii", 1))))
+    )
+
+
+def explanation(scored: DataFrame) -> Column:
+    """array<string>: a sentence for each component, in order, with the points earned."""
+    earned = lambda k: F.format_string("%.1f/%d ", F.col(f"s_{k}"), F.lit(WEIGHTS[k]))
+    one = lambda fmt, c, places: F.format_string(fmt, F.round(c, places))
+    low = F.coalesce("lowest", "at_sog", "median_sog")
+    return F.array(
+        F.concat(F.lit("distance "), earned("distance"), F.when(F.col("radii").isNull(), "no report in the window").otherwise(F.concat(one("%.2f km", "dist_km", 2), one(", %.1f radii", "radii", 1)))),
+        F.concat(F.lit("time "), earned("time"), F.when(F.col("reports_relevant") == 0, "never near in the window").otherwise(one("near for %.1f h", "hours", 1))),
+        F.concat(F.lit("trajectory "), earned("trajectory"), F.when(F.col("crossings") > 0, F.concat(F.col("crossings").cast("string"), F.lit(" reports inside the envelope"))).otherwise("no report inside the envelope")),
+        F.concat(F.lit("behaviour "), earned("behaviour"), F.when(low.isNull(), "speed unknown").otherwise(one("slowest %.1f kn near the approach", low, 1))),
+        F.concat(F.lit("type "), earned("type"), F.coalesce(codes.vessel_group(F.col("type_code")), F.lit("type not known"))),
+        F.concat(F.lit("quality "), earned("quality"), F.format_string("%d %% of expected reports", F.round(100 * F.col("report_share")).cast("int"))),
+    )
+
+
+def feed(parsed: DataFrame, start_us: int, end_us: int, box: tuple | None = None, pad_us: int = 7_200_000_000, min_reports: int = 2) -> DataFrame:
+    """The accepted reports of a padded release window for vessels that have enough of them, before and after cleaning.
+
+    parsed: what reports.parse gives.  The window is half-open and padded at both ends;
+    the counts of both filters are in feed_counts.
+    """
+    r = parsed.filter((F.col("disposition") == "usable") & within_window(F.col("t_us"), start_us - pad_us, end_us + pad_us))
+    r = r.filter(within_box(F.col("lon"), F.col("lat"), *box)) if box else r
+    n = F.count(F.lit(1)).over(Window.partitionBy("mmsi"))
+    cleaned = clean(r.withColumn("raw_reports", n).filter(F.col("raw_reports") >= min_reports)).filter("rejected is null").drop("rejected")
+    return cleaned.withColumn("reports", n).filter(F.col("reports") >= min_reports)
+
+
+def feed_counts(fed: DataFrame) -> DataFrame:
+    """Per vessel: reports kept, reports read, first and last time, least, median and greatest speed."""
+    return fed.groupBy("mmsi").agg(F.count(F.lit(1)).alias("kept"), F.first("raw_reports").alias("read"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.round(F.min("sog"), 2).alias("min_sog"), F.round(F.median("sog"), 2).alias("median_sog"), F.round(F.max("sog"), 2).alias("max_sog"))
