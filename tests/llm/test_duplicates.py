@@ -98,6 +98,14 @@ def test_suffix_array(letters):
         assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
 
 
+def test_suffix_array_of_text_recurses():
+    """Enough text for thousands of names at several levels."""
+    rng = random.Random(2)
+    t = np.frombuffer(" ".join(prose(rng, 400) if i % 3 else "the same passage again " * 20 for i in range(24)).encode(), np.uint8)
+    b = t.tobytes()
+    assert suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i : i + 9000])
+
+
 def brute_lines(data, least=10):
     mask = lambda x: re.sub("[^ 0-9]*[0-9][^ ]*", "<*>", x.strip(" "))
     docs = {r[0]: (r[1] or "").split("\n") for r in data}

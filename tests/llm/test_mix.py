@@ -72,6 +72,39 @@ def test_shards_are_even_in_rows_and_sources(spark):
     assert shard(frame(spark, []), 8).count() == 0
 
 
+def brute_shards(data, shards, seed=7):
+    """The law stated in Python: shuffle by hash inside a source, sort by fractional rank, cut."""
+    import hashlib
+
+    def h(i, text):
+        key = str(i) if i is not None else "t" + hashlib.md5((text or "").encode()).hexdigest()
+        return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:15], 16)
+
+    last = lambda x: (x is None, x if x is not None else 0)
+    rows_ = [(r[3] if r[3] is not None else None, h(r[0], r[1]), last(r[0]), zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 8, r[0]) for r in data]
+    by_source = {}
+    for r in sorted(rows_, key=lambda r: r[1:5]):
+        by_source.setdefault(r[0], []).append(r)
+    order = sorted(((k + 0.5) / len(v), (s is None, s or ""), *r[1:]) for s, v in by_source.items() for k, r in enumerate(v))
+    out, slots = [], Counter()
+    for i, r in enumerate(order):
+        s = i * shards // len(order)
+        out.append((r[6], r[5], r[4], s, slots[s]))
+        slots[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["mixed", "a source for each row", "one source of equal rows"])
+def test_shards_match_brute_force(spark, kind):
+    data = rows(n=300)
+    if kind == "a source for each row":
+        data = [(r[0], r[1], r[2], f"host{i}", None) for i, r in enumerate(data)]
+    if kind == "one source of equal rows":
+        data = data[:40] + [(None, "the same text", None, "web", None)] * 400
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shard(frame(spark, data), 24).collect()]
+    assert Counter(got) == Counter(brute_shards(data, 24))
+
+
 def test_pipeline_stages_match_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from test_duplicates import brute_components

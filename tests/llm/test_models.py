@@ -210,3 +210,27 @@ def test_decontamination_matches_brute_force(spark):
     assert len(clean) == 5 and not any(r.contaminated for r in clean)
 
 
+
+
+@pytest.mark.parametrize("size", [9, 18, 45, 100])
+def test_the_radius_holds_what_is_similar_enough(size):
+    """Windows just at the similarity of 0.8: nearly all fingerprints lie within the radius."""
+    from wakeline.llm.decontamination import RADIUS, fingerprint_planes, fingerprints
+
+    rng = np.random.default_rng(size)
+    apart = int(size * (1 - 0.8) / (1 + 0.8))  # shingles of each that the other lacks
+    missed = 0
+    for _ in range(500):
+        s = rng.integers(1, 2**63, size + apart, dtype=np.uint64)
+        a, b = (fingerprints(fingerprint_planes(x).sum(0, keepdims=True))[0] for x in (s[:size], s[apart:]))
+        missed += int(np.bitwise_count(a ^ b)) > RADIUS
+    assert missed <= 5
+
+
+def test_decontamination_in_passes_and_with_ids_of_text(spark, monkeypatch):
+    monkeypatch.setattr("wakeline.llm.decontamination.ITEMS", 3)
+    rng = random.Random(21)
+    items = [(f"item{i}", prose(rng, 12)) for i in range(8)]
+    docs = [(None if i % 4 == 0 else 5, prose(rng, 9) + " " + items[i % 8][1] + " " + prose(rng, 4 * i), None, None, None) for i in range(16)]
+    got = decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert len(got) == 16 and sorted(r["items"][0] for r in got) == sorted(f"item{i % 8}" for i in range(16)) and all(r.n_items == 1 for r in got)

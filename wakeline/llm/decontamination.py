@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batch_of, chunks, cut, keyed, mix, prepare, shingles, word_hashes
+from .common import batch_of, chunks, cut, keyed, mix, prepare, shingles, table, word_hashes
 
 K, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
@@ -48,7 +49,7 @@ def _near_masks(bits: int, reach: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Fingerprints of a block of items, by size and by the value of each block of bits."""
+    """Fingerprints of a block of items, by length in words and by the value of each block of bits."""
 
     def __init__(self, ids: list, texts: list):
         h, limits = word_hashes(pa.array([t or "" for t in texts], pa.string()))
@@ -67,24 +68,29 @@ class ItemIndex:
             for g in c:
                 lengths.setdefault(g, set()).add(int(self.words[i]))
         self.lengths = [sorted(lengths.get(g, ())) for g in self.known.tolist()]
-        self.tables, shift = [], 0
-        for bits in BLOCKS:
-            value = (self.prints >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
-            order = np.argsort(value, kind="stable")
-            self.tables.append((shift, bits, order, np.searchsorted(value[order], np.arange((1 << bits) + 1))))
-            shift += bits
-
-    def search(self, prints: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of equal length in words whose fingerprints differ in at most RADIUS bits."""
-        found = []
-        for shift, bits, order, starts in self.tables:
+        # for each length a table for each block of bits: a window meets items of its own length only
+        self.tables = {}
+        for n in np.unique(self.words):
+            of, tables, shift = np.flatnonzero(self.words == n), [], 0
+            for bits in BLOCKS:
+                value = (self.prints[of] >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
+                order = np.argsort(value, kind="stable")
+                tables.append((shift, bits, of[order], value[order]))
+                shift += bits
+            self.tables[int(n)] = tables
+
+    def search(self, prints: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the length in words whose fingerprints differ in at most RADIUS bits."""
+        found = [np.zeros(0, np.int64)]
+        for shift, bits, order, values in self.tables.get(int(words), ()):
             value = (prints >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
             near = value[:, None] ^ _near_masks(bits, RADIUS // len(BLOCKS))[None, :]
-            first, count = starts[near], starts[near + 1] - starts[near]
+            first = np.searchsorted(values, near)
+            count = np.searchsorted(values, near, "right") - first
             total = count.sum(1)
             at = np.repeat(first.ravel(), count.ravel()) + np.arange(total.sum()) - np.repeat(np.cumsum(count.ravel()) - count.ravel(), count.ravel())
             w, i = np.repeat(np.arange(len(prints)), total), order[at]
-            ok = (self.words[i] == words[w]) & (np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS)
+            ok = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
             found.append(w[ok] * len(self.ids) + i[ok])
         pair = np.unique(np.concatenate(found))
         return pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
@@ -130,7 +136,7 @@ def matches(index: ItemIndex, h: np.ndarray, s: np.ndarray) -> dict[int, tuple[f
     starts, sizes = _windows(index, s, words)
     best: dict[int, tuple[float, int]] = {}
     for lo in range(0, len(starts), 2048):
-        w0, n0 = starts[lo : lo + 2048], sizes[lo : lo + 2048]
+        w0, n0, close = starts[lo : lo + 2048], sizes[lo : lo + 2048], []
         a, b = w0, np.minimum(w0 + np.maximum(n0 - K + 1, 1), len(s))
         left, right = a.min(), b.max()
         if right - left <= 1 << 16:  # votes of a stretch at once
@@ -138,21 +144,29 @@ def matches(index: ItemIndex, h: np.ndarray, s: np.ndarray) -> dict[int, tuple[f
             votes = run[b - left] - run[a - left]
         else:  # far apart: each window by itself
             votes = np.stack([fingerprint_planes(s[x:y]).sum(0) for x, y in zip(a, b)])
-        for w, i in zip(*index.search(fingerprints(votes), n0)):
+        prints = fingerprints(votes)
+        for n in np.unique(n0):
+            of = np.flatnonzero(n0 == n)
+            for w, i in zip(*index.search(prints[of], n)):
+                close.append((int(of[w]), int(i)))
+        for w, i in close:
             j = weighted_similarity(Counter(s[a[w] : b[w]].tolist()), index.counts[i])
             if j >= SIMILARITY - 1e-12 and j > best.get(i, (0.0, 0))[0]:
-                best[int(i)] = (j, int(a[w]))
+                best[i] = (j, int(a[w]))
     return best
 
 
-_FOUND = pa.schema([("rid", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64())])
-
-
 def contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """rid, item, similarity, start_word: the best window of each document for each item it holds."""
+    """rid, item, similarity, start_word: the best window of each document for each item it holds.
+
+    A benchmark of more than ITEMS items is searched in passes, each with its own block
+    of items on the driver and its hits written as a table before the next is fetched.
+    """
     spark = rows.sparkSession
     prepare(spark)
-    schema, parts = "rid long, item long, similarity double, start_word long", []
+    kind = benchmark.schema[item_col].dataType
+    schema = f"rid long, item {kind.simpleString()}, similarity double, start_word long"
+    found_schema = pa.schema([("rid", pa.int64()), ("item", to_arrow_type(kind)), ("similarity", pa.float64()), ("start_word", pa.int64())])
 
     def search(items):
         def run(batches):
@@ -170,24 +184,22 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id
                         for i, (j, start) in matches(index, h[limits[r] : limits[r + 1]], s[ends[r] : ends[r + 1]]).items():
                             for o, x in zip(out, (part.column("rid")[int(r)].as_py(), index.ids[i], j, start)):
                                 o.append(x)
-                    yield batch_of(_FOUND, *out)
+                    yield batch_of(found_schema, *out)
 
         return run
 
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    block: list = []
-    for row in items.toLocalIterator():  # a block of items at a time
-        block.append(row)
+    def hits(block):
+        index = spark.sparkContext.broadcast(ItemIndex([r.i for r in block], [r.t for r in block]))
+        return rows.select("rid", "text").mapInArrow(search(index), schema)
+
+    out, block = None, []
+    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         if len(block) == ITEMS:
-            parts.append(block)
-            block = []
-    out = None
-    for block in [*parts, block]:
-        if block or out is None:
-            index = spark.sparkContext.broadcast(ItemIndex([r.i for r in block], [r.t for r in block]))
-            one = rows.select("rid", "text").mapInArrow(search(index), schema)
-            out = one if out is None else out.unionByName(one)
-    return out
+            one = table(hits(block))
+            out, block = one if out is None else out.unionByName(one), []
+        block.append(row)
+    last = hits(block)
+    return last if out is None else out.unionByName(last)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -197,13 +209,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     order; similarity: the greatest (null if none).  Words are lower-cased (A-Z); an
     item or document of fewer than five words is one shingle, so such an item matches
     only a document that is the same words.  Null or empty items and texts match
-    nothing.  Null or repeated document ids are rows of their own; equal items with
-    different ids are all listed.  Empty tables: no rows, or nothing contaminated.
+    nothing; texts of any length are searched whole.  Null or repeated document ids are
+    rows of their own, ids of documents and items may be of any type, and equal items
+    with different ids are all listed.  Empty tables: no rows, or nothing contaminated.
     """
     rows = keyed(docs, id_col, text=text_col)
     hits = cut(contaminated(rows, benchmark, item_col)).groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("similarity").alias("similarity"))
     out = rows.select("rid", "id").join(hits, "rid", "left")
-    none = F.coalesce("items", F.array().cast("array<bigint>"))
+    none = F.coalesce("items", F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>"))
     return out.select(F.col("id").alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.size(none).cast("long").alias("n_items"), none.alias("items"), "similarity", "rid")
 
 

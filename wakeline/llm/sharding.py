@@ -3,10 +3,10 @@
 Rows of each source are ranked in a seeded shuffle; all rows are then sorted by
 fractional rank (rank - 1/2) / rows of the source, and the sorted sequence is cut
 into shards of equal counts, so each shard holds every source in the proportion of
-the whole.  Neither ranking sorts a source, or everything, in one task: rows are
-counted by slices of the hash (then of the fraction), running sums of the counts
-give each slice its first rank, and only rows of a slice are ordered together.
-A source with a third of all rows is ranked in as many slices as its size needs.
+the whole.  Both ranks come from a distributed sort: a row's rank is its place in its
+sorted partition plus the rows of the partitions before it, so no task orders a whole
+source, a source of one row each costs nothing, and rows that are equal in all that
+orders them are told apart by a number of their own and spread over partitions as well.
 """
 
 from __future__ import annotations
@@ -17,26 +17,19 @@ from pyspark.sql import functions as F
 from .common import cut
 from .mixing import hash60
 
-#: Rows that a slice holds on average.
-SLICE_ROWS = 2_000
+#: Sources up to which their sizes are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
-def _ranked(rows: DataFrame, part: str, order: list) -> DataFrame:
-    """Add ``rank`` (from 1): the place of a row by (part, order) among all rows; ``part`` has values from 0, each of few rows."""
-    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    starts = _running(counts, part)
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return rows.withColumn("inside", inside).join(starts, part).withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before")
-
-
-def _running(counts: DataFrame, part: str) -> DataFrame:
-    """part, before: rows in smaller parts.  In two steps, so no task sees all slices: sums of blocks, then inside blocks."""
-    block = F.floor(F.col(part) / F.lit(1024)).cast("long")
-    counts = counts.withColumn("block", block)
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("bn"))
-    blocks = blocks.withColumn("bb", F.coalesce(F.sum("bn").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "bb")
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("own", own).join(blocks, "block").select(part, (F.col("own") + F.col("bb")).alias("before"))
+def _ranked(rows: DataFrame, order: list) -> DataFrame:
+    """Add ``rank`` (from 0): the place of a row in the order given, which leaves no ties."""
+    done = cut(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    done = done.withColumn("_part", F.shiftright("_place", 33))
+    counts = done.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.col("_place") - F.shiftleft("_part", 33)
+    return done.join(F.broadcast(before), "_part").withColumn("rank", inside + F.col("_before")).drop("_place", "_part", "_before")
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, carry: tuple = ()) -> DataFrame:
@@ -45,33 +38,30 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     law ``rows``: shard counts differ by at most one; slots run from 0 without gaps.
     size: UTF-8 bytes of the text plus 8; a null text has no bytes and the checksum
     of the empty string.  A null source is a source of its own.  Ties in the shuffle
-    hash (repeated rows) are broken by id, then checksum and size, so reruns agree.
-    An empty table gives an empty result.
+    hash (repeated rows, null ids) are broken by id, then checksum and size, so reruns
+    agree up to rows that are equal in all of these.  An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.col(source_col).alias("source"), hash60(seed, F.col(id_col), F.col(text_col)).alias("h"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     )
-    ties = ["h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size"]
-    rows = cut(rows)
+    # equal rows stay apart by a number of their own, which is fixed by the checkpoint
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    ties = ["h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "row"]
     total = rows.count()
-    slices = max(1, total // SLICE_ROWS)
-    # 1. the rank of each row in the shuffle of its source: slices of (source, hash)
+    # 1. the rank of each row in the shuffle of its source
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("in_source"))
-    firsts = sizes.withColumn("parts", F.ceil(F.col("in_source") / F.lit(SLICE_ROWS)).cast("long"))
     by_source = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # one row a source
-    firsts = cut(firsts.withColumn("first", F.coalesce(F.sum("parts").over(by_source), F.lit(0))).withColumn("rows_before", F.coalesce(F.sum("in_source").over(by_source), F.lit(0))).withColumnRenamed("source", "_s"))
-    small = firsts.limit(100_001).count() <= 100_000
-    rows = rows.join(F.broadcast(firsts) if small else firsts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("part", F.col("first") + F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("parts")).cast("long"))
-    ranked = _ranked(rows, "part", ties).drop("part", "first", "parts")
-    # 2. the place of each row by fractional rank: slices of the fraction
-    frac = (F.col("rank") - F.col("rows_before") - F.lit(0.5)) / F.col("in_source")
-    ranked = cut(ranked.withColumn("frac", frac).drop("rank", "rows_before", "in_source"))
-    placed = _ranked(ranked.withColumn("part", F.floor(F.col("frac") * F.lit(slices)).cast("long")), "part", ["frac", F.col("source").asc_nulls_last(), *ties])
-    pos = F.col("rank") - 1
-    placed = placed.withColumn("shard", F.expr(f"cast((rank - 1) * {shards} div {max(total, 1)} as int)"))
+    firsts = cut(sizes.withColumn("rows_before", F.coalesce(F.sum("in_source").over(by_source), F.lit(0))).withColumnRenamed("source", "_s"))
+    small = firsts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    ranked = _ranked(rows, [F.col("source").asc_nulls_last(), *ties])
+    ranked = ranked.join(F.broadcast(firsts) if small else firsts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # 2. the place of each row by fractional rank
+    frac = (F.col("rank") - F.col("rows_before") + F.lit(0.5)) / F.col("in_source")
+    placed = _ranked(ranked.withColumn("frac", frac).drop("rank", "rows_before", "in_source"), ["frac", F.col("source").asc_nulls_last(), *ties])
+    pos = F.col("rank")
+    placed = placed.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
     first = F.ceil(F.col("shard") * F.lit(total) / F.lit(shards)).cast("long")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (pos - first).cast("long").alias("slot"),

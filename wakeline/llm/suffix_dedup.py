@@ -5,8 +5,9 @@
    places, so only windows around equal anchors can be equal.  The windows of one
    anchor make a segment.  Equal segments are collapsed to the earliest, first inside
    each map task and then by shards of anchors; a later one is removed as a whole.
-   Anchors that stand in very many different segments (found on a sample, which only
-   affects the balance) are keyed by window instead, so none makes a large group.
+   Anchors that stand in very many different segments (found on a sample that grows
+   with the input and only affects the balance) are keyed by window instead, so none
+   makes a large group.  Segments and windows are told apart by 96 bits of hashes here.
 2. Suffix arrays.  Segments whose anchor stands in several different segments are cut
    from the texts and gathered in shards of a few MB; each shard's suffix array is
    built by induced sorting, and permuted common prefixes tell which windows are
@@ -33,8 +34,8 @@ from .suffix_sort import permuted_common_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 #: Text bytes of a shard of anchors, of a block of texts, and of a suffix array.
 SHARD_BYTES, BLOCK_BYTES, SORT_BYTES = 8 << 20, 8 << 20, 2 << 20
-#: Sampled text for the frequent anchors, different segments that make one frequent, and how many are told apart at most.
-SAMPLE_BYTES, FREQUENT, MOST_FREQUENT = 32 << 20, 256, 20_000
+#: Text that is sampled for frequent anchors (bytes, or a share of all if that is more), and different segments there that make one frequent.
+SAMPLE_BYTES, SAMPLE_SHARE, FREQUENT = 32 << 20, 4096, 256
 _ROWS = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
 _SQL = "kind int, key int, size long, data binary"
 MARK, SEGMENT = 0, 1
@@ -260,7 +261,12 @@ def _unite(keep_text: bool):
 
 
 def _frequent_anchors(rows: DataFrame, total: int) -> np.ndarray:
-    """Anchors in very many different segments, in order; at most MOST_FREQUENT of them."""
+    """Anchors in very many different segments, in order.
+
+    An anchor with a million different segments (about 150 MB) has 256 in a sample of one
+    in 4096, whatever the size of the input; there can be no more such anchors than one
+    for each 32 MB or so of text, so 100 TB have some millions of them, 8 bytes each.
+    """
     schema = pa.schema([("h", pa.int64()), ("seg", pa.int64())])
 
     def look(batches):
@@ -270,10 +276,10 @@ def _frequent_anchors(rows: DataFrame, total: int) -> np.ndarray:
                 both = np.unique(np.stack([h.view(np.int64), seg.view(np.int64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
                 yield batch_of(schema, both[:, 0].copy(), both[:, 1].copy())
 
-    share = max(1, total // SAMPLE_BYTES)
+    share = min(max(1, total // SAMPLE_BYTES), SAMPLE_SHARE)
     sample = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0)
     found = sample.mapInArrow(look, "h long, seg long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    return np.sort(np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64).view(np.uint64))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

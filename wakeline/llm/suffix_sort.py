@@ -3,8 +3,9 @@
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour; the
 leftmost S suffixes of each run (LMS) are put in order, first by their substrings and
 then, through the string of substring names, recursively; the array of all suffixes
-is induced from them in linear time.  Inducing goes bucket by bucket (first byte) and
-handles all entries of a bucket that are known so far in one step.
+is induced from them in linear time.  Inducing bytes goes bucket by bucket and handles
+all entries of a bucket that are known so far in one step; inducing names, of which
+there are very many, goes entry by entry.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 
 from .common import prefix_sums, span_hash
 
-#: Names beyond this many are put in order by doubling instead of bucket by bucket.
+#: Letters beyond this many are induced one entry after another: buckets are then too small for array steps.
 MOST_BUCKETS = 1024
 
 
@@ -82,20 +83,32 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarra
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of many names: rank by 1, 2, 4, ... names."""
-    rank, step, n = names.astype(np.int64) + 1, 1, len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) + 1
-        step *= 2
-        if rank[order[-1]] == n or step >= n:
-            return order
+def _induce_singly(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same as _induce, entry by entry."""
+    n, letters, is_small = len(t), t.tolist(), small.tolist()
+    sa = [-1] * n
+    tail = (starts[1:] - 1).tolist()
+    for i in reversed(lms.tolist()):
+        c = letters[i]
+        sa[tail[c]] = i
+        tail[c] -= 1
+    head = starts[:-1].tolist()
+    sa[head[letters[-1]]] = n - 1
+    head[letters[-1]] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = letters[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = (starts[1:] - 1).tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_small[j]:
+            c = letters[j]
+            sa[tail[c]] = j
+            tail[c] -= 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
@@ -103,12 +116,13 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
+    induce = _induce if k <= MOST_BUCKETS else _induce_singly
     small = _types(t)
     starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=k))])
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
         # 1. LMS substrings in order, by inducing from LMS suffixes in any order
-        sa = _induce(t, small, starts, lms)
+        sa = induce(t, small, starts, lms)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
@@ -131,8 +145,8 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
         if count == len(lms):
             lms = order
         else:
-            lms = lms[suffix_array(reduced, count) if count <= MOST_BUCKETS else _by_doubling(reduced)]
-    return _induce(t, small, starts, lms)
+            lms = lms[suffix_array(reduced, count)]
+    return induce(t, small, starts, lms)
 
 
 def _span_ids(t, start, stop):
