@@ -55,6 +55,45 @@ def test_many_short_texts_of_frequent_shingles(spark):
     assert got == brute_components(data, 2)
 
 
+def test_buckets_of_several_far_clusters(spark):
+    """Clusters over one shared passage: the hub of a bucket is far from most members, and links join members that are all apart from it."""
+    rng = random.Random(17)
+    shared = prose(rng, 40)
+    data = []
+    for c in range(60):
+        own = prose(rng, 25)
+        for _ in range(8):
+            data.append((len(data), edited(rng, f"{shared} {own}", rng.choice([0.0, 0.02, 0.04, 0.06])), None, None, None))
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=k).collect()}
+        assert got == brute_components(data, k)
+
+
+def test_candidates_of_near_copies_grow_with_their_number(spark):
+    """Pairs that are compared for a group of near copies: four times the copies make about four times the pairs."""
+    from wakeline.llm import minhash
+
+    rng = random.Random(5)
+    base = prose(rng, 60)
+    counts = {}
+    for n in (150, 600):
+        data = [(i, edited(rng, base, rng.choice([0.02, 0.05, 0.1])), None, None, None) for i in range(n)]
+        asked, compare = [], minhash._compare
+
+        def counted(pairs, *rest):
+            asked.append(pairs.count())
+            return compare(pairs, *rest)
+
+        minhash._compare = counted
+        try:
+            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=5).collect()}
+        finally:
+            minhash._compare = compare
+        assert got == brute_components(data, 5)
+        counts[n] = asked
+    assert sum(counts[600]) <= 6 * sum(counts[150])
+
+
 def test_rows_without_a_key_of_their_own(spark):
     data = [(1, "a b c", None, None, None), (1, "a b c", None, None, None), (None, "a b c", None, None, None), (None, None, None, None, None)]
     got = near_duplicates(frame(spark, data), k=2).collect()
