@@ -2,7 +2,9 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as
 Parquet and read again as the next stage's docs.  All stages but the last return the
-columns of documents.
+columns of documents.  Stages decide by row: null and repeated ids, null and empty
+texts, very long texts and empty tables are handled as the operators say, and no row
+falls with another because they share an id.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from wakeline.llm.common import table
 from wakeline.llm.decontamination import decontaminate
 from wakeline.llm.minhash import near_duplicates
-from wakeline.llm.mixing import hash60, mix, word_count
+from wakeline.llm.mixing import mix
 from wakeline.llm.quality import quality
 from wakeline.llm.sharding import shard
 
@@ -22,7 +24,7 @@ SHARDS = 24
 #: The mix draws by hashes of this seed.
 SEED = 7
 #: Rows to drop up to this many are broadcast as ids; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -63,15 +65,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as often as it takes them (once or twice)."""
-    # a row's source and hash decide how often it is taken
-    taken = table(mix(docs, seed=SEED).filter("size > 0").select(F.col("source").alias("_source"), F.col("h").alias("_h"), (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct())
-    small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Documents that the mix takes, as often as it takes them (once or twice); rows of one id, or without one of one text, together."""
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    mixed = mix(docs, seed=SEED, carry=tuple(docs.columns))
     # rows without words weigh nothing in the mix and stay once
-    rows = docs.withColumn("_key", F.when(word_count(F.col("text")) > 0, hash60(SEED, F.col("doc_id"), F.col("text"))))
-    out = rows.join(F.broadcast(taken) if small else taken, (F.col("_key") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    out = out.withColumn("_copies", F.sequence(F.lit(1), F.lit(2))).withColumn("_copies", F.slice("_copies", 1, F.coalesce("times", F.lit(1))))
-    return out.withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    copies = F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), times)
+    return mixed.withColumn("_copy", F.explode(copies)).select(*kept)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,8 +106,8 @@ def _with(rows: DataFrame, by_source: DataFrame, how: str) -> DataFrame:
     return rows.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7, size=word_count) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the mix takes of each row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7, size=word_count, carry: tuple = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, h, and the ``carry`` columns as _c0, _c1, ...: what the mix takes of each row of docs.
 
     ``taken`` is 0, size or 2 * size (``most`` bounds the repeats).  A null text has
     size 0, a null source is a source of its own (last in order); rows that share an
@@ -115,13 +115,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table gives an empty result.  A single row's size is the granularity: a source
     ends within half a row of its target.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), size(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), hash60(seed, F.col(id_col), F.col(text_col)).alias("h"))
-    rows = cut(rows)
+    known = [F.col(id_col).alias("doc_id"), size(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), hash60(seed, F.col(id_col), F.col(text_col)).alias("h")]
+    rows = cut(docs.select(*known))
     goals = cut(targets(rows, share, most, weights))
     limits = thresholds(rows, goals).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    out = _with(rows, cut(limits), "left")
+    kept = [f"_c{i}" for i in range(len(carry))]
+    # whole rows are not checkpointed: they are read again
+    out = _with(docs.select(*known, *[F.col(c).alias(k) for c, k in zip(carry, kept)]) if carry else rows, cut(limits), "left")
     taken = F.col("size") * (F.col("passes") + (F.col("h") < F.col("below")).cast("long"))
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "source", "h")
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "source", "h", *kept)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

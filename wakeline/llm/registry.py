@@ -7,9 +7,3 @@ from . import decontamination, embedding_dedup, line_dedup, minhash, mixing, qua
 _MODULES = [decontamination, embedding_dedup, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_counts, toxicity]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
-
-import corpus_pipeline  # noqa: E402
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
