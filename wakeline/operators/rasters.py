@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,3 +139,79 @@ def hull(points: DataFrame, salts: int = 16) -> DataFrame:
     schema = T.StructType([points.schema["grp"], *T._parse_datatype_string("n int, x double, y double").fields])
     some = points.select("grp", "x", "y").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
     return some.groupBy("grp", "part").applyInPandas(lambda pdf: chain(pdf), schema).groupBy("grp").applyInPandas(chain, schema)
+
+
+def disc(radius: int) -> list[tuple[int, int]]:
+    """Offsets of the cells of a disc."""
+    return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+
+
+def morph(mask: DataFrame, how: str, offsets: list[tuple[int, int]], *keys: str) -> DataFrame:
+    """Erosion, dilation, opening or closing of a mask table (keys, row_i, col_i) by a set of offsets; cells outside count as clear.
+
+    Each cell is spread over the offsets and counted: an equi-aggregation, whatever the raster's size.
+    """
+    keys = keys or ("scene",)
+    if how in ("open", "close"):
+        first, then = ("erode", "dilate") if how == "open" else ("dilate", "erode")
+        return morph(morph(mask, first, offsets, *keys), then, offsets, *keys)
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets]))
+    at = mask.select(*keys, "row_i", "col_i", near.alias("k")).select(*keys, (F.col("row_i") + F.col("k.a")).cast("int").alias("row_i"), (F.col("col_i") + F.col("k.b")).cast("int").alias("col_i"))
+    n = at.groupBy(*keys, "row_i", "col_i").agg(F.count(F.lit(1)).alias("n"))
+    return (n.filter(F.col("n") == len(offsets)) if how == "erode" else n).select(*keys, "row_i", "col_i")
+
+
+def smoothed(pixels: DataFrame, sigma: float) -> DataFrame:
+    """Adds smooth: Gaussian means of the valid values, along rows and then along columns, with the weights of the cells that are there."""
+    reach = math.ceil(3 * sigma)
+    weights = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / (2 * sigma * sigma))).alias("w")) for k in range(-reach, reach + 1)])
+    p = pixels.filter("not invalid and value is not null").select("scene", "row_i", "col_i", F.col("value").alias("s"), F.lit(1.0).alias("w"))
+    for axis in ("row_i", "col_i"):
+        p = p.withColumn("g", F.explode(weights)).withColumn(axis, F.col(axis) + F.col("g.k")).groupBy("scene", "row_i", "col_i").agg(F.sum(F.col("s") * F.col("g.w")).alias("s"), F.sum(F.col("w") * F.col("g.w")).alias("w"))
+    return pixels.join(p.select("scene", "row_i", "col_i", (F.col("s") / F.col("w")).alias("smooth")), ["scene", "row_i", "col_i"], "left")
+
+
+def dark_regions(pixels: DataFrame, sigma: float, k: float, open_radius: int, close_radius: int, min_area: int, most: int) -> DataFrame:
+    """scene, region (1 for the largest), row_i, col_i: regions darker than their scene's mean by k deviations after smoothing, cleaned, of some size; at most so many a scene (a report)."""
+    p = smoothed(pixels, sigma).filter("not invalid")
+    limit = p.groupBy("scene").agg((F.avg("smooth") - k * F.stddev_pop("smooth")).alias("limit"))
+    mask = p.join(limit, "scene").filter(F.col("smooth") <= F.col("limit")).select("scene", "row_i", "col_i")
+    for how, radius in (("open", open_radius), ("close", close_radius)):
+        mask = morph(mask, how, disc(radius)) if radius else mask
+    cells = cut(connected_regions(mask))
+    size = cells.groupBy("scene", "region").agg(F.count(F.lit(1)).alias("area"), F.min(F.struct("row_i", "col_i")).alias("first")).filter(F.col("area") >= min_area)
+    w = Window.partitionBy("scene").orderBy(F.desc("area"), "first")
+    size = size.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("scene", "region", "place")
+    return cells.join(size, ["scene", "region"]).select("scene", F.col("place").alias("region"), "row_i", "col_i")
+
+
+def region_features(pixels: DataFrame, regions: DataFrame, reach: int) -> DataFrame:
+    """scene, region, area, darkness_z, darkness_p10_z, texture_ratio, compactness, elongation: a region against the valid pixels around it.
+
+    All are unchanged by a gain and an offset of the values.  Cells of other regions are not surroundings.
+    """
+    inside = regions.join(pixels.filter("not invalid"), ["scene", "row_i", "col_i"])
+    around = morph(regions, "dilate", disc(reach), "scene", "region").join(regions.select("scene", "row_i", "col_i").distinct(), ["scene", "row_i", "col_i"], "left_anti").join(pixels.filter("not invalid"), ["scene", "row_i", "col_i"])
+    ring = around.groupBy("scene", "region").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    own = inside.groupBy("scene", "region").agg(F.count(F.lit(1)).alias("area"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(0.1)).alias("p10"))
+    sides = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sides]))
+    next_ = regions.select("scene", "region", "row_i", "col_i", step.alias("k")).select("scene", "region", (F.col("row_i") + F.col("k.a")).alias("row_i"), (F.col("col_i") + F.col("k.b")).alias("col_i"))
+    edge = next_.join(regions, ["scene", "region", "row_i", "col_i"], "left_anti").groupBy("scene", "region").agg(F.count(F.lit(1)).alias("edge"))
+    form = shape(regions.select("scene", "region", F.col("col_i").cast("double").alias("x"), F.col("row_i").cast("double").alias("y")), "scene", "region").select("scene", "region", F.try_divide(F.col("length") + 1, F.col("width") + 1).alias("elongation"))
+    j = own.join(ring, ["scene", "region"], "left").join(edge, ["scene", "region"]).join(form, ["scene", "region"])
+    z = lambda c: F.try_divide(F.col(c) - F.col("m"), F.col("s"))
+    return j.select("scene", "region", "area", z("mean").alias("darkness_z"), z("p10").alias("darkness_p10_z"), F.try_divide("std", "s").alias("texture_ratio"), (4 * math.pi * F.col("area") / (F.col("edge") * F.col("edge"))).alias("compactness"), "elongation")
+
+
+def box_cells(boxes: DataFrame, *keys: str) -> DataFrame:
+    """keys, row_i, col_i: the cells of boxes (x0, y0, x1, y1; half-open, in cells), each once; boxes without area have none."""
+    whole = lambda lo, hi: F.sequence(F.ceil(F.col(lo)).cast("int"), F.ceil(F.col(hi)).cast("int") - 1)
+    some = boxes.filter("ceil(x1) > ceil(x0) and ceil(y1) > ceil(y0)")
+    return some.select(*keys, F.explode(whole("y0", "y1")).alias("row_i"), whole("x0", "x1").alias("cols")).select(*keys, "row_i", F.explode("cols").alias("col_i")).distinct()
+
+
+def alarms(regions: DataFrame, patches: DataFrame, min_area: int) -> DataFrame:
+    """scene, largest, alarm for every patch: whether it holds a region of at least so many cells."""
+    size = regions.groupBy("scene", "region").agg(F.count(F.lit(1)).alias("n")).groupBy("scene").agg(F.max("n").alias("largest"))
+    return patches.select("scene").distinct().join(size, "scene", "left").select("scene", F.coalesce("largest", F.lit(0)).alias("largest")).withColumn("alarm", F.col("largest") >= min_area)

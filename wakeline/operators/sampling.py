@@ -49,3 +49,21 @@ def top_with_remainder(rows: DataFrame, group: str, by: str, key: str, k: int) -
     w = Window.partitionBy(group).orderBy(F.col(by).desc(), key)
     out = rows.withColumn("n", F.row_number().over(w)).withColumn("remainder", F.greatest(F.lit(0), F.count(F.lit(1)).over(Window.partitionBy(group)) - k))
     return out.filter(F.col("n") <= k).withColumn("item", F.format_string("item-%02d", F.col("n")))
+
+
+def whole_split(rows: DataFrame, group: str, seed: int = 20180803, val: float = 0.15, test: float = 0.15) -> DataFrame:
+    """Like grouped_split, but neither val nor test stays empty while train has more than one group: it gets the last of train's groups, the smallest by rows, of equals the last by name.
+
+    Only names of groups with their sizes meet in one window.
+    """
+    g = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    g = grouped_split(g, group, seed, val, test)
+    every = Window.partitionBy()
+    have = {s: F.count_if(F.col("split") == s).over(every) for s in ("train", "val", "test")}
+    last = F.row_number().over(Window.partitionBy("split").orderBy("n", F.desc(group)))
+    g = g.withColumns({f"_{s}": c for s, c in have.items()}).withColumn("_last", last)
+    need = (F.col("_val") == 0).cast("int") + (F.col("_test") == 0).cast("int")
+    give = (F.col("split") == "train") & (F.col("_last") <= F.least(need, F.col("_train") - 1))
+    to = F.when((F.col("_last") == 1) & (F.col("_val") == 0), "val").otherwise("test")
+    g = g.select(group, F.when(give, to).otherwise(F.col("split")).alias("split"))
+    return rows.join(g, group, "left")

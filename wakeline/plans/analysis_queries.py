@@ -280,21 +280,12 @@ same("key_difference", f"{_DOC} EXCEPT {_LAB}")
 same("scene_left_joins", "SELECT o.o_orderkey, c.c_name IS NOT NULL AS has_customer, coalesce(c.c_mktsegment, 'none') AS segment, n.n_name IS NOT NULL AS has_nation FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey < 3")
 same("bbox_filter", "SELECT pos, mmsi FROM reports WHERE lon BETWEEN -89.5E0 AND -89.0E0 AND lat BETWEEN 28.2E0 AND 28.8E0")
 same("window_half_open", "SELECT pos, mmsi FROM reports WHERE t_us >= 1705276800000000 AND t_us < 1705363200000000")
-same("box_from_envelope", "SELECT min(lon0 - r0 / 97E0) - 0.25E0 AS west, max(lon0 + r0 / 97E0) + 0.25E0 AS east, min(lat0 - r0 / 111E0) - 0.25E0 AS south, max(lat0 + r0 / 111E0) + 0.25E0 AS north FROM envelope")
 same("interval_overlap_fraction", "SELECT seg, greatest(0E0, least(seg + 6E0, 40E0) - greatest(seg + 0E0, 10E0)) / 6E0 AS covered FROM envelope")
 same("cumsum_predictor", "SELECT p_partkey, row_i, CAST(sum(CAST(p_partkey * 7 % 256 AS BIGINT)) OVER (PARTITION BY row_i ORDER BY col_i, p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) % 256 AS decoded FROM raster")
 same("playback_until", "SELECT mmsi, count(*) AS n, max(t_us) AS last_us FROM reports WHERE t_us <= 1705363200000000 GROUP BY mmsi")
 same("equal_width_histogram", "SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, count(*) * 1E0 / sum(count(*)) OVER () AS share FROM scores GROUP BY CAST(least(floor(score * 10), 9) AS INT)")
 same("scene_distribution", "SELECT grp, avg(score) AS mean_score FROM scores GROUP BY grp ORDER BY mean_score, grp LIMIT 6")
 same("order_preserving_dedup", "SELECT lower(event_type) AS k, min(event_id) AS first_pos FROM events GROUP BY lower(event_type)")
-same("particle_cloud_stats", "WITH c AS (SELECT t_us - t_us % 86400000000 AS day, avg(lon) AS mlon, avg(lat) AS mlat FROM reports GROUP BY t_us - t_us % 86400000000) SELECT c.day, count(*) AS n, round(max(sqrt((lon - mlon) * (lon - mlon) + (lat - mlat) * (lat - mlat))), 6) AS spread FROM reports r JOIN c ON c.day = r.t_us - r.t_us % 86400000000 GROUP BY c.day")
-
-
-@query("SELECT o_orderkey, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 1) AS mission, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 2) AS mode, regexp_extract(k, '^S1([AB])_([A-Z]{2})_([0-9]{4})', 3) AS yr FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'S1A_IW_' ELSE 'S1B_EW_' END || (2014 + o_orderkey % 9)::STRING || '_' || o_orderstatus AS k FROM orders)")
-def product_id_regex(spark, d):
-    k = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "S1A_IW_").otherwise("S1B_EW_"), (2014 + F.col("o_orderkey") % 9).cast("string"), F.lit("_"), F.col("o_orderstatus"))
-    g = lambda i: F.regexp_extract(k, "^S1([AB])_([A-Z]{2})_([0-9]{4})", i)
-    return _t(spark, d, "orders").select("o_orderkey", g(1).alias("mission"), g(2).alias("mode"), g(3).alias("yr"))
 
 
 @query("SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount = 0 THEN 'full price' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL), '|') AS flags FROM lineitem")

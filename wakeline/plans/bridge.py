@@ -59,6 +59,7 @@ SELECT o_orderkey % 40 AS scene, CAST(o_orderkey // 40 // 24 AS INT) AS row_i, C
   o_orderkey * 7919 % 100 < 20 AS oil
 FROM {orders}
 """
+PARTICLES = "SELECT CAST(l_linenumber AS INT) AS step, l_orderkey AS pid, -90 + (l_partkey % 1000) / 5000E0 + l_linenumber * 0.01E0 AS lon, 28 + (l_suppkey % 100) / 500E0 AS lat, CASE l_returnflag WHEN 'A' THEN 'active' WHEN 'N' THEN 'beached' ELSE 'exited' END AS state FROM {lineitem}"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -71,7 +72,7 @@ def views(dialect: str) -> dict[str, str]:
     return {
         "reports": reports, "raw": RAW.format(**names), "envelope": ENVELOPE.format(range=span), "raster": RASTER.format(**names),
         "scores": SCORES.format(**names), "features": FEATURES.format(at=AT[dialect], **names),
-        "field": FIELD.format(**names), "axis": AXIS.format(**names), "scenes": SCENES.format(**names), "pixels": PIXELS.format(**names).replace("//", "div" if dialect == "spark" else "//"),
+        "field": FIELD.format(**names), "axis": AXIS.format(**names), "particles": PARTICLES.format(**names), "scenes": SCENES.format(**names), "pixels": PIXELS.format(**names).replace("//", "div" if dialect == "spark" else "//"),
     }
 
 
