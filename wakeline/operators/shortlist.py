@@ -66,6 +66,7 @@ def score(joined: DataFrame, static: DataFrame, axis_deg: float, rejected: DataF
 
     ``static``: mmsi, type_code.  ``rejected``: mmsi, rejected (reports dropped in cleaning).
     """
+    joined = joined.repartition("mmsi")  # one exchange for all that follows, which goes by vessel
     a = approach(courses(joined))
     a = a.join(slowest_near(joined, a), "mmsi", "left").join(static.select("mmsi", "type_code"), "mmsi", "left")
     a = a.join(completeness(joined, ["sog"]).select("mmsi", "report_share", "field_share"), "mmsi")

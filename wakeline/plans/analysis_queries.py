@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import within_box, within_window
 from ..functions.hashing import stable_seed, stable_unit
+from ..operators import cases as K
 from ..operators import evaluation as E
 from ..operators import rasters as P
 from ..operators import sampling as A
+from ..operators import tables as B
 from .bridge import NAMES, bridge, load, with_views
 
 T = [i / 20 for i in range(1, 20)]
@@ -26,12 +29,6 @@ def query(oracle: str = ""):
     return add
 
 
-def same(name: str, sql: str) -> None:
-    """A query whose SQL means the same in both engines."""
-    QUERIES[name] = lambda spark, d: load(spark, d, with_views(sql, "spark"))
-    _ORACLES[name] = sql
-
-
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -270,22 +267,92 @@ def convex_hull(spark, d):
     return P.hull(p).select("grp", "x", "y")
 
 
-_DOC, _LAB = "SELECT doc_id FROM documents", "SELECT doc_id FROM labels"
-same("pair_inner", "SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-same("pair_anti_left", "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
-same("pair_anti_right", "SELECT l.doc_id FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id")
-same("present_semi", "SELECT d.doc_id, d.source FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id")
-same("key_intersect", f"{_DOC} INTERSECT {_LAB}")
-same("key_difference", f"{_DOC} EXCEPT {_LAB}")
-same("scene_left_joins", "SELECT o.o_orderkey, c.c_name IS NOT NULL AS has_customer, coalesce(c.c_mktsegment, 'none') AS segment, n.n_name IS NOT NULL AS has_nation FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey < 3")
-same("bbox_filter", "SELECT pos, mmsi FROM reports WHERE lon BETWEEN -89.5E0 AND -89.0E0 AND lat BETWEEN 28.2E0 AND 28.8E0")
-same("window_half_open", "SELECT pos, mmsi FROM reports WHERE t_us >= 1705276800000000 AND t_us < 1705363200000000")
-same("interval_overlap_fraction", "SELECT seg, greatest(0E0, least(seg + 6E0, 40E0) - greatest(seg + 0E0, 10E0)) / 6E0 AS covered FROM envelope")
-same("cumsum_predictor", "SELECT p_partkey, row_i, CAST(sum(CAST(p_partkey * 7 % 256 AS BIGINT)) OVER (PARTITION BY row_i ORDER BY col_i, p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) % 256 AS decoded FROM raster")
-same("playback_until", "SELECT mmsi, count(*) AS n, max(t_us) AS last_us FROM reports WHERE t_us <= 1705363200000000 GROUP BY mmsi")
-same("equal_width_histogram", "SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, count(*) * 1E0 / sum(count(*)) OVER () AS share FROM scores GROUP BY CAST(least(floor(score * 10), 9) AS INT)")
-same("scene_distribution", "SELECT grp, avg(score) AS mean_score FROM scores GROUP BY grp ORDER BY mean_score, grp LIMIT 6")
-same("order_preserving_dedup", "SELECT lower(event_type) AS k, min(event_id) AS first_pos FROM events GROUP BY lower(event_type)")
+def _docs(spark, d):
+    return _t(spark, d, "documents"), _t(spark, d, "labels")
+
+
+@query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def pair_inner(spark, d):
+    docs, labels = _docs(spark, d)
+    return B.paired(docs.select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def pair_anti_left(spark, d):
+    docs, labels = _docs(spark, d)
+    return B.unpaired(docs.select("doc_id"), labels, "doc_id")
+
+
+@query("SELECT l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def pair_anti_right(spark, d):
+    docs, labels = _docs(spark, d)
+    return B.unpaired(labels.select("doc_id"), docs.filter("lang = 'en'"), "doc_id")
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)")
+def present_semi(spark, d):
+    docs, labels = _docs(spark, d)
+    return B.present(docs.select("doc_id", "source"), labels, "doc_id")
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def key_intersect(spark, d):
+    return B.keys(*_docs(spark, d), "doc_id", "common")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def key_difference(spark, d):
+    return B.keys(*_docs(spark, d), "doc_id", "missing")
+
+
+@query("SELECT o.o_orderkey, c.c_custkey IS NOT NULL AS has_customer, coalesce(c.c_mktsegment, 'none') AS segment, l.l_orderkey IS NOT NULL AS has_items FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 40) l ON o.o_orderkey = l.l_orderkey")
+def scene_left_joins(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    c, i = _t(spark, d, "customer").filter("c_acctbal > 0"), _t(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    out = K.with_fallback(K.listing(K.listing(o, "c_custkey", customer=c), "o_orderkey", items=i), c, "c_custkey", ["c_mktsegment"], "segment", F.lit("none"))
+    return out.select("o_orderkey", "has_customer", "segment", "has_items")
+
+
+@query("SELECT pos, mmsi FROM reports WHERE lon BETWEEN -89.5E0 AND -89.0E0 AND lat BETWEEN 28.2E0 AND 28.8E0")
+def bbox_filter(spark, d):
+    return bridge(spark, d, "reports").filter(within_box(F.col("lon"), F.col("lat"), -89.5, 28.2, -89.0, 28.8)).select("pos", "mmsi")
+
+
+@query("SELECT pos, mmsi, t_us >= 1705276800000000 AND t_us < 1705363200000000 AS both_ends, t_us >= 1705276800000000 AS from_start, t_us < 1705363200000000 AS to_end, true AS open FROM reports")
+def window_half_open(spark, d):
+    t, a, b = F.col("t_us"), 1705276800000000, 1705363200000000
+    return bridge(spark, d, "reports").select("pos", "mmsi", within_window(t, a, b).alias("both_ends"), within_window(t, a).alias("from_start"), within_window(t, None, b).alias("to_end"), within_window(t).alias("open"))
+
+
+@query("SELECT seg, greatest(0E0, least(seg + seg % 3 * 3E0, 40E0) - greatest(seg + 0E0, 10E0)) / nullif(seg % 3 * 3E0, 0) AS covered FROM envelope")
+def interval_overlap_fraction(spark, d):
+    s = F.col("seg").cast("double")
+    return bridge(spark, d, "envelope").select("seg", B.overlap_fraction(s, s + F.col("seg") % 3 * F.lit(3.0), 10.0, 40.0).alias("covered"))
+
+
+@query("SELECT p_partkey, row_i, (sum((p_partkey * 7 % 256)::BIGINT) OVER (PARTITION BY row_i ORDER BY col_i, p_partkey ROWS UNBOUNDED PRECEDING))::BIGINT % 256 AS decoded FROM raster")
+def cumsum_predictor(spark, d):
+    return B.undo_differences(bridge(spark, d, "raster").withColumn("delta", F.col("p_partkey") * 7 % 256), ["row_i"], ["col_i", "p_partkey"], "delta").select("p_partkey", "row_i", "decoded")
+
+
+@query("SELECT mmsi, count(*) AS n, max(t_us) AS last_us FROM reports WHERE t_us <= 1705363200000000 GROUP BY mmsi")
+def playback_until(spark, d):
+    return B.until(bridge(spark, d, "reports"), 1705363200000000)
+
+
+@query("SELECT least(floor(score * 10), 9)::INT AS bin, count(*) AS n, count(*) * 1E0 / sum(count(*)) OVER () AS share FROM scores GROUP BY 1")
+def equal_width_histogram(spark, d):
+    return B.equal_width(bridge(spark, d, "scores"), "score", 10)
+
+
+@query("SELECT grp, round(avg(score), 9) AS mean_score FROM scores GROUP BY grp ORDER BY avg(score), grp LIMIT 6")
+def scene_distribution(spark, d):
+    return _r(B.worst(bridge(spark, d, "scores"), "grp", "score", 6), 9, "mean_score")
+
+
+@query("SELECT lower(event_type) AS k, min(event_id) AS first_pos FROM events GROUP BY lower(event_type)")
+def order_preserving_dedup(spark, d):
+    return B.first_spellings(_t(spark, d, "events"), "event_type", "event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount = 0 THEN 'full price' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL), '|') AS flags FROM lineitem")
@@ -294,10 +361,10 @@ def flags_array(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(flags, "|").alias("flags"))
 
 
-@query("SELECT mmsi, '{\"type\":\"Feature\",\"properties\":{\"mmsi\":\"' || mmsi || '\",\"n\":' || count(*)::STRING || '}}' AS feature FROM reports GROUP BY mmsi")
+@query("SELECT mmsi, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[0,0]},\"properties\":{\"mmsi\":\"' || mmsi || '\",\"n\":' || count(*)::STRING || '}}' AS feature FROM reports GROUP BY mmsi")
 def geojson_feature(spark, d):
-    f = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("mmsi", "n").alias("properties")))
-    return bridge(spark, d, "reports").groupBy("mmsi").agg(F.count(F.lit(1)).alias("n")).select("mmsi", f.alias("feature"))
+    n = bridge(spark, d, "reports").groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("mmsi", K.feature("Point", F.array(F.lit(0), F.lit(0)), mmsi=F.col("mmsi"), n=F.col("n")).alias("feature"))
 
 
 ORACLE_SQL = {k: with_views(s, "duckdb") for k, s in _ORACLES.items()}
