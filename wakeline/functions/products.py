@@ -40,3 +40,14 @@ def header(document: Column) -> Column:
     used = F.lower(field(document, "NO_DATA_VALUE_USED")).isin("true", "1")
     n, product = subset(field(document, "DATASET_NAME"))
     return F.struct(field(document, "DATASET_NAME").alias("name"), number("NCOLS", "int").alias("cols"), number("NROWS", "int").alias("rows"), F.transform(bands, lambda b: F.trim(b)).alias("bands"), F.when(used, number("NO_DATA_VALUE", "double")).alias("nodata"), n.alias("subset"), product_id(product)["group_key"].alias("group_key"))
+
+
+#: What a complete header document holds of use: dimensions, and each band with its name and unit.
+DOCUMENT = "Raster_Dimensions struct<NCOLS: int, NROWS: int, NBANDS: int>, Image_Interpretation struct<Spectral_Band_Info: array<struct<BAND_INDEX: int, BAND_NAME: string, PHYSICAL_UNIT: string>>>"
+
+
+def document(text: Column) -> Column:
+    """struct(cols, rows, bands array<struct(i, name, unit)>) of a complete header document, bands by index; fields are null where it is no such document."""
+    d = F.from_xml(text, DOCUMENT)
+    bands = F.transform(d["Image_Interpretation"]["Spectral_Band_Info"], lambda b: F.struct(b["BAND_INDEX"].alias("i"), b["BAND_NAME"].alias("name"), b["PHYSICAL_UNIT"].alias("unit")))
+    return F.struct(d["Raster_Dimensions"]["NCOLS"].alias("cols"), d["Raster_Dimensions"]["NROWS"].alias("rows"), F.array_sort(bands).alias("bands"))

@@ -25,10 +25,11 @@ def band_stats(pixels: DataFrame, *keys: str) -> DataFrame:
 
 
 def norm_stats(pixels: DataFrame) -> DataFrame:
-    """Mean and deviation from sums (single pass, combinable)."""
-    s = pixels.filter("not invalid").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("value").alias("n"))
+    """Mean and deviation from sums (single pass, combinable), and the 1st and 99th percentile."""
+    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
+    s = pixels.filter("not invalid").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("value").alias("n"), q.alias("q"))
     mean = F.col("s") / F.col("n")
-    return s.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"))
+    return s.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"), F.col("q")[0].alias("p01"), F.col("q")[1].alias("p99"))
 
 
 def standardise(x: Column, lo: float, hi: float, mean: float, std: float) -> Column:

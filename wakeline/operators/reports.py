@@ -192,3 +192,17 @@ def courses(reports: DataFrame) -> DataFrame:
     w = Window.partitionBy("mmsi").orderBy("t_us", "pos")
     near = lambda f, c: F.coalesce(f(c).over(w), F.col(c))
     return reports.select("*", bearing_deg(near(F.lag, "lon"), near(F.lag, "lat"), near(F.lead, "lon"), near(F.lead, "lat")).alias("course"))
+
+
+def vessel_funnel(parsed: DataFrame, min_reports: int = 2) -> DataFrame:
+    """One row: vessels seen, kept (with enough usable reports) and dropped, and the reports of those kept."""
+    n = parsed.filter("disposition = 'usable'").groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.col("n") >= min_reports
+    return n.agg(F.count(F.lit(1)).alias("seen"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("reports"))
+
+
+def on_land(reports: DataFrame, land: DataFrame, x0: float, y0: float, step: float) -> DataFrame:
+    """mmsi, reports, on_land: how many of a vessel's reports lie nearest to a land cell (gi, gj) of a grid."""
+    at = reports.select("mmsi", F.rint((F.col("lon") - x0) / step).cast("int").alias("gi"), F.rint((F.col("lat") - y0) / step).cast("int").alias("gj"))
+    hit = land.select("gi", "gj").distinct().withColumn("land", F.lit(True))
+    return at.join(hit, ["gi", "gj"], "left").groupBy("mmsi").agg(F.count(F.lit(1)).alias("reports"), F.count_if(F.coalesce("land", F.lit(False))).alias("on_land"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import products
+from ..operators import cases as K
 from ..operators import drift as D
+from ..operators import evaluation as E
 from ..operators import rasters as P
+from ..operators import reports as Q
 from ..operators import sampling as A
+from ..operators import scenes as S
 from .bridge import bridge, with_views
 from .registry import Registry
 from .scene_queries import _PX, _hav, _pixels
+from .vessel_queries import _PARSED
 
 R = Registry()
 query = R.query
@@ -142,5 +147,65 @@ def split_never_empty(spark, d):
     return A.whole_split(_t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 11, 0.02, 0.02).select("c_custkey", "split")
 
 
+_DOC = "'<Dimap_Document><Raster_Dimensions><NCOLS>' || {k} || '</NCOLS><NROWS>7</NROWS></Raster_Dimensions><Image_Interpretation><Spectral_Band_Info><BAND_INDEX>1</BAND_INDEX><BAND_NAME>VV</BAND_NAME></Spectral_Band_Info><Spectral_Band_Info><BAND_INDEX>0</BAND_INDEX><BAND_NAME>VH</BAND_NAME><PHYSICAL_UNIT>dB</PHYSICAL_UNIT></Spectral_Band_Info></Image_Interpretation></Dimap_Document>'"
+
+
+@query("SELECT o_orderkey, o_orderkey::INT AS cols, 7 AS rows, '0 VH dB|1 VV -' AS bands FROM orders")
+def header_document(spark, d):
+    h = _t(spark, d, "orders").select("o_orderkey", products.document(F.expr(_DOC.format(k="CAST(o_orderkey AS STRING)"))).alias("h"))
+    return h.select("o_orderkey", "h.cols", "h.rows", F.array_join(F.transform("h.bands", lambda b: F.concat_ws(" ", b["i"].cast("string"), b["name"], F.coalesce(b["unit"], F.lit("-")))), "|").alias("bands"))
+
+
+@query(f"WITH {_PARSED}, v AS (SELECT mmsi, count(*) AS n FROM parsed WHERE disposition = 'usable' GROUP BY mmsi) SELECT count(*) AS seen, count(*) FILTER (n >= 3) AS kept, count(*) FILTER (n < 3) AS dropped, coalesce(sum(n) FILTER (n >= 3), 0)::BIGINT AS reports FROM v")
+def vessel_funnel(spark, d):
+    return Q.vessel_funnel(Q.parse(bridge(spark, d, "raw")), 3)
+
+
+@query("WITH l AS (SELECT DISTINCT gi, gj FROM field WHERE u IS NULL) SELECT mmsi, count(*) AS reports, count(l.gi) AS on_land FROM reports LEFT JOIN l ON gi = round_even((lon + 92) / 0.5::DOUBLE, 0)::INT AND gj = round_even((lat - 27) / 0.5::DOUBLE, 0)::INT GROUP BY mmsi")
+def land_reports(spark, d):
+    return Q.on_land(bridge(spark, d, "reports"), bridge(spark, d, "field").filter("u is null"), -92.0, 27.0, 0.5)
+
+
+_SEARCH = [20.0, 40.0, 60.0]
+
+
+def _box(r):
+    w = f"RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING"
+    return f"""ac{r} AS (SELECT *, coalesce(sum(value) FILTER (NOT invalid) OVER w, 0) AS s, count(value) FILTER (NOT invalid) OVER w AS c FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i {w})),
+bm{r} AS (SELECT *, round(sum(s) OVER w / nullif(sum(c) OVER w, 0) - value, 6) AS contrast FROM ac{r} WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i {w}))"""
+
+
+@query(f"""WITH {_PX}, {_box(1)}, {_box(2)}, al AS (SELECT 1 AS reach, * FROM bm1 UNION ALL SELECT 2, * FROM bm2), g AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _SEARCH)}]) AS threshold),
+c AS (SELECT reach, threshold, count(*) FILTER (contrast >= threshold AND oil) AS tp, count(*) FILTER (contrast >= threshold AND NOT oil) AS fp, count(*) FILTER (contrast < threshold AND oil) AS fn FROM g, al WHERE NOT invalid AND contrast IS NOT NULL GROUP BY reach, threshold)
+SELECT reach, threshold, round(tp / nullif(tp + fp + fn, 0)::DOUBLE, 8) AS iou FROM c""")
+def baseline_search(spark, d):
+    """Every reach with every contrast, each reach from one pass over its contrasts."""
+    out = None
+    for reach in (1, 2):
+        p = S.dark(_pixels(spark, d), reach, 0.0).filter("not invalid").select(F.round("contrast", 6).alias("score"), F.col("oil").cast("int").alias("y"))
+        one = E.sweep(p, _SEARCH).select(F.lit(reach).alias("reach"), "threshold", F.round("iou", 8).alias("iou"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_F = lambda c, n: f"printf('%.{n}f', round({c}, {n}))"
+
+
+@query(f"""WITH c AS (SELECT step, avg(lon) AS clon, avg(lat) AS clat FROM particles GROUP BY step), p AS (SELECT p.*, clon, clat, {_hav('lon', 'lat', 'clon', 'clat')} AS away FROM particles p JOIN c USING (step)),
+s AS (SELECT step, count(*) AS n, any_value(clon) AS clon, any_value(clat) AS clat, quantile_cont(away, 0.9) AS p90, count(*) FILTER (state = 'active') AS active FROM p GROUP BY step)
+SELECT step, 'backward,' || step::STRING || ',' || {_F('clon', 4)} || ',' || {_F('clat', 4)} || ',' || {_F('p90', 3)} || ',' || n::STRING || ',' || active::STRING || ',"synthetic, see limits"' AS line FROM s""")
+def drift_csv(spark, d):
+    c = D.cloud(bridge(spark, d, "particles"))
+    f = lambda x, n: F.format_string(f"%.{n}f", F.round(x, n))
+    return c.select("step", K.line(F.lit("backward"), F.col("step"), f("clon", 4), f("clat", 4), f("p90_km", 3), F.col("particles"), F.col("active"), F.lit("synthetic, see limits")).alias("line"))
+
+
+@query(f"WITH {_REGIONS}, c AS (SELECT dk.scene, rk.region, count(*) AS area, avg(row_i) AS r, avg(col_i) AS q FROM cc JOIN dk USING (id) JOIN rk ON rk.scene = dk.scene AND rk.root = cc.root GROUP BY 1, 2) SELECT scene, region, 'slick-' || lpad(region::STRING, 2, '0') || ',' || area::STRING || ',' || {_F('r', 3)} || ',' || {_F('q', 3)} || ',' AS line FROM c")
+def slicks_csv(spark, d):
+    r = _regions(spark, d).groupBy("scene", "region").agg(F.count(F.lit(1)).alias("area"), F.avg("row_i").alias("r"), F.avg("col_i").alias("q"))
+    f = lambda x: F.format_string("%.3f", F.round(x, 3))
+    return r.select("scene", "region", K.line(F.format_string("slick-%02d", "region"), F.col("area"), f("r"), f("q"), F.lit(None).cast("string")).alias("line"))
+
+
 ORACLE_SQL = {k: with_views(s, "duckdb") for k, s in R.oracles.items()}
 QUERIES = R.queries
