@@ -101,6 +101,17 @@ def test_rows_without_a_key_of_their_own(spark):
     assert near_duplicates(frame(spark, []), k=2).count() == 0
 
 
+def test_very_long_near_copies_without_ids(spark):
+    rng = random.Random(30)
+    words = prose(rng, 80_000).split(" ")
+    near = list(words)
+    for i in range(0, 80_000, 200):
+        near[i] = "changed"
+    data = [(None, " ".join(words), None, None, None), (None, " ".join(near), None, None, None), (3, " ".join(words[:40_000]), None, None, None), (3, None, None, None, None)]
+    got = near_duplicates(frame(spark, data), k=5).collect()
+    assert len(got) == 4 and sum(r.kept for r in got) == 3
+
+
 def brute_repeats(data, length=100):
     seen, out = set(), {}
     for i, text in sorted(((r[0], r[1]) for r in data)):
@@ -209,3 +220,7 @@ def test_embeddings_match_brute_force(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
     assert got == {i: (n[i], root[i], root[i] == i) for i in root}
     assert near_vectors(df.filter(F.lit(False))).count() == 0
+    # repeated and null ids are rows of their own; equal vectors link
+    odd = spark.createDataFrame([(None, vecs[0], 1, "x"), (5, vecs[0], 1, "x"), (5, vecs[0], 1, "x"), (5, vecs[0], None, "x"), (None, None, None, None)], df.schema)
+    out = near_vectors(odd).collect()
+    assert sorted(r.n_links for r in out) == [0, 0, 2, 2, 2] and sum(r.kept for r in out) == 3

@@ -150,3 +150,11 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     want = Counter({(1, texts[1]): 1, (None, texts[2]): 1, (None, texts[3]): 1, (1, texts[4]): 1})
     assert left(corpus_pipeline.near_duplicate_stage, data) == want
     assert left(corpus_pipeline.decontamination_stage, data) == Counter((i, t) for i, t, _ in data if t != texts[3])
+    # the last two: rows of one text without an id are taken together, all rows get a place
+    data = [(None, "a b c", "x"), (None, "a b c", "x"), (4, "d e", "x"), (4, "d e", None), (None, None, None), (6, " ", "y")] + [(i, f"w{i} " * 5, "y") for i in range(10, 40)]
+    got = left(corpus_pipeline.mixing_stage, data)
+    assert got[(None, "a b c")] % 2 == 0 and got[(None, None)] == 1 and got[(6, " ")] == 1 and set(got) <= {d[:2] for d in data}
+    placed = corpus_pipeline.sharding_stage(spark, docs(data), str(tmp_path)).collect()
+    assert len(placed) == len(data) and len({(r.shard, r.slot) for r in placed}) == len(data)
+    for stage in (s for _, s in corpus_pipeline.STAGES):
+        assert stage(spark, docs([]), str(tmp_path)).count() == 0

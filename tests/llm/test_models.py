@@ -116,6 +116,11 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(0, 600, 1)], "doc_id long, quality int")
     got = quality(frame(spark, data), labels).collect()
     assert len(got) == len(data)
+    # a very long text is scored whole; trusted ones of its kind set a limit that it meets
+    more = [(9000 + i, prose(rng, 20_000), "en", None, None) for i in range(12)]
+    known = labels.union(spark.createDataFrame([(9000 + i, 1) for i in range(11)], "doc_id long, quality int"))
+    long_ = quality(frame(spark, data + more), known).filter("doc_id >= 9000").collect()
+    assert len(long_) == 12 and not any(r.rejected for r in long_)
     junk = [r.rejected for r in got if r.doc_id is not None and r.doc_id % 10 == 0]
     clean = [r.rejected for r in got if r.doc_id is not None and r.doc_id % 10]
     assert all(junk) and sum(clean) <= 0.02 * len(clean)
