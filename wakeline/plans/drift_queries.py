@@ -172,7 +172,7 @@ _SEARCH = [20.0, 40.0, 60.0]
 def _box(r):
     w = f"RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING"
     return f"""ac{r} AS (SELECT *, coalesce(sum(value) FILTER (NOT invalid) OVER w, 0) AS s, count(value) FILTER (NOT invalid) OVER w AS c FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i {w})),
-bm{r} AS (SELECT *, round(sum(s) OVER w / nullif(sum(c) OVER w, 0) - value, 6) AS contrast FROM ac{r} WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i {w}))"""
+bm{r} AS (SELECT *, round(sum(s) OVER w / nullif(sum(c) OVER w, 0) - value, 10) AS contrast FROM ac{r} WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i {w}))"""
 
 
 @query(f"""WITH {_PX}, {_box(1)}, {_box(2)}, al AS (SELECT 1 AS reach, * FROM bm1 UNION ALL SELECT 2, * FROM bm2), g AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _SEARCH)}]) AS threshold),
@@ -182,7 +182,7 @@ def baseline_search(spark, d):
     """Every reach with every contrast, each reach from one pass over its contrasts."""
     out = None
     for reach in (1, 2):
-        p = S.dark(_pixels(spark, d), reach, 0.0).filter("not invalid").select(F.round("contrast", 6).alias("score"), F.col("oil").cast("int").alias("y"))
+        p = S.dark(_pixels(spark, d), reach, 0.0).filter("not invalid").select(F.round("contrast", 10).alias("score"), F.col("oil").cast("int").alias("y"))
         one = E.sweep(p, _SEARCH).select(F.lit(reach).alias("reach"), "threshold", F.round("iou", 8).alias("iou"))
         out = one if out is None else out.unionByName(one)
     return out

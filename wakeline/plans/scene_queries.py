@@ -39,9 +39,9 @@ def invalid_mask(spark, d):
     return _pixels(spark, d).select("scene", "row_i", "col_i", "invalid")
 
 
-@query(f"WITH {_TILES} SELECT scene, row, col, pixels, oil_share, invalid_share, round(mean, 6) AS mean FROM ti")
+@query(f"WITH {_TILES} SELECT scene, row, col, pixels, oil_share, invalid_share, round(mean, 10) AS mean FROM ti")
 def scene_tiles(spark, d):
-    return S.tiles(_pixels(spark, d), 4).withColumn("mean", F.round("mean", 6))
+    return S.tiles(_pixels(spark, d), 4).withColumn("mean", F.round("mean", 10))
 
 
 @query(f"""WITH {_TILES}, u AS (SELECT * FROM ti WHERE invalid_share < 0.3::DOUBLE),
@@ -137,12 +137,12 @@ def problem_list(spark, d):
 
 _BOX = f"""{_PX}, ac AS (SELECT *, coalesce(sum(value) FILTER (NOT invalid) OVER w, 0) AS s, count(value) FILTER (NOT invalid) OVER w AS c FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 bm AS (SELECT *, sum(s) OVER w / nullif(sum(c) OVER w, 0) AS box_mean FROM ac WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-dk AS (SELECT *, round(box_mean - value, 6) AS contrast, coalesce(NOT invalid AND box_mean - value >= 60, false) AS dark FROM bm)"""
+dk AS (SELECT *, round(box_mean - value, 10) AS contrast, coalesce(NOT invalid AND box_mean - value >= 60, false) AS dark FROM bm)"""
 
 
-@query(f"WITH {_BOX} SELECT scene, row_i, col_i, contrast, dark FROM dk")
+@query(f"WITH {_BOX} SELECT scene, row_i, col_i, round(contrast, 10) AS contrast, dark FROM dk")
 def baseline_dark(spark, d):
-    return S.dark(_pixels(spark, d), 2, 60.0).select("scene", "row_i", "col_i", F.round("contrast", 6).alias("contrast"), "dark")
+    return S.dark(_pixels(spark, d), 2, 60.0).select("scene", "row_i", "col_i", F.round("contrast", 10).alias("contrast"), "dark")
 
 
 _GRID = [20.0, 40.0, 60.0, 80.0]
@@ -152,7 +152,7 @@ _GRID = [20.0, 40.0, 60.0, 80.0]
 c AS (SELECT threshold, count(*) FILTER (contrast >= threshold AND oil) AS tp, count(*) FILTER (contrast >= threshold AND NOT oil) AS fp, count(*) FILTER (contrast < threshold AND oil) AS fn FROM g, dk WHERE NOT invalid AND contrast IS NOT NULL GROUP BY threshold)
 SELECT threshold, round(tp / nullif(tp + fp + fn, 0)::DOUBLE, 8) AS iou FROM c ORDER BY iou DESC, threshold LIMIT 1""")
 def baseline_best(spark, d):
-    p = S.dark(_pixels(spark, d), 2, 0.0).filter("not invalid").select(F.round("contrast", 6).alias("score"), F.col("oil").cast("int").alias("y"))
+    p = S.dark(_pixels(spark, d), 2, 0.0).filter("not invalid").select(F.round("contrast", 10).alias("score"), F.col("oil").cast("int").alias("y"))
     return E.best_threshold(E.sweep(p, _GRID)).withColumn("iou", F.round("iou", 8))
 
 
