@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _tables: dict[str, SparkSession] = {}
+_files: set[tuple[str, str]] = set()
+#: Bytes that are handed to the file system at once.
+_PIECE = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,6 +75,24 @@ def free(*frames: DataFrame) -> None:
             _delete(_tables.pop(path), path)
 
 
+def shared_file(spark: SparkSession, data: bytes) -> str:
+    """Put bytes into the shared folder as a file that executors fetch by the name returned; the same bytes go once."""
+    prepare(spark)
+    sc = spark.sparkContext
+    name = f"wakeline-{hashlib.sha256(data).hexdigest()}.bin"
+    if (sc.applicationId, name) in _files:
+        return name
+    path = f"{sc.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{name}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    for lo in range(0, len(data), _PIECE):
+        out.write(bytearray(data[lo : lo + _PIECE]))
+    out.close()
+    sc.addFile(path)
+    _files.add((sc.applicationId, name))
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
