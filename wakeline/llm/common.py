@@ -134,6 +134,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = _IS_WORD
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_codes(spelled: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal for equal words only, and the words by number; spelled is the bytes of the words alone."""
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(spelled)).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def word_hashes(col: pa.Array, lower: bool = True, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of each row, and the row limits in words."""
     data, offs = utf8(col)

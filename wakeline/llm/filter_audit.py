@@ -18,10 +18,13 @@ from functools import reduce
 from itertools import permutations
 from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, free, prepare, table
+from .common import _IS_WORD, chunks, cut, free, prepare, row_sums, sorted_distinct, table, utf8, word_codes, word_spans
 
 #: Code points of the first block; each block ends at eight times the end of the one before.
 BLOCK, GROWTH = 256, 8
@@ -32,13 +35,28 @@ LETTERS = "ABCDE"
 FULL = 1 << len(LETTERS)
 
 
-def failures(text: Column) -> Column:
-    """Bits 0 to 3: under 200 words; under half of the words different; over 2 % A-Z; any of ``#$%&*|``."""
-    words = F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
-    upper = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    n = F.size(words)
-    bits = [n < 200, 100 * F.size(F.array_distinct(words)) < 50 * n, 100 * upper > 2 * F.length(text), text.rlike("[#$%&*|]")]
-    return reduce(lambda a, b: a + b, [F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)])
+_UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_ODD = np.array([chr(b) in "#$%&*|" for b in range(256)])
+_POINT = np.array([b & 0xC0 != 0x80 for b in range(256)])
+
+
+def failures(text: pa.Array) -> np.ndarray:
+    """Bits 0 to 3 of each text: under 200 words; under half of the words different; over 2 % A-Z; any of ``#$%&*|``."""
+    data, offs = utf8(text)
+    starts, ends, limits = word_spans(data, offs)
+    code, words = word_codes(data[_IS_WORD[data]], starts, ends)
+    n, size = np.diff(limits), max(len(words), 1)
+    different = np.bincount(sorted_distinct(np.repeat(np.arange(len(text)), n) * size + code) // size, minlength=len(text))
+    upper, points, odd = (row_sums(kind[data].astype(np.int64), offs) for kind in (_UPPER, _POINT, _ODD))
+    return (n < 200) + 2 * (100 * different < 50 * n) + 4 * (100 * upper > 2 * points) + 8 * (odd > 0)
+
+
+def _failing(batches):
+    """Batches whose column text gives way to fails."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            fails = pa.array(failures(part.column("text")), pa.int32())
+            yield part.drop_columns("text").append_column("fails", fails)
 
 
 def _blocks(text: Column, digest: Callable[..., Column]) -> Column:
@@ -89,10 +107,15 @@ def copies(docs: DataFrame, facts: DataFrame, digest: Callable[..., Column]) ->
     if mixed.limit(1).count():  # one hash for different texts: told apart by the texts themselves
         some = docs.withColumn("key", _class(F.col("text"), digest)).join(mixed, "key", "left_semi")
         first = some.groupBy("key", "text").agg(F.min("id").alias("first"))
-        out = out.select("id", "part", "fails").unionByName(later(some.join(first, ["key", "text"])).select("id", "part", "fails"))
+        out = out.select("id", "part", "fails").unionByName(_with_fails(later(some.join(first, ["key", "text"])).select("id", "part", "text")))
     return out.select("id", "part", "fails")
 
 
+def _with_fails(docs: DataFrame) -> DataFrame:
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(_failing, T.StructType([*kept, T.StructField("fails", T.IntegerType())]))
+
+
 def _sums(masks: DataFrame) -> DataFrame:
     return masks.groupBy("part", "fails").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
 
@@ -100,8 +123,9 @@ def _sums(masks: DataFrame) -> DataFrame:
 def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", digest: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """part, mask (bits of LETTERS), n, good, toxic of all documents."""
     text, source = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), source.alias("part")).withColumn("fails", failures(F.col("text")))
-    facts = table(docs.select("id", "part", "fails", F.length("text").cast("long").alias("n"), _blocks(F.col("text"), digest).alias("blocks")))
+    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), source.alias("part"))
+    facts = docs.select("id", "part", "text", F.length("text").cast("long").alias("n"), _blocks(F.col("text"), digest).alias("blocks"))
+    facts = table(_with_fails(facts))
     again = cut(copies(docs, facts, digest))
     one = lambda c: F.max((F.col(c) == 1).cast("int"))
     labels = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, chunks, cut, free, prepare, table, utf8, word_spans
+from .common import _LOWER, chunks, cut, free, prepare, sorted_distinct, table, utf8, word_codes, word_spans
 
 LEAST_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Terms of a block on average, and sources of a tile.
@@ -38,19 +38,18 @@ def _term_counts(batches):
         for part in chunks(batch, "text"):
             data, offs = utf8(part.column("text"))
             starts, ends, limits = word_spans(data, offs, LETTER)
-            bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-            terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[LETTER[data]]])).dictionary_encode()
-            code, size = terms.indices.to_numpy().astype(np.int64), max(len(terms.dictionary), 1)
+            code, terms = word_codes(_LOWER[data[LETTER[data]]], starts, ends)
+            size = max(len(terms), 1)
             lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
             wide = max(len(source.dictionary), 1)
             group = lang.indices.to_numpy().astype(np.int64) * wide + source.indices.to_numpy()
             doc = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(limits))
             key, occ = np.unique(group[doc] * size + code, return_counts=True)
-            in_doc = np.unique(doc * size + code)
+            in_doc = sorted_distinct(doc * size + code)
             _, docs = np.unique(group[in_doc // size] * size + in_doc % size, return_counts=True)
             own, rows = np.unique(group, return_counts=True)
             g = np.concatenate([key // size, own])
-            term = pa.concat_arrays([terms.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array([""] * len(own), pa.string())])
+            term = pa.concat_arrays([terms.take(pa.array(key % size)).cast(pa.string()), pa.array([""] * len(own), pa.string())])
             named = [lang.dictionary.take(pa.array(g // wide)).cast(pa.string()), source.dictionary.take(pa.array(g % wide)).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*named, term, pa.array(np.concatenate([occ, 0 * own])), pa.array(np.concatenate([docs, rows]))], schema=_COUNTS)
 
