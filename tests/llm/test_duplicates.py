@@ -44,6 +44,40 @@ def test_one_large_group_of_near_copies(spark):
     assert got == brute_components(data, 2)
 
 
+@pytest.mark.parametrize("leader", [7, 50])
+def test_members_of_a_leader_meet(spark, leader):
+    """Sets far from their bucket's hub and near one leader: the leader stays their hub, however ids fall."""
+    from wakeline.llm import minhash as M
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    core, joint, part = words[:1000], words[1000:1040], rng.sample(words[:1000], 870)
+    texts = {leader: core, 100: words[2000:]}
+    for n, rid in enumerate((11, 12, 13)):
+        texts[rid] = part + joint + words[1100 + 90 * n : 1190 + 90 * n]
+    for n, rid in enumerate(range(21, 26)):
+        texts[rid] = rng.sample(core, 870) + words[1400 + 130 * n : 1530 + 130 * n]
+    rows_ = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "rid long, text string")
+    reps = rows_.mapInArrow(M._sketches(1), "rid long, n long, s1 long, s2 long, regs binary").select("rid", "n", "regs")
+    members = spark.createDataFrame([(1, i, 100) for i in texts], "bucket long, rid long, hub long")
+    tested = spark.createDataFrame([], "a long, b long, n long, diff binary, linked boolean")
+    more = M._left_over(members, tested, spark.createDataFrame([], "node long, root long"), reps, 80, 100)
+    second = M._compare(more, reps, rows_, 1, 80, 100)
+    found = second.filter("linked").select("a", "b").union(M._among(second, 80, 100)).collect()
+    root = components(list(texts), [tuple(r) for r in found])
+    assert root[11] == root[12] == root[13] and sum(v == root[11] for v in root.values()) == 3
+
+
+def test_crowded_buckets_with_shuffled_ids(spark):
+    """Groups of near copies around few texts: no link between different texts is lost, whatever the ids."""
+    rng = random.Random(31)
+    bases = [prose(rng, 40) for _ in range(5)]
+    texts = [edited(rng, rng.choice(bases), rng.choice([0.02, 0.05, 0.08, 0.11])) for _ in range(400)]
+    data = [(i, t, None, None, None) for i, t in zip(rng.sample(range(10_000), 400), texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=2).collect()}
+    assert got == brute_components(data, 2)
+
+
 def test_many_short_texts_of_frequent_shingles(spark):
     """Crowded buckets whose hub tells nothing about most members."""
     rng = random.Random(11)
@@ -167,14 +201,23 @@ def brute_lines(data, least=10):
             count[m] = count.get(m, 0) + 1
     drop = {m for m, n in count.items() if n >= least}
     for pairs in leaves.values():
-        n, width = len(pairs), len(pairs[0][1].split(" "))
-        held = [Counter(m.split(" ")[k] for _, m in pairs) for k in range(width)]
-        template = {m: tuple(t if held[k][t] >= least else None for k, t in enumerate(m.split(" "))) for _, m in pairs}
-        if len(template) > 1 and n >= least:
-            docs_of = {}
-            for i, m in pairs:
-                docs_of.setdefault(template[m], set()).add(i)
-            drop |= {m for m, t in template.items() if sum(x is not None for x in t) >= 0.7 * width and len(docs_of[t]) >= least}
+        lines = {m: m.split(" ") for _, m in pairs}
+        if len(lines) < 2 or len(pairs) < least:
+            continue
+        weight = Counter(m for _, m in pairs)
+        width = len(next(iter(lines.values())))
+        kept = {m: [sum(weight[o] for o in lines if lines[o][k] == t[k]) >= least for k in range(width)] for m, t in lines.items()}
+        while True:
+            level = {m: tuple(x if keep else None for x, keep in zip(t, kept[m])) for m, t in lines.items()}
+            for m, t in level.items():
+                if sum(x is not None for x in t) >= 0.7 * width and len({i for i, o in pairs if level[o] == t}) >= least:
+                    drop.add(m)
+            near = {(m, k, d): next(((j, t[j]) for j in range(k + d, -1 if d < 0 else width, d) if kept[m][j]), None) for m, t in lines.items() for k in range(width) for d in (-1, 1)}
+            share = lambda m, k, d: [sum(weight[o] for o, t in lines.items() if near[o, k, d] == near[m, k, d] and (not same or t[k] == lines[m][k])) for same in (True, False)]  # noqa: E731, B023
+            new = {m: [keep and all(2 * a >= b for a, b in (share(m, k, -1), share(m, k, 1))) for k, keep in enumerate(row)] for m, row in kept.items()}
+            if new == kept:
+                break
+            kept = new
     return {i: [x for x in lines if mask(x) not in drop] for i, lines in docs.items()}
 
 
@@ -187,6 +230,23 @@ def test_lines_match_brute_force(spark):
     assert drop_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_fields_of_frequent_values_are_variable(spark, times):
+    """Two fields of 30 values each, alone and beside a template with a place name of three words: more data drops no less."""
+    names = [f"{a}ville {b}land {a}{b}ia" for a, b in zip(WORDS[:30], WORDS[30:60])]
+    one = [f"the night job of {a} and {b} has now been closed" for a in WORDS[:30] for b in WORDS[40:70]]
+    two = [f"the night job has {a} moved from {b} on to the east" for a in WORDS[:30] for b in names[:12]]
+    odd = ["the night job " + " ".join(random.Random(i).sample(WORDS, 8)) for i in range(40)]
+    data = [(i * 10 + j, line, None, None, None) for i, line in enumerate(one + two + odd) for j in range(times)]
+    got = drop_lines(frame(spark, data)).select("doc_id", "n_dropped").collect()
+    assert sum(r.n_dropped for r in got if r.doc_id < 9000) == 900 * times
+    assert sum(r.n_dropped for r in got if 9000 <= r.doc_id < 12_600) == 360 * times
+    if times == 1:
+        assert sum(r.n_dropped for r in got if r.doc_id >= 12_600) == 0
+        want = brute_lines(data)
+        assert {r.doc_id for r in got if r.n_dropped} == {i for i, left in want.items() if not left}
+
+
 def test_templates_that_share_a_leaf(spark):
     """Three recurring templates of one leaf, the largest of which has most of its lines, beside lines that do not recur; ids null or repeated."""
     rng = random.Random(12)

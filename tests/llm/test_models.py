@@ -187,7 +187,11 @@ def brute_contaminated(docs, items):
         words, hit = weighted(text)[0], []
         for k, item in items:
             need, b = weighted(item)
-            if len(need) < 5 and len(words) != len(need):  # an item below five words matches only the same words
+            if 0 < len(need) < 5:  # its own words in a row, at any place
+                if any(words[s : s + len(need)] == need for s in range(len(words))):
+                    hit.append(k)
+                continue
+            if len(words) < 5:
                 continue
             for s in range(max(len(words) - len(need), 0) + 1) if need and words else []:
                 _, a = weighted(" ".join(words[s : s + len(need)]))
@@ -217,6 +221,13 @@ def test_decontamination_matches_brute_force(spark):
 
 
 
+def test_short_items_are_found_at_every_place(spark):
+    items = spark.createDataFrame([(1, "capital of old france"), (2, "old france"), (3, "x"), (4, "a b c d e")], "item_id long, text string")
+    texts = ["capital of old france", "x capital of Old France y z w v u", "of old", "xx yy", "a b c d", "z a b c d e z", "", None]
+    got = {r.doc_id: r["items"] for r in decontaminate(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), items).collect()}
+    assert got == {0: [1, 2], 1: [1, 2, 3], 2: [], 3: [], 4: [], 5: [4], 6: [], 7: []}
+
+
 @pytest.mark.parametrize("size", [9, 18, 45, 100])
 def test_the_radius_holds_what_is_similar_enough(size):
     """Windows just at the similarity of 0.8: nearly all fingerprints lie within the radius."""

@@ -58,19 +58,29 @@ class ItemIndex:
         use = np.flatnonzero(words > 0)
         self.ids = [ids[i] for i in use]
         self.words = words[use]
+        # an item below K words is one shingle of its own length, which a window is or is not
+        self.short: dict[int, tuple[np.ndarray, dict]] = {}
+        for n in range(1, K):
+            of = np.flatnonzero(self.words == n)
+            if len(of):
+                whole, last = shingles(h, limits, n)
+                named: dict[int, list] = {}
+                for i in of.tolist():
+                    named.setdefault(int(whole[last[use[i]]]), []).append(i)
+                self.short[n] = np.array(sorted(named), np.uint64), named
         self.counts = [Counter(s[ends[i] : ends[i + 1]].tolist()) for i in use]
         self.size = np.array([sum(c.values()) for c in self.counts], np.int64)
         self.prints = np.array([fingerprints(fingerprint_planes(s[ends[i] : ends[i + 1]]).sum(0, keepdims=True))[0] for i in use], np.uint64)
-        self.known = np.unique(s)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s[ends[i] : ends[i + 1]] for i in np.flatnonzero(words >= K)]]))
         # for each shingle, the item lengths (words) for which its windows matter
         lengths: dict[int, set] = {}
         for i, c in enumerate(self.counts):
-            for g in c:
+            for g in c if self.words[i] >= K else ():
                 lengths.setdefault(g, set()).add(int(self.words[i]))
         self.lengths = [sorted(lengths.get(g, ())) for g in self.known.tolist()]
         # for each length a table for each block of bits: a window meets items of its own length only
         self.tables = {}
-        for n in np.unique(self.words):
+        for n in np.unique(self.words[self.words >= K]):
             of, tables, shift = np.flatnonzero(self.words == n), [], 0
             for bits in BLOCKS:
                 value = (self.prints[of] >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
@@ -131,8 +141,8 @@ def _windows(index: ItemIndex, s: np.ndarray, words: int) -> tuple[np.ndarray, n
 def matches(index: ItemIndex, h: np.ndarray, s: np.ndarray) -> dict[int, tuple[float, int]]:
     """item index -> (best similarity, start word) over the windows of one document."""
     words = len(h)
-    if words < K:  # the whole sequence is one shingle: it matches an item that is the same sequence
-        return {i: (1.0, 0) for i in range(len(index.ids)) if index.words[i] == words and s[0] in index.counts[i]} if words else {}
+    if words < K:  # one shingle of fewer words, which no item of K words has
+        return {}
     starts, sizes = _windows(index, s, words)
     best: dict[int, tuple[float, int]] = {}
     for lo in range(0, len(starts), 2048):
@@ -156,6 +166,21 @@ def matches(index: ItemIndex, h: np.ndarray, s: np.ndarray) -> dict[int, tuple[f
     return best
 
 
+def short_matches(index: ItemIndex, h: np.ndarray, limits: np.ndarray) -> dict[int, dict[int, tuple[float, int]]]:
+    """row -> item index -> (1.0, first start word) for the items below K words, whose windows are looked up at every place."""
+    out: dict[int, dict] = {}
+    for n, (keys, named) in index.short.items():
+        s, ends = shingles(h, limits, n)
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        place = np.flatnonzero(keys[at] == s)
+        row = np.searchsorted(ends, place, "right") - 1
+        for r, p in zip(row.tolist(), place.tolist()):
+            if limits[r + 1] - limits[r] >= n:
+                for i in named[int(s[p])]:
+                    out.setdefault(r, {}).setdefault(i, (1.0, p - int(ends[r])))
+    return out
+
+
 def contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """rid, item, similarity, start_word: the best window of each document for each item it holds.
 
@@ -178,10 +203,11 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id
                     # documents without any shingle of the benchmark end here
                     at = np.minimum(np.searchsorted(index.known, s), max(len(index.known) - 1, 0))
                     hit = index.known[at] == s if len(index.known) else np.zeros(len(s), bool)
-                    some = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[ends]))
+                    few = short_matches(index, h, limits)
+                    some = np.union1d(np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[ends])), np.array(list(few), np.int64))
                     out = [[], [], [], []]
                     for r in some:
-                        for i, (j, start) in matches(index, h[limits[r] : limits[r + 1]], s[ends[r] : ends[r + 1]]).items():
+                        for i, (j, start) in (matches(index, h[limits[r] : limits[r + 1]], s[ends[r] : ends[r + 1]]) | few.get(int(r), {})).items():
                             for o, x in zip(out, (part.column("rid")[int(r)].as_py(), index.ids[i], j, start)):
                                 o.append(x)
                     yield batch_of(found_schema, *out)
@@ -206,10 +232,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, contaminated, n_items, items, similarity: one row for each row of docs.
 
     items: the ids of the benchmark items that some window of the document matches, in
-    order; similarity: the greatest (null if none).  Words are lower-cased (A-Z); an
-    item or document of fewer than five words is one shingle, so such an item matches
-    only a document that is the same words.  Null or empty items and texts match
-    nothing; texts of any length are searched whole.  Null or repeated document ids are
+    order; similarity: the greatest (null if none; of equally similar windows the first
+    counts).  Words are lower-cased (A-Z); an item of fewer than five words is one
+    shingle of its own length and matches every document that has these words in a
+    row.  Null or empty items and texts match nothing; texts of any length are searched
+    whole, and columns other than the three named are not read.  Null or repeated document ids are
     rows of their own, ids of documents and items may be of any type, and equal items
     with different ids are all listed.  Empty tables: no rows, or nothing contaminated.
     """
