@@ -56,7 +56,7 @@ def test_box_means_leave_invalid_pixels_out(spark):
     df = spark.createDataFrame([("s", r, c, float(r * 4 + c), (r, c) == (1, 1)) for r in range(4) for c in range(4)], "scene string, row_i int, col_i int, value double, invalid boolean")
     got = {(r.row_i, r.col_i): r.box_mean for r in scenes.box_means(df, 1).collect()}
     for (r, c), m in got.items():
-        near = [i * 4 + j for i in range(max(r - 1, 0), min(r + 2, 4)) for j in range(max(c - 1, 0), min(c + 2, 4)) if (i, j) != (1, 1)]
+        near = [i * 4 + j for i in (min(max(k, 0), 3) for k in range(r - 1, r + 2)) for j in (min(max(k, 0), 3) for k in range(c - 1, c + 2)) if (i, j) != (1, 1)]
         assert m == pytest.approx(np.mean(near))
 
 

@@ -3,33 +3,38 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut, prepare
+from ..session import cut
 from .graph import components
+from .quantiles import quantiles
+from .stencils import gradients
 
 M_PER_DEG = math.pi / 180 * 6_371_008.8
 
 
 def band_stats(pixels: DataFrame, *keys: str) -> DataFrame:
-    """Raw and valid statistics of each band in one pass."""
-    ok = ~F.col("invalid")
-    v = F.when(ok, F.col("value"))
-    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.005, 0.01, 0.5, 0.99, 0.995)]))
-    out = pixels.withColumn("v", v).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("valid"), F.count_if(F.col("value") == 0).alias("zeros"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), q.alias("q"))
-    return out.select(*keys, "n", "valid", "zeros", "lo", "hi", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p005", "p01", "p50", "p99", "p995"))])
-
-
-def norm_stats(pixels: DataFrame) -> DataFrame:
-    """Mean and deviation from sums (single pass, combinable), and the 1st and 99th percentile."""
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    s = pixels.filter("not invalid").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("value").alias("n"), q.alias("q"))
+    """Raw and valid statistics of each band; percentiles are exact and no task holds a large band's values."""
+    shares = {"p005": 0.005, "p01": 0.01, "p50": 0.5, "p99": 0.99, "p995": 0.995}
+    v = F.when(~F.col("invalid"), F.col("value"))
+    p = pixels.withColumn("v", v)
+    out = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("valid"), F.count_if(F.col("value") == 0).alias("zeros"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    q = quantiles(p, "v", list(shares.values()), *keys)
+    same = [out[k].eqNullSafe(q[k]) for k in keys]
+    return (out.join(q, same) if keys else out.crossJoin(F.broadcast(q))).select(*[out[k] for k in keys], "n", "valid", "zeros", "lo", "hi", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(shares)])
+
+
+def norm_stats(pixels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Mean and deviation from sums (single pass, combinable), and two exact percentiles to clip at."""
+    p = pixels.filter("not invalid")
+    s = p.agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("value").alias("n"))
     mean = F.col("s") / F.col("n")
-    return s.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"), F.col("q")[0].alias("p01"), F.col("q")[1].alias("p99"))
+    out = s.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"))
+    q = quantiles(p, "value", [low, high]).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return out.join(F.broadcast(q), F.lit(True), "left")  # one row each
 
 
 def standardise(x: Column, lo: float, hi: float, mean: float, std: float) -> Column:
@@ -116,30 +121,35 @@ def connected_regions(mask: DataFrame) -> DataFrame:
     return cells.join(labels, F.col("cell") == F.col("node"), "left").select("scene", "row_i", "col_i", F.coalesce("root", "cell").alias("region"))
 
 
-def hull(points: DataFrame, salts: int = 16) -> DataFrame:
-    """Convex hull vertices (grp, n, x, y), counter-clockwise from the least x.
+def hull(points: DataFrame) -> DataFrame:
+    """Convex hull vertices (grp, n, x, y), counter-clockwise from the least x (of equals the least y).
 
-    A vertex of the whole is a vertex of any part, so each group is cut into parts, a
-    part is reduced to its own hull, and only those vertices meet in one task.
+    Rounds over all groups at once: of the points outside an edge the farthest becomes a
+    vertex and the edge becomes two; points inside the new edges are left out.  What a
+    round passes on is one extreme point an edge, found with map-side combination, and
+    ties go to the least point, so points on an edge are no vertices.
     """
-    prepare(points.sparkSession)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(pdf.x.tolist(), pdf.y.tolist())))
-        half = []
-        for side in (p, p[::-1]):
-            h: list = []
-            for q in side:
-                while len(h) > 1 and (h[-1][0] - h[-2][0]) * (q[1] - h[-2][1]) - (h[-1][1] - h[-2][1]) * (q[0] - h[-2][0]) <= 0:
-                    h.pop()
-                h.append(q)
-            half += h[:-1] if len(p) > 1 else h
-        ring = half if len(p) > 1 else p
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "n": range(len(ring)), "x": [q[0] for q in ring], "y": [q[1] for q in ring]})
-
-    schema = T.StructType([points.schema["grp"], *T._parse_datatype_string("n int, x double, y double").fields])
-    some = points.select("grp", "x", "y").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
-    return some.groupBy("grp", "part").applyInPandas(lambda pdf: chain(pdf), schema).groupBy("grp").applyInPandas(chain, schema)
+    p = F.struct("x", "y")
+    pts = points.select("grp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    ends = cut(pts.groupBy("grp").agg(F.min(p).alias("a"), F.max(p).alias("b")))
+    found = [ends.select("grp", F.lit(0).alias("side"), "a.x", "a.y"), ends.filter("a <> b").select("grp", F.lit(0).alias("side"), "b.x", "b.y")]
+    # the lower edge runs from the first to the last point, the upper one back; what lies to the right of an edge is outside
+    edges = ends.filter("a <> b").select("grp", F.explode(F.array(F.struct("a", "b", F.lit(0).alias("side")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("side")))).alias("e"))
+    right = lambda a, b, q: (q("x") - a("x")) * (b("y") - a("y")) - (q("y") - a("y")) * (b("x") - a("x"))
+    of = lambda c: lambda k: F.col(f"{c}.{k}")
+    left = pts.distinct().select("grp", p.alias("p")).join(edges, "grp").select("grp", "p", "e.a", "e.b", "e.side", right(of("e.a"), of("e.b"), of("p")).alias("out")).filter("out > 0")
+    left = cut(left)
+    while left.limit(1).count():
+        top = left.groupBy("grp", "side", "a", "b").agg(F.max_by("p", F.struct("out", -F.col("p.x"), -F.col("p.y"))).alias("q"))
+        top = cut(top)
+        found.append(top.select("grp", "side", "q.x", "q.y"))
+        two = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("q").alias("v")), F.struct(F.col("q").alias("u"), F.col("b").alias("v"))))
+        more = left.drop("out").join(top, ["grp", "side", "a", "b"]).select("grp", "side", "p", two.alias("e"))
+        left = cut(more.select("grp", "side", "p", F.col("e.u").alias("a"), F.col("e.v").alias("b"), right(of("e.u"), of("e.v"), of("p")).alias("out")).filter("out > 0"))
+    vertices = reduce(DataFrame.unionByName, found)
+    lowest = F.col("side") == 0
+    order = Window.partitionBy("grp").orderBy("side", F.when(lowest, F.col("x")).otherwise(-F.col("x")), F.when(lowest, F.col("y")).otherwise(-F.col("y")))
+    return vertices.withColumn("n", F.row_number().over(order) - 1).select("grp", "n", "x", "y")
 
 
 def disc(radius: int) -> list[tuple[int, int]]:
@@ -186,13 +196,36 @@ def dark_regions(pixels: DataFrame, sigma: float, k: float, open_radius: int, cl
     return cells.join(size, ["scene", "region"]).select("scene", F.col("place").alias("region"), "row_i", "col_i")
 
 
-def region_features(pixels: DataFrame, regions: DataFrame, reach: int) -> DataFrame:
-    """scene, region, area, darkness_z, darkness_p10_z, texture_ratio, compactness, elongation: a region against the valid pixels around it.
+def solidity(regions: DataFrame) -> DataFrame:
+    """scene, region, solidity: the share of the convex hull around a region's cells that they fill; only the ends of its rows can be hull corners."""
+    rows = regions.groupBy("scene", "region", "row_i").agg(F.min("col_i").alias("c0"), (F.max("col_i") + 1).alias("c1"), F.count(F.lit(1)).alias("n"))
+    grp = F.to_json(F.struct("scene", "region"))
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("x"), (F.col("row_i") + k).alias("y")) for c in ("c0", "c1") for k in (0, 1)]))
+    around = shoelace(hull(rows.select(grp.alias("grp"), ends.alias("p")).select("grp", "p.x", "p.y")), "grp")
+    area = rows.groupBy("scene", "region").agg(F.sum("n").alias("cells")).withColumn("grp", grp)
+    return area.join(around, "grp").select("scene", "region", (F.col("cells") / F.col("area")).alias("solidity"))
+
+
+def edge_sharpness(pixels: DataFrame, regions: DataFrame, around: DataFrame, sigma: float, width: int = 1) -> DataFrame:
+    """scene, region, edge_sharpness: the mean gradient of the smoothed values across a region's edge over that of its surroundings (0 where those are flat)."""
+    steep = cut(gradients(smoothed(pixels, sigma), "smooth").select("scene", "row_i", "col_i", "gradient"))
+    at = ["scene", "region", "row_i", "col_i"]
+    band = morph(regions, "dilate", disc(width), "scene", "region").join(morph(regions, "erode", disc(width), "scene", "region"), at, "left_anti")
+    mean = lambda cells, name: cells.join(steep, ["scene", "row_i", "col_i"]).groupBy("scene", "region").agg(F.avg("gradient").alias(name))
+    both = mean(band, "edge").join(mean(around.select(*at), "sea"), ["scene", "region"], "left")
+    return both.select("scene", "region", F.when(F.col("sea") > 1e-6, F.col("edge") / F.col("sea")).otherwise(0.0).alias("edge_sharpness"))
+
+
+def region_features(pixels: DataFrame, regions: DataFrame, reach: int, sigma: float = 1.0) -> DataFrame:
+    """scene, region, area, darkness_z, darkness_p10_z, texture_ratio, edge_sharpness, compactness, solidity, elongation: a region against the valid pixels around it.
 
     All are unchanged by a gain and an offset of the values.  Cells of other regions are not surroundings.
     """
+    regions = cut(regions)
     inside = regions.join(pixels.filter("not invalid"), ["scene", "row_i", "col_i"])
     around = morph(regions, "dilate", disc(reach), "scene", "region").join(regions.select("scene", "row_i", "col_i").distinct(), ["scene", "row_i", "col_i"], "left_anti").join(pixels.filter("not invalid"), ["scene", "row_i", "col_i"])
+    around = cut(around)
+    sharp = edge_sharpness(pixels, regions, around, sigma)
     ring = around.groupBy("scene", "region").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     own = inside.groupBy("scene", "region").agg(F.count(F.lit(1)).alias("area"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(0.1)).alias("p10"))
     sides = [(0, 1), (0, -1), (1, 0), (-1, 0)]
@@ -200,9 +233,9 @@ def region_features(pixels: DataFrame, regions: DataFrame, reach: int) -> DataFr
     next_ = regions.select("scene", "region", "row_i", "col_i", step.alias("k")).select("scene", "region", (F.col("row_i") + F.col("k.a")).alias("row_i"), (F.col("col_i") + F.col("k.b")).alias("col_i"))
     edge = next_.join(regions, ["scene", "region", "row_i", "col_i"], "left_anti").groupBy("scene", "region").agg(F.count(F.lit(1)).alias("edge"))
     form = shape(regions.select("scene", "region", F.col("col_i").cast("double").alias("x"), F.col("row_i").cast("double").alias("y")), "scene", "region").select("scene", "region", F.try_divide(F.col("length") + 1, F.col("width") + 1).alias("elongation"))
-    j = own.join(ring, ["scene", "region"], "left").join(edge, ["scene", "region"]).join(form, ["scene", "region"])
+    j = own.join(ring, ["scene", "region"], "left").join(edge, ["scene", "region"]).join(form, ["scene", "region"]).join(sharp, ["scene", "region"]).join(solidity(regions), ["scene", "region"])
     z = lambda c: F.try_divide(F.col(c) - F.col("m"), F.col("s"))
-    return j.select("scene", "region", "area", z("mean").alias("darkness_z"), z("p10").alias("darkness_p10_z"), F.try_divide("std", "s").alias("texture_ratio"), (4 * math.pi * F.col("area") / (F.col("edge") * F.col("edge"))).alias("compactness"), "elongation")
+    return j.select("scene", "region", "area", z("mean").alias("darkness_z"), z("p10").alias("darkness_p10_z"), F.try_divide("std", "s").alias("texture_ratio"), "edge_sharpness", (4 * math.pi * F.col("area") / (F.col("edge") * F.col("edge"))).alias("compactness"), "solidity", "elongation")
 
 
 def box_cells(boxes: DataFrame, *keys: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_unit
+from ..session import table
 
 
 def grouped_split(rows: DataFrame, group: str, seed: int = 20180803, val: float = 0.15, test: float = 0.15) -> DataFrame:
@@ -29,14 +30,21 @@ def round_robin(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
 def evenly_spaced(rows: DataFrame, key: str, k: int) -> DataFrame:
     """k rows at places floor(i n / k) in key order.
 
-    ``key`` ranks a table of names (one row each); the window passes only key counts.
+    Rows are dealt into ranges of the key and numbered within a range; only the ranges'
+    sizes meet on the driver, so no task sorts all keys.
     """
-    n = rows.count()
+    sorted_ = table(rows.withColumn("_k", F.col(key)).repartitionByRange("_k").withColumn("_range", F.spark_partition_id()))
+    sizes = sorted(sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
+    n, before, starts = sum(r.n for r in sizes), 0, []
     if n <= k:
-        return rows
-    w = Window.orderBy(key)
-    places = F.array(*[F.lit(i * n // k) for i in range(k)])
-    return rows.withColumn("_n", F.row_number().over(w) - 1).filter(F.array_contains(places, F.col("_n"))).drop("_n")
+        return sorted_.drop("_k", "_range")
+    for r in sizes:
+        starts.append((r["_range"], before, [i * n // k - before for i in range(k) if before <= i * n // k < before + r.n]))
+        before += r.n
+    wanted = rows.sparkSession.createDataFrame(starts, "_range int, _before long, _places array<long>").filter("size(_places) > 0")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_k")) - 1
+    out = sorted_.join(F.broadcast(wanted), "_range").withColumn("_n", place.cast("long"))
+    return out.filter(F.array_contains("_places", F.col("_n"))).select(*rows.columns)
 
 
 def positives_first(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -44,11 +52,28 @@ def positives_first(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.col("y").desc(), stable_unit(F.col(key), seed), key).limit(n)
 
 
+#: Parts in which the first rows of a group are taken before they meet.
+PARTS = 64
+
+
+def first_rows(rows: DataFrame, order: list[Column], k: int, *groups: str) -> DataFrame:
+    """The first k rows of each group with their place ``n``: of each of some parts first, then of what those leave, so a hot group is shared by many tasks."""
+    part = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    for keys in ([*groups, "_part"], list(groups)):
+        part = part.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= k)
+    return part.drop("_part")
+
+
+def first_values(rows: DataFrame, value: str, k: int, *groups: str) -> DataFrame:
+    """groups, value: an array of the k least values of each group, in order."""
+    return first_rows(rows, [F.col(value)], k, *groups).groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias(value))
+
+
 def top_with_remainder(rows: DataFrame, group: str, by: str, key: str, k: int) -> DataFrame:
     """Per group the k greatest, re-numbered, with how many there were beyond."""
-    w = Window.partitionBy(group).orderBy(F.col(by).desc(), key)
-    out = rows.withColumn("n", F.row_number().over(w)).withColumn("remainder", F.greatest(F.lit(0), F.count(F.lit(1)).over(Window.partitionBy(group)) - k))
-    return out.filter(F.col("n") <= k).withColumn("item", F.format_string("item-%02d", F.col("n")))
+    top = first_rows(rows, [F.col(by).desc(), F.col(key)], k, group)
+    size = rows.groupBy(group).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - k).alias("remainder"))
+    return top.join(size, group).withColumn("item", F.format_string("item-%02d", F.col("n")))
 
 
 def whole_split(rows: DataFrame, group: str, seed: int = 20180803, val: float = 0.15, test: float = 0.15) -> DataFrame:

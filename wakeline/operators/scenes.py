@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.hashing import stable_unit
+from .quantiles import quantiles
+from .sampling import first_values
+from .stencils import box_means, medians
 
 
 def invalid(channels: list[Column], nodata: Column | None = None, header: Column | None = None) -> Column:
@@ -88,8 +91,8 @@ def bounds(scenes: DataFrame, *keys: str) -> DataFrame:
 
 def stretched(pixels: DataFrame, key: str = "scene", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds grey (0 to 255): values between two percentiles of the valid pixels of a scene; invalid ones are 0, and a flat scene is all 0."""
-    q = F.percentile(F.when(~F.col("invalid"), F.col("value")), F.array(F.lit(low), F.lit(high)))
-    p = pixels.join(pixels.groupBy(key).agg(q.alias("_q")), key)
+    q = quantiles(pixels.filter("not invalid"), "value", [low, high], key).withColumnRenamed("q", "_q")
+    p = pixels.join(q, key, "left")
     share = F.try_divide(F.col("value") - F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0])
     return p.withColumn("grey", F.when(F.col("invalid") | share.isNull(), 0).otherwise(F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) + 0.5)).cast("int")).drop("_q")
 
@@ -114,31 +117,23 @@ def problems(scenes: DataFrame, rules: list[tuple[str, str, Column, Column]], ke
 
 
 def listed(found: DataFrame, most: int = 100, key: str = "scene") -> DataFrame:
-    """kind, severity, n, first: how often each kind occurs, and its first scenes (at most so many: a report)."""
-    w = Window.partitionBy("kind", "severity").orderBy(key)
-    few = found.withColumn("_n", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "severity"))).filter(F.col("_n") <= most)
-    return few.groupBy("kind", "severity").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(key)).alias("first"))
+    """kind, severity, n, first: how often each kind occurs, and its first scenes (at most so many: a report).
 
-
-def box_means(pixels: DataFrame, reach: int) -> DataFrame:
-    """Adds box_mean: the mean of valid values in the square of side 2 reach + 1 around each pixel.
-
-    Running sums along rows, then along columns: the cost does not depend on the reach,
-    and a row or column of a scene is the largest group.  A raster has a row in the
-    table for each of its cells (unusable ones are invalid); of a row of cells that has
-    none in a pixel's column nothing is counted for it.
+    The first scenes of a kind are brought together in two steps, so no task meets all rows of a frequent kind.
     """
-    v = F.when(~F.col("invalid"), F.col("value"))
-    across = Window.partitionBy("scene", "row_i").orderBy("col_i").rangeBetween(-reach, reach)
-    down = Window.partitionBy("scene", "col_i").orderBy("row_i").rangeBetween(-reach, reach)
-    p = pixels.withColumn("_s", F.coalesce(F.sum(v).over(across), F.lit(0.0))).withColumn("_c", F.count(v).over(across))
-    return p.withColumn("box_mean", F.try_divide(F.sum("_s").over(down), F.sum("_c").over(down))).drop("_s", "_c")
+    by = ["kind", "severity"]
+    least = first_values(found.select(*by, key), key, most, *by)
+    return found.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(least, by).select(*by, "n", F.col(key).alias("first"))
 
 
-def dark(pixels: DataFrame, reach: int, contrast: float) -> DataFrame:
-    """Adds contrast (how far a pixel lies below its surroundings) and dark (at least ``contrast``)."""
-    p = box_means(pixels, reach).withColumn("contrast", F.col("box_mean") - F.col("value"))
-    return p.withColumn("dark", F.coalesce(~F.col("invalid") & (F.col("contrast") >= contrast), F.lit(False))).drop("box_mean")
+def dark(pixels: DataFrame, reach: int, contrast: float, despeckle: int = 0) -> DataFrame:
+    """Adds contrast (how far a pixel lies below its surroundings) and dark (at least ``contrast``).
+
+    With ``despeckle`` (3 or 5) values are medians of so many cells before.
+    """
+    p = medians(pixels, despeckle) if despeckle else pixels.withColumn("median", F.col("value"))
+    p = box_means(p, reach, "median").withColumn("contrast", F.col("box_mean") - F.col("median"))
+    return p.withColumn("dark", F.coalesce(~F.col("invalid") & (F.col("contrast") >= contrast), F.lit(False))).drop("box_mean", "median")
 
 
 def write_by_split(tiles_: DataFrame, path: str) -> None:

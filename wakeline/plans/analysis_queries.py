@@ -171,9 +171,9 @@ def band_stats(spark, d):
     return _r(P.band_stats(bridge(spark, d, "raster"), "scene"), 6, "mean", "std", "p005", "p01", "p50", "p99", "p995")
 
 
-@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99 FROM raster WHERE NOT invalid")
+@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.005), 6) AS low, round(quantile_cont(value, 0.995), 6) AS high FROM raster WHERE NOT invalid")
 def norm_stats(spark, d):
-    return P.norm_stats(bridge(spark, d, "raster")).select("n", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"), F.round("p01", 6).alias("p01"), F.round("p99", 6).alias("p99"))
+    return P.norm_stats(bridge(spark, d, "raster")).select("n", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("SELECT p_partkey, round((least(greatest(value, 950.0::DOUBLE), 1500.0::DOUBLE) - 1200) / 150, 8) AS z FROM raster")

@@ -14,7 +14,7 @@ from ..operators import sampling as A
 from ..operators import scenes as S
 from .bridge import bridge, with_views
 from .registry import Registry
-from .scene_queries import _PX, _hav, _pixels
+from .scene_queries import _PX, _hav, _pixels, boxed
 from .vessel_queries import _PARSED
 
 R = Registry()
@@ -118,11 +118,23 @@ def dark_regions(spark, d):
 ri AS (SELECT DISTINCT ce.scene, region, (row_i + a) AS row_i, (col_i + b) AS col_i FROM ce, {_OFF(2)}),
 ar AS (SELECT ri.scene, ri.region, avg(value) AS m, stddev_pop(value) AS s FROM ri JOIN px ON px.scene = ri.scene AND px.row_i = ri.row_i AND px.col_i = ri.col_i AND NOT px.invalid WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.scene = ri.scene AND ce.row_i = ri.row_i AND ce.col_i = ri.col_i) GROUP BY 1, 2),
 ow AS (SELECT ce.scene, region, count(*) AS area, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.1) AS p10 FROM ce JOIN px USING (scene, row_i, col_i) GROUP BY 1, 2),
-ed AS (SELECT ce.scene, ce.region, count(*) AS edge FROM ce, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) k(a, b) WHERE NOT EXISTS (SELECT 1 FROM ce c2 WHERE c2.scene = ce.scene AND c2.region = ce.region AND c2.row_i = ce.row_i + a AND c2.col_i = ce.col_i + b) GROUP BY 1, 2)
-SELECT scene, region, area, round((mean - m) / nullif(s, 0), 5) AS darkness_z, round((p10 - m) / nullif(s, 0), 5) AS darkness_p10_z, round(std / nullif(s, 0), 5) AS texture_ratio, round(4 * pi() * area / (edge * edge), 6) AS compactness FROM ow LEFT JOIN ar USING (scene, region) JOIN ed USING (scene, region)""")
+ed AS (SELECT ce.scene, ce.region, count(*) AS edge FROM ce, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) k(a, b) WHERE NOT EXISTS (SELECT 1 FROM ce c2 WHERE c2.scene = ce.scene AND c2.region = ce.region AND c2.row_i = ce.row_i + a AND c2.col_i = ce.col_i + b) GROUP BY 1, 2),
+su AS (SELECT scene, row_i, col_i, g2.s / g2.w AS z FROM px LEFT JOIN g2 USING (scene, row_i, col_i)),
+sx AS (SELECT *, coalesce(lead(z) OVER w, lag(z) OVER w, z) - coalesce(lag(z) OVER w, lead(z) OVER w, z) AS d, coalesce(lag(z) OVER w, lead(z) OVER w, z) + 2 * z + coalesce(lead(z) OVER w, lag(z) OVER w, z) AS t FROM su WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i)),
+sy AS (SELECT scene, row_i, col_i, sqrt(pow(coalesce(lag(d) OVER w, lead(d) OVER w, d) + 2 * d + coalesce(lead(d) OVER w, lag(d) OVER w, d), 2) + pow(coalesce(lead(t) OVER w, lag(t) OVER w, t) - coalesce(lag(t) OVER w, lead(t) OVER w, t), 2)) AS g FROM sx WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i)),
+cr AS (SELECT DISTINCT ce.scene, region, row_i + a AS row_i, col_i + b AS col_i FROM ce, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) k(a, b)),
+er AS (SELECT ce.* FROM ce, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) k(a, b) JOIN ce c2 ON c2.scene = ce.scene AND c2.region = ce.region AND c2.row_i = ce.row_i + a AND c2.col_i = ce.col_i + b GROUP BY ALL HAVING count(*) = 5),
+eg AS (SELECT cr.scene, cr.region, avg(g) AS edge_g FROM cr ANTI JOIN er USING (scene, region, row_i, col_i) JOIN sy USING (scene, row_i, col_i) GROUP BY 1, 2),
+bg AS (SELECT ri.scene, ri.region, avg(g) AS sea_g FROM ri JOIN px USING (scene, row_i, col_i) JOIN sy USING (scene, row_i, col_i) WHERE NOT px.invalid AND NOT EXISTS (SELECT 1 FROM ce WHERE ce.scene = ri.scene AND ce.row_i = ri.row_i AND ce.col_i = ri.col_i) GROUP BY 1, 2),
+hp AS MATERIALIZED (SELECT DISTINCT scene, region, x, y FROM (SELECT scene, region, row_i, min(col_i) AS c0, max(col_i) + 1 AS c1 FROM ce GROUP BY 1, 2, 3), LATERAL (VALUES (c0, row_i), (c1, row_i), (c0, row_i + 1), (c1, row_i + 1)) v(x, y)),
+hs AS (SELECT a.scene, a.region, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz, bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) >= 0) AS side,
+  bool_or((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) < 0) AS split FROM hp a JOIN hp b ON a.scene = b.scene AND a.region = b.region AND (a.x, a.y) <> (b.x, b.y) JOIN hp c ON c.scene = a.scene AND c.region = a.region GROUP BY ALL),
+ha AS (SELECT scene, region, sum(ax * bz - bx * ay) / 2.0::DOUBLE AS hull FROM hs WHERE side AND NOT split GROUP BY 1, 2)
+SELECT scene, region, area, round((mean - m) / nullif(s, 0), 5) AS darkness_z, round((p10 - m) / nullif(s, 0), 5) AS darkness_p10_z, round(std / nullif(s, 0), 5) AS texture_ratio, round(4 * pi() * area / (edge * edge), 6) AS compactness,
+  round(CASE WHEN sea_g > 1e-6::DOUBLE THEN edge_g / sea_g ELSE 0 END, 5) AS edge_sharpness, round(area / hull, 6) AS solidity FROM ow LEFT JOIN ar USING (scene, region) JOIN ed USING (scene, region) JOIN eg USING (scene, region) LEFT JOIN bg USING (scene, region) JOIN ha USING (scene, region)""")
 def region_features(spark, d):
     f = P.region_features(_pixels(spark, d), _regions(spark, d), 2)
-    return f.select("scene", "region", "area", *[F.round(c, 5).alias(c) for c in ("darkness_z", "darkness_p10_z", "texture_ratio")], F.round("compactness", 6).alias("compactness"))
+    return f.select("scene", "region", "area", *[F.round(c, 5).alias(c) for c in ("darkness_z", "darkness_p10_z", "texture_ratio", "edge_sharpness")], *[F.round(c, 6).alias(c) for c in ("compactness", "solidity")])
 
 
 @query("SELECT DISTINCT k, r AS row_i, c AS col_i FROM (SELECT o_custkey AS k, o_orderkey % 9 AS x0, o_orderkey % 7 AS y0, o_orderkey % 4 AS w, o_orderkey % 3 AS h FROM orders), range(20) a(r), range(20) b(c) WHERE r >= y0 AND r < y0 + h AND c >= x0 AND c < x0 + w")
@@ -169,20 +181,14 @@ def land_reports(spark, d):
 _SEARCH = [20.0, 40.0, 60.0]
 
 
-def _box(r):
-    w = f"RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING"
-    return f"""ac{r} AS (SELECT *, coalesce(sum(value) FILTER (NOT invalid) OVER w, 0) AS s, count(value) FILTER (NOT invalid) OVER w AS c FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i {w})),
-bm{r} AS (SELECT *, round(sum(s) OVER w / nullif(sum(c) OVER w, 0) - value, 10) AS contrast FROM ac{r} WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i {w}))"""
-
-
-@query(f"""WITH {_PX}, {_box(1)}, {_box(2)}, al AS (SELECT 1 AS reach, * FROM bm1 UNION ALL SELECT 2, * FROM bm2), g AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _SEARCH)}]) AS threshold),
+@query(f"""WITH {_PX}, {boxed(1)}, {boxed(2)}, al AS (SELECT 1 AS reach, * FROM bm1 UNION ALL SELECT 2, * FROM bm2), g AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _SEARCH)}]) AS threshold),
 c AS (SELECT reach, threshold, count(*) FILTER (contrast >= threshold AND oil) AS tp, count(*) FILTER (contrast >= threshold AND NOT oil) AS fp, count(*) FILTER (contrast < threshold AND oil) AS fn FROM g, al WHERE NOT invalid AND contrast IS NOT NULL GROUP BY reach, threshold)
 SELECT reach, threshold, round(tp / nullif(tp + fp + fn, 0)::DOUBLE, 8) AS iou FROM c""")
 def baseline_search(spark, d):
     """Every reach with every contrast, each reach from one pass over its contrasts."""
     out = None
     for reach in (1, 2):
-        p = S.dark(_pixels(spark, d), reach, 0.0).filter("not invalid").select(F.round("contrast", 10).alias("score"), F.col("oil").cast("int").alias("y"))
+        p = S.dark(_pixels(spark, d), reach, 0.0).filter("not invalid").select(F.round("contrast", 9).alias("score"), F.col("oil").cast("int").alias("y"))
         one = E.sweep(p, _SEARCH).select(F.lit(reach).alias("reach"), "threshold", F.round("iou", 8).alias("iou"))
         out = one if out is None else out.unionByName(one)
     return out

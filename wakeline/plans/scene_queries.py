@@ -135,14 +135,25 @@ def problem_list(spark, d):
     return S.listed(_problems(spark, d), 5).withColumn("first", F.array_join("first", ","))
 
 
-_BOX = f"""{_PX}, ac AS (SELECT *, coalesce(sum(value) FILTER (NOT invalid) OVER w, 0) AS s, count(value) FILTER (NOT invalid) OVER w AS c FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-bm AS (SELECT *, sum(s) OVER w / nullif(sum(c) OVER w, 0) AS box_mean FROM ac WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-dk AS (SELECT *, round(box_mean - value, 10) AS contrast, coalesce(NOT invalid AND box_mean - value >= 60, false) AS dark FROM bm)"""
+def boxed(reach, despeckle=False):
+    """Contrast against the mean of a mirrored square (bm{reach}), by joining each cell with those around it."""
+    mirrored = f"CASE WHEN ((x.i + k) % (2 * x.w) + 2 * x.w) % (2 * x.w) < x.w THEN ((x.i + k) % (2 * x.w) + 2 * x.w) % (2 * x.w) ELSE 2 * x.w - 1 - ((x.i + k) % (2 * x.w) + 2 * x.w) % (2 * x.w) END"
+    line = lambda own, n, src, line, other, vals: f"""ix{n}{reach} AS (SELECT *, row_number() OVER (PARTITION BY scene, {line} ORDER BY {other}) - 1 AS i, count(*) OVER (PARTITION BY scene, {line}) AS w FROM {src}),
+ac{n}{reach} AS (SELECT x.scene, x.row_i, x.col_i, any_value(x.med) AS med, any_value(x.oil) AS oil, any_value(x.invalid) AS invalid, {vals} FROM ix{n}{reach} x, range({-reach}, {reach + 1}) r(k) JOIN ix{n}{reach} y ON y.scene = x.scene AND y.{line} = x.{line} AND y.i = {mirrored} GROUP BY 1, 2, 3)"""
+    med = "list_sort(list_concat(coalesce(lag(h) OVER w, h), h, coalesce(lead(h) OVER w, h)))[5]" if despeckle else "value"
+    return f"""hz{reach} AS (SELECT *, [coalesce(lag(value) OVER w, value), value, coalesce(lead(value) OVER w, value)] AS h FROM px WINDOW w AS (PARTITION BY scene, row_i ORDER BY col_i)),
+md{reach} AS (SELECT scene, row_i, col_i, oil, invalid, {med} AS med FROM hz{reach} WINDOW w AS (PARTITION BY scene, col_i ORDER BY row_i)),
+{line(1, 'a', f'md{reach}', 'row_i', 'col_i', 'coalesce(sum(y.med) FILTER (NOT y.invalid), 0) AS s, count(*) FILTER (NOT y.invalid) AS c')},
+{line(2, 'b', f'aca{reach}', 'col_i', 'row_i', 'sum(y.s) AS s, sum(y.c) AS c')},
+bm{reach} AS (SELECT *, round(s / nullif(c, 0) - med, 9) AS contrast FROM acb{reach})"""
 
 
-@query(f"WITH {_BOX} SELECT scene, row_i, col_i, round(contrast, 10) AS contrast, dark FROM dk")
+_BOX = f"{_PX}, {boxed(2, True)}, dk AS (SELECT *, coalesce(NOT invalid AND s / nullif(c, 0) - med >= 60, false) AS dark FROM bm2)"
+
+
+@query(f"WITH {_BOX} SELECT scene, row_i, col_i, contrast, dark FROM dk")
 def baseline_dark(spark, d):
-    return S.dark(_pixels(spark, d), 2, 60.0).select("scene", "row_i", "col_i", F.round("contrast", 10).alias("contrast"), "dark")
+    return S.dark(_pixels(spark, d), 2, 60.0, 3).select("scene", "row_i", "col_i", F.round("contrast", 9).alias("contrast"), "dark")
 
 
 _GRID = [20.0, 40.0, 60.0, 80.0]
@@ -152,7 +163,7 @@ _GRID = [20.0, 40.0, 60.0, 80.0]
 c AS (SELECT threshold, count(*) FILTER (contrast >= threshold AND oil) AS tp, count(*) FILTER (contrast >= threshold AND NOT oil) AS fp, count(*) FILTER (contrast < threshold AND oil) AS fn FROM g, dk WHERE NOT invalid AND contrast IS NOT NULL GROUP BY threshold)
 SELECT threshold, round(tp / nullif(tp + fp + fn, 0)::DOUBLE, 8) AS iou FROM c ORDER BY iou DESC, threshold LIMIT 1""")
 def baseline_best(spark, d):
-    p = S.dark(_pixels(spark, d), 2, 0.0).filter("not invalid").select(F.round("contrast", 10).alias("score"), F.col("oil").cast("int").alias("y"))
+    p = S.dark(_pixels(spark, d), 2, 0.0, 3).filter("not invalid").select(F.round("contrast", 9).alias("score"), F.col("oil").cast("int").alias("y"))
     return E.best_threshold(E.sweep(p, _GRID)).withColumn("iou", F.round("iou", 8))
 
 
