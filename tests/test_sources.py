@@ -7,6 +7,7 @@ from wakeline.operators import cases as K
 from wakeline.operators import reports as R
 from wakeline.operators import scenes as S
 from wakeline.sources import ais_csv, archive_index
+from wakeline.sources.case_store import CaseStore
 
 HEAD = ",".join(R.RAW_COLUMNS)
 ROW = "367777550,2022-06-01T00:00:02,28.1,-96.9,0.0,360.0,511.0,HARRY LEE,,WDJ4420,{},0,0,0,0.0,{},A"
@@ -57,3 +58,72 @@ def test_documents_and_tiles_round_trip(spark, tmp_path):
 def test_csv_cells_quote_only_where_needed(spark):
     df = spark.createDataFrame([("a,b", 'say "x"', None, "plain")], "a string, b string, c string, d string")
     assert df.select(K.line(*[F.col(c) for c in df.columns]).alias("l")).first().l == '"a,b","say ""x""",,plain'
+
+
+def _extract(path, n=40):
+    path.mkdir()
+    for i in range(4):
+        lines = [f"36777755{j % 10},2022-06-{1 + j % 9:02d}T00:00:02,{20 + j}.1,{-90 - j % 7}.5,0.0,360.0,511.0,A,,C,52,0,0,0,0.0,{j},A" for j in range(i * n // 4, (i + 1) * n // 4)]
+        (path / f"{i}.csv").write_text("\n".join([HEAD, *lines, "367777550,2022-06-03T00:00:00,north,-91.0,,,,,,,,,,,,bad,A"]) + "\n")
+    return str(path)
+
+
+def test_bounds_are_filters_of_the_scan(spark, tmp_path):
+    path = _extract(tmp_path / "d")
+    box, span = (-93.0, 25.0, -91.0, 50.0), ("2022-06-02T00:00:00", "2022-06-06T00:00:00")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    got = ais_csv.scan(spark, path, box, *span)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all(f"{f}({c}" in plan.split("PushedFilters")[1].split("ReadSchema")[0] for f, c in (("GreaterThanOrEqual", "LAT"), ("LessThanOrEqual", "LON"), ("LessThan", "BaseDateTime")))
+    raw = ais_csv.read(spark, path).filter(F.col("LON").try_cast("double").between(-93, -91) & F.col("LAT").try_cast("double").between(25, 50) & (F.col("BaseDateTime") >= span[0]) & (F.col("BaseDateTime") < span[1]))
+    want = sorted(r.Cargo for r in raw.collect())
+    assert sorted(r.Cargo for r in got.collect()) == want and len(want) == 2
+    stream = ais_csv.stream(spark, path, 1, box, *span)
+    q = stream.writeStream.format("memory").queryName("bounded").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.awaitTermination(120)
+    assert sorted(r.Cargo for r in spark.table("bounded").collect()) == want and len(q.recentProgress) >= 4
+
+
+def test_funnel_while_streaming(spark, tmp_path):
+    path = _extract(tmp_path / "d")
+    bounds = (-93.0, 25.0, -91.0, 50.0), (1_654_128_000_000_000, 1_654_473_600_000_000)
+    counts = R.funnel(R.parse(ais_csv.stream(spark, path, 2)), *bounds)
+    counts.writeStream.format("memory").queryName("funnel").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(120)
+    batch = R.funnel(R.parse(ais_csv.read(spark, path)), *bounds).first()
+    assert spark.table("funnel").first() == batch and batch.rows_examined == 44 and batch.unusable == 4
+
+
+def test_only_first_bytes_are_read(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h/a.csv").write_text("one\ntwo\n")
+    (tmp_path / "h/_b.csv").write_text("hidden\n")
+    (tmp_path / "h/c.csv").write_text("")
+    (tmp_path / "h/d.csv.gz").write_bytes(gzip.compress(b"packed\nx\n"))
+    assert sorted(ais_csv.first_lines(spark, str(tmp_path / "h"))) == [["one"], ["packed"]]
+
+
+def test_a_case_is_replaced_at_once_or_not_at_all(spark, tmp_path):
+    store = CaseStore(spark, str(tmp_path / "cases"))
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    assert store.versions().count() == 0
+    one = store.put("a", {"t": rows(1, 2)})
+    store.put("b", {"t": rows(7)})
+    old = store.table("t", "a")
+
+    def dies():
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        store.put("a", {"t": rows(3)}, before_commit=dies)
+    assert {r["case"]: r.version for r in store.versions().collect()}["a"] == one
+    assert sorted(r.v for r in store.table("t").collect()) == [1, 2, 7]
+    two = store.put("a", {"t": rows(5)})
+    assert sorted(r.v for r in old.collect()) == [1, 2]  # a reader that began before
+    assert sorted((r["case"], r.v) for r in store.table("t").collect()) == [("a", 5), ("b", 7)]
+    assert store.versions().count() == 2 and store.clean() == 1 and one != two
+    with pytest.raises(KeyError):
+        store.table("t", "c")
+    with pytest.raises(ValueError):
+        store.put("../a", {"t": rows(1)})

@@ -118,3 +118,20 @@ def feature_moments(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def thresholds(spark: SparkSession, step: int = 20) -> list[float]:
     return [i / step for i in range(1, step)]
+
+
+def scene_threshold(rows: DataFrame, thresholds: list[float], group: str, split: str) -> DataFrame:
+    """One row: the threshold of the greatest mean IoU of the groups of ``val`` (of equals the lowest), and what it gives on ``test``.
+
+    threshold, val_iou, test_groups, test_iou (mean of the groups), test_pooled.  A group
+    without anything to find or found has no IoU and is left out of means.  Each group is
+    counted once for all thresholds.
+    """
+    cuts = sorted(set(map(float, thresholds)))
+    hit = lambda t: F.col("score") >= t
+    oil = F.col("y") == 1
+    counts = rows.filter(f"score is not null and y is not null and {split} in ('val', 'test')").groupBy(split, group).agg(*[F.struct(F.lit(t).alias("threshold"), F.count_if(hit(t) & oil).alias("tp"), F.count_if(hit(t) | oil).alias("either")).alias(f"c{i}") for i, t in enumerate(cuts)])
+    each = counts.select(split, F.explode(F.array(*[f"c{i}" for i in range(len(cuts))])).alias("c")).select(split, "c.*").withColumn("iou", F.try_divide("tp", "either"))
+    by = each.groupBy(split, "threshold").agg(F.avg("iou").alias("mean"), F.count(F.lit(1)).alias("groups"), F.try_divide(F.sum("tp"), F.sum("either")).alias("pooled"))
+    best = by.filter(f"{split} = 'val' and mean is not null").agg(F.max_by(F.struct("threshold", "mean"), F.struct("mean", -F.col("threshold"))).alias("b")).select("b.threshold", F.col("b.mean").alias("val_iou"))
+    return best.join(by.filter(f"{split} = 'test'").select("threshold", F.col("groups").alias("test_groups"), F.col("mean").alias("test_iou"), F.col("pooled").alias("test_pooled")), "threshold", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import turn
@@ -115,3 +117,26 @@ def flagged_cells(field: DataFrame, box: tuple, most: int = 4000) -> DataFrame:
     """Cells without a value (land) inside a box in the order of (lat, lon), at most so many (a report), each with whether more were left out."""
     land = window(field, *box).filter("u is null").select("gj", "gi", "lat", "lon").distinct()
     return land.orderBy("lat", "lon").limit(most).crossJoin(F.broadcast(land.agg((F.count(F.lit(1)) > most).alias("truncated"))))
+
+
+def cadence(axis: DataFrame, at: str, *keys: str) -> DataFrame:
+    """keys, steps, cadence: the number of different times of each axis and the median of the gaps between them; null with fewer than two."""
+    times = axis.filter(F.col(at).isNotNull()).select(*keys, at).distinct()
+    gaps = times.withColumn("gap", F.col(at) - F.lag(at).over(Window.partitionBy(*keys).orderBy(at)))
+    return gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), F.percentile("gap", F.lit(0.5)).alias("cadence"))
+
+
+def first_usable(chain: list[tuple[str, DataFrame]], key: str, value: str) -> DataFrame:
+    """key, value, source: for each key the value of the first source of a chain that has one that is not null."""
+    named = [df.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("value"), F.lit(i).alias("place"), F.lit(name).alias("source")) for i, (name, df) in enumerate(chain)]
+    best = F.min_by(F.struct("value", "source"), "place")
+    return reduce(DataFrame.unionByName, named).groupBy(key).agg(best.alias("b")).select(key, F.col("b.value").alias(value), F.col("b.source").alias("source"))
+
+
+def horizon_coverage(product: DataFrame, asked: DataFrame) -> DataFrame:
+    """key, covered, reasons: the share of each asked interval (key, from_us, to_us) that a product's times (start_us, end_us; one row) span, and why it is not whole."""
+    j = asked.crossJoin(F.broadcast(product.agg(F.min("start_us").alias("p0"), F.max("end_us").alias("p1"))))
+    want, have = F.col("to_us") - F.col("from_us"), F.greatest(F.lit(0), F.least("to_us", "p1") - F.greatest("from_us", "p0"))
+    share = F.when(want > 0, F.coalesce(have / want, F.lit(0.0)))
+    why = F.array_compact(F.array(F.when(F.col("p0").isNull(), "no times").when(F.col("from_us") < F.col("p0"), "begins before the product"), F.when(F.col("to_us") > F.col("p1"), "ends after the product")))
+    return j.select("key", share.alias("covered"), why.alias("reasons"))

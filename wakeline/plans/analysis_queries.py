@@ -324,10 +324,11 @@ def window_half_open(spark, d):
     return bridge(spark, d, "reports").select("pos", "mmsi", within_window(t, a, b).alias("both_ends"), within_window(t, a).alias("from_start"), within_window(t, None, b).alias("to_end"), within_window(t).alias("open"))
 
 
-@query("SELECT seg, greatest(0E0, least(seg + seg % 3 * 3E0, 40E0) - greatest(seg + 0E0, 10E0)) / nullif(seg % 3 * 3E0, 0) AS covered FROM envelope")
+@query("SELECT pid, greatest(0E0, least(max(step) * 6E0, 30E0) - greatest(min(step) * 6E0, 10E0)) / nullif(max(step) * 6E0 - min(step) * 6E0, 0) AS covered FROM particles GROUP BY pid")
 def interval_overlap_fraction(spark, d):
-    s = F.col("seg").cast("double")
-    return bridge(spark, d, "envelope").select("seg", B.overlap_fraction(s, s + F.col("seg") % 3 * F.lit(3.0), 10.0, 40.0).alias("covered"))
+    """How much of the hours over which a particle is followed lies between the 10th and the 30th."""
+    p = bridge(spark, d, "particles").groupBy("pid").agg((F.min("step") * F.lit(6.0)).alias("a"), (F.max("step") * F.lit(6.0)).alias("b"))
+    return p.select("pid", B.overlap_fraction(F.col("a"), F.col("b"), 10.0, 30.0).alias("covered"))
 
 
 @query("SELECT p_partkey, row_i, (sum((p_partkey * 7 % 256)::BIGINT) OVER (PARTITION BY row_i ORDER BY col_i, p_partkey ROWS UNBOUNDED PRECEDING))::BIGINT % 256 AS decoded FROM raster")

@@ -12,6 +12,7 @@ from ..operators import rasters as P
 from ..operators import reports as Q
 from ..operators import sampling as A
 from ..operators import scenes as S
+from ..operators import shortlist as S_
 from .bridge import bridge, with_views
 from .registry import Registry
 from .scene_queries import _PX, _hav, _pixels, boxed
@@ -37,11 +38,23 @@ def particle_cloud_stats(spark, d):
     return _r(_r(D.cloud(bridge(spark, d, "particles")), 6, "clon", "clat"), 5, "p50_km", "p90_km", "max_km", "moved_km", "moved_max_km")
 
 
-@query("""WITH e AS (SELECT min(lon0) AS w, max(lon0) AS e, min(lat0) AS s, max(lat0) AS n, max(r0) + 25 AS r FROM envelope), k AS (SELECT *, r / 111.32::DOUBLE AS la, r / greatest(111.32::DOUBLE * cos(radians((s + n) / 2)), 1) AS lo FROM e)
-SELECT round(w - lo, 8) AS west, round(s - la, 8) AS south, round(e + lo, 8) AS east, round(n + la, 8) AS north FROM k""")
+_CLOUD = f"""c AS (SELECT step, avg(lon) AS clon, avg(lat) AS clat FROM particles GROUP BY step), aw AS (SELECT p.step, clon, clat, {_hav('lon', 'lat', 'clon', 'clat')} AS away FROM particles p JOIN c USING (step)),
+cl AS (SELECT step, any_value(clon) AS clon, any_value(clat) AS clat, quantile_cont(away, 0.9) AS p90 FROM aw GROUP BY step)"""
+
+
+@query(f"""WITH {_CLOUD}, e AS (SELECT min(clon) AS w, max(clon) AS e, min(clat) AS s, max(clat) AS n, max(p90) + 25 AS r FROM cl), k AS (SELECT *, r / 111.32::DOUBLE AS la, r / greatest(111.32::DOUBLE * cos(radians((s + n) / 2)), 1) AS lo FROM e)
+SELECT round(w - lo, 6) AS west, round(s - la, 6) AS south, round(e + lo, 6) AS east, round(n + la, 6) AS north FROM k""")
 def box_from_envelope(spark, d):
-    e = bridge(spark, d, "envelope").select(F.col("lon0").alias("lon"), F.col("lat0").alias("lat"), F.col("r0").alias("radius_km"))
-    return _r(D.envelope_box(e), 8, "west", "south", "east", "north")
+    """A box around the circles that hold nine tenths of the particles of each step."""
+    e = D.cloud(bridge(spark, d, "particles")).select(F.col("clon").alias("lon"), F.col("clat").alias("lat"), F.col("p90_km").alias("radius_km"))
+    return _r(D.envelope_box(e), 6, "west", "south", "east", "north")
+
+
+@query(f"""WITH {_CLOUD}, t AS (SELECT cl.step, cl.step * 6.0::DOUBLE AS hours, {_hav('o.clon', 'o.clat', 'cl.clon', 'cl.clat')} / (cl.p90 / 8) AS ratio FROM cl, (SELECT clon, clat FROM cl ORDER BY step LIMIT 1) o)
+SELECT min_by(hours, step) FILTER (ratio >= 1) AS resolvable_h, round(max(ratio), 5) AS max_ratio, max(hours) AS horizon_h FROM t""")
+def spill_age(spark, d):
+    t = D.cloud(bridge(spark, d, "particles")).select("step", (F.col("step") * F.lit(6.0)).alias("hours"), F.col("clon").alias("lon"), F.col("clat").alias("lat"), (F.col("p90_km") / 8).alias("spread_km"))
+    return S_.spill_age(t).withColumn("max_ratio", F.round("max_ratio", 5))
 
 
 MODES = [{"kx": 2e-4, "ky": 1e-4, "amplitude": 0.3, "period_h": 12.0, "px": 0.5, "py": 1.0, "pt": 0.25}, {"kx": 5e-5, "ky": 3e-4, "amplitude": 0.1, "period_h": 30.0, "px": 0.0, "py": 2.0, "pt": 1.5}]

@@ -119,11 +119,6 @@ def confidence_band(spark, d):
     return _scored(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spill_age(spark, d):
-    t = bridge(spark, d, "envelope").select(F.col("seg").alias("step"), (F.col("seg") / F.lit(2.0)).alias("hours"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat"), (F.col("r0") / 2).alias("spread_km"))
-    return S.spill_age(t).withColumn("max_ratio", F.round("max_ratio", 6))
-
-
 def candidates_export(spark, d):
     """The ranking as delimited text, nulls empty."""
     r = vessel_ranking(spark, d)
@@ -240,7 +235,6 @@ _ORACLES = {
     "vessel_ranking": f"WITH {_SCORED} SELECT rank, mmsi, total, relevant, band, round(dist_km, 3) AS dist_km, s_distance, s_time, s_trajectory, s_behaviour, s_type, s_quality FROM ranked",
     "traffic_funnel": f"WITH {_SCORED} SELECT count(*) AS seen, count(*) FILTER (relevant) AS relevant, count(*) FILTER (reports_in_window = 0) AS outside_window, count(*) FILTER (NOT relevant AND reports_in_window > 0) AS too_far FROM scored",
     "confidence_band": f"WITH {_SCORED} SELECT band, count(*) AS n FROM scored GROUP BY band",
-    "spill_age": f"WITH t AS (SELECT seg, seg / 2.0::DOUBLE AS hours, {_HAV('-89.6::DOUBLE', '28.3::DOUBLE', 'lon0', 'lat0')} / (r0 / 2) AS ratio FROM envelope) SELECT min_by(hours, seg) FILTER (ratio >= 1) AS resolvable_h, round(max(ratio), 6) AS max_ratio, max(hours) AS horizon_h FROM t",
     "candidates_export": f"WITH {_SCORED} SELECT rank, rank::STRING || ',' || mmsi || ',' || CASE WHEN relevant THEN 'yes' ELSE 'no' END || ',' || band AS line FROM ranked",
 }
 ORACLE_SQL = {k: with_views(s, "duckdb") for k, s in _ORACLES.items()}

@@ -55,16 +55,22 @@ def table(df: DataFrame) -> DataFrame:
     It goes with ``free``, or when the driver's Python ends.
     """
     spark = df.sparkSession
+    path = scratch(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wakeline_path = path
+    return out
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver's Python ends."""
     prepare(spark)
     top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
     path = f"{top}/wakeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _tables:
         atexit.register(_free_all)
     _tables[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wakeline_path = path
-    return out
+    return path
 
 
 def free(*frames: DataFrame) -> None:
