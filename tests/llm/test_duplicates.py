@@ -207,7 +207,7 @@ def brute_lines(data, least=10):
         weight = Counter(m for _, m in pairs)
         width = len(next(iter(lines.values())))
         kept = {m: [sum(weight[o] for o in lines if lines[o][k] == t[k]) >= least for k in range(width)] for m, t in lines.items()}
-        while True:
+        for _ in range(4):  # as the lines are, and three levels above
             level = {m: tuple(x if keep else None for x, keep in zip(t, kept[m])) for m, t in lines.items()}
             for m, t in level.items():
                 if sum(x is not None for x in t) >= 0.7 * width and len({i for i, o in pairs if level[o] == t}) >= least:
@@ -215,8 +215,6 @@ def brute_lines(data, least=10):
             near = {(m, k, d): next(((j, t[j]) for j in range(k + d, -1 if d < 0 else width, d) if kept[m][j]), None) for m, t in lines.items() for k in range(width) for d in (-1, 1)}
             share = lambda m, k, d: [sum(weight[o] for o, t in lines.items() if near[o, k, d] == near[m, k, d] and (not same or t[k] == lines[m][k])) for same in (True, False)]  # noqa: E731, B023
             new = {m: [keep and all(2 * a >= b for a, b in (share(m, k, -1), share(m, k, 1))) for k, keep in enumerate(row)] for m, row in kept.items()}
-            if new == kept:
-                break
             kept = new
     return {i: [x for x in lines if mask(x) not in drop] for i, lines in docs.items()}
 

@@ -8,9 +8,11 @@ others are variable.  Then kept tokens are generalised: one stays only if it dom
 where it stands, that is, if it is what half of the leaf's lines hold there that have
 the same last kept token before it, and half of those with the same next kept token
 after it.  A field's values, however frequent each is, share what stands around them
-and become variable, while the fixed words of several templates do not.  This repeats
-until no token falls.  At every level a line has one template, which counts if at
-least 70 % of its positions are kept.  Lines of which some template, or the own text,
+and become variable, while the fixed words of several templates do not.  This is done
+``LEVELS`` times, so that runs of up to twice as many fields that depend on one another
+fall from both ends; the levels are a depth of the tree and the same for all data.  At
+every level a line has one template, which counts if at least 70 % of its positions are
+kept.  Lines of which some template, or the own text,
 occurs in ``least_docs`` documents or more are dropped.
 
 Only hashes of lines are shuffled: they are made in one scan, written as a table and
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free, keyed, table
 
-DEPTH, LEAST_DOCS, AGREE, DOMINANT = 3, 10, 0.7, 0.5
+DEPTH, LEAST_DOCS, AGREE, DOMINANT, LEVELS = 3, 10, 0.7, 0.5, 3
 #: Leaves of several lines are broadcast up to this many, so lines of other leaves are not shuffled; more are joined by a shuffle.
 BROADCAST_LEAVES = 500_000
 
@@ -95,14 +97,12 @@ def recurring(rows: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, a
     kept = _few(words.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "at", "token"))
     spread = table(words.join(kept.withColumn("hit", F.lit(True)), ["leaf", "at", "token"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
     free(words)
-    templates, left = [], spread.filter("hit").count()
-    while True:
-        templates.append(table(_templates(spread, agree, len(templates))))
+    templates = [table(_templates(spread, agree, 0))]
+    for level in range(1, LEVELS + 1):
         more = generalised(spread)
         free(spread)
-        spread, before, left = more, left, more.filter("hit").count()
-        if left == before:
-            break
+        spread = more
+        templates.append(table(_templates(spread, agree, level)))
     free(spread)
     every = reduce(DataFrame.union, templates)
     holders = lines.select("rid", *LINE).join(every, LINE).select("rid", "leaf", "t1", "t2").distinct()
@@ -158,13 +158,11 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.m IS NOT NULL
       FROM m LEFT JOIN r ON m.m = r.m GROUP BY doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM g
 """
-#: The SQL has so many levels; those after the last that changes something repeat it.
-SQL_LEVELS = 8
 _LEVEL = """w{n} AS (SELECT *, last_value(CASE WHEN hit THEN row(pos, token) END IGNORE NULLS) OVER (PARTITION BY leaf, m ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   first_value(CASE WHEN hit THEN row(pos, token) END IGNORE NULLS) OVER (PARTITION BY leaf, m ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM s{n}),
 s{next} AS MATERIALIZED (SELECT leaf, m, docs, pos, token, hit AND 2 * sum(docs) OVER (PARTITION BY leaf, pos, before, token) >= sum(docs) OVER (PARTITION BY leaf, pos, before)
   AND 2 * sum(docs) OVER (PARTITION BY leaf, pos, after, token) >= sum(docs) OVER (PARTITION BY leaf, pos, after) AS hit FROM w{n}),"""
 _TEMPLATE = "SELECT {n} AS level, leaf, m, list(CASE WHEN hit THEN token END ORDER BY pos) AS template FROM s{n} GROUP BY leaf, m HAVING count(*) FILTER (hit) >= 0.7::DOUBLE * count(*)"
-ORACLE = ORACLE.replace("@LEVELS@", "\n".join(_LEVEL.format(n=n, next=n + 1) for n in range(SQL_LEVELS))).replace("@TEMPLATES@", " UNION ALL ".join(_TEMPLATE.format(n=n) for n in range(SQL_LEVELS + 1)))
+ORACLE = ORACLE.replace("@LEVELS@", "\n".join(_LEVEL.format(n=n, next=n + 1) for n in range(LEVELS))).replace("@TEMPLATES@", " UNION ALL ".join(_TEMPLATE.format(n=n) for n in range(LEVELS + 1)))
 QUERIES = {"op4_line_dedup": op4_line_dedup}
 ORACLE_SQL = {"op4_line_dedup": ORACLE}
