@@ -1,5 +1,8 @@
 """Parsing, cleaning and profiling of vessel reports on literal rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,38 @@ def test_gaps_and_completeness_use_the_vessels_own_cadence(spark):
     assert [(r.from_us, r.to_us, r.minutes) for r in R.gaps(df).collect()] == [(20 * m, 60 * m, 40.0)]
     c = R.completeness(df, ["sog"]).first()
     assert (c.accepted, c.expected, c.largest_gap_min, c.missing, c.report_share, c.field_share) == (5, 8, 40.0, 1, 0.625, 0.8)
+
+
+def test_cleaning_equals_a_plain_walk(spark):
+    """Days, silences, jumps, shared identities, the date line and null identities against one loop over each track."""
+    rng, h, rows = random.Random(3), 3_600_000_000, []
+    for v in ["calm", "jumpy", "shared", "line", None]:
+        t, x, y = 0, 179.0 if v == "line" else 10.0, 60.0 if v == "calm" else 5.0
+        for i in range(300):
+            t += 400 * h if rng.random() < 0.01 else rng.choice([0, h // 6, h // 2, 2 * h])
+            x, y = (x + 0.3 + 180) % 360 - 180 if v == "line" else x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.05, 0.05)
+            off = (i % 2 * 60 if v == "shared" else 0) + (rng.uniform(-40, 40) if v == "jumpy" and rng.random() < 0.1 else 0)
+            rows.append((v, len(rows), t, (x + off + 180) % 360 - 180, y))
+    want, last = [], {}
+    for v, _, t, x, y in rows:
+        at = last.get(v)
+        if at and at[0] == t:
+            want.append("duplicate_timestamp")
+        elif at and R.implied_knots(*map(math.radians, (*at[1:], x, y)), (t - at[0]) / h) > R.MAX_SPEED_KN:
+            want.append("impossible_speed")
+        else:
+            want.append(None)
+            last[v] = (t, x, y)
+    df = spark.createDataFrame(rows, "mmsi string, pos long, t_us long, lon double, lat double")
+    assert [r.rejected for r in R.clean(df).orderBy("pos").collect()] == want and len(set(want)) == 3
+
+
+def test_cleaning_folds_only_what_is_near_an_odd_report(spark):
+    h = 3_600_000_000
+    rows = [("v", i, i * h, 99.0 if i == 200 else i * 0.1, 0.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "mmsi string, pos long, t_us long, lon double, lat double").withColumn("_chunk", F.floor(F.col("t_us") / R.CHUNK_US))
+    found = R._with_starts(df.withColumns(R._reach(R.MAX_SPEED_KN)))
+    tied = {r.pos for r in found.filter("not (_fresh and _next_fresh)").collect()}
+    # 191: the last of the day before, since that day does not end known to be clear
+    assert {199, 200, 201} <= tied <= {191, *range(199, 400)}
+    assert R.clean(df.limit(0).drop("_chunk")).count() == 0

@@ -6,8 +6,9 @@ daily extract is parsed inside whole-stage code generation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,54 +102,99 @@ def vessels(parsed: DataFrame, fields: list[str], min_reports: int = 2) -> DataF
     return usable.groupBy("mmsi").agg(F.count(F.lit(1)).alias("reports"), *first).filter(F.col("reports") >= min_reports)
 
 
+#: A vessel's track is handled in chunks of this length, each in a task of its own.
+CHUNK_US = 86_400_000_000
+#: Directions in which reach is bounded.
+DIRECTIONS = 8
+#: More than rounding can make of a distance.
+_SLACK_KM = 1e-3
+
+
 def clean(reports: DataFrame, max_speed_kn: float = MAX_SPEED_KN) -> DataFrame:
     """Reports (mmsi, pos, t_us, lon, lat, ...) with the reason of their rejection, null if accepted.
 
     In time order each report is tested against the last one accepted: a position
     out of range, then the same instant, then an implied speed above the limit.  What
-    is decided by a report alone (no time, a bad position) is decided first.  A track
-    is cut at silences so long that no place on Earth is too far; a part in which no
-    neighbours are at the same instant or too far apart is accepted as it is, and only
-    the other parts are folded in order, many of them in one task.
+    is decided by a report alone (no time, a bad position) is decided first.  A report
+    that every earlier one can reach is accepted whichever of them was the last: a
+    fresh start.  It is found by running maxima inside the days of a vessel, which
+    meet as one row each, so no track is one task.  Only reports that are no fresh
+    start, and those just before them, are folded in order, as streams of sorted rows
+    that end where a day begins afresh.  An identity that distant vessels share has no
+    fresh start while they send: that is one stream, in bounded memory.
     """
+    prepare(reports.sparkSession)
     bad = ~F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))
     own = F.when(F.col("t_us").isNull(), "unparsable_time").when(bad, "bad_position")
-    named = reports.withColumn("_own", own)
-    w = Window.partitionBy("mmsi", F.col("_own").isNull()).orderBy("t_us", "pos")
-    gap = F.col("t_us") - F.lag("t_us").over(w)
-    # half the circumference at the limit: no later report is too fast after such a silence
-    free = F.coalesce(gap / F.lit(3.6e9) * (max_speed_kn * KM_PER_NM) > HALF_WAY_KM, F.lit(True))
-    named = named.withColumn("_part", F.sum(free.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back = lambda c: F.lag(c).over(Window.partitionBy("mmsi", F.col("_own").isNull(), "_part").orderBy("t_us", "pos"))
-    hours = (F.col("t_us") - back("t_us")) / F.lit(3.6e9)
-    fast = haversine_km(back("lon"), back("lat"), F.col("lon"), F.col("lat")) / KM_PER_NM > max_speed_kn * hours
-    named = named.withColumn("_odd", F.col("_own").isNull() & F.coalesce((hours == 0) | fast, F.lit(False)))
-    named = named.withColumn("_fold", F.max("_odd").over(Window.partitionBy("mmsi", F.col("_own").isNull(), "_part")))
-    out = named.filter(~F.col("_fold")).withColumn("rejected", F.col("_own")).drop("_own", "_part", "_odd", "_fold")
+    named = reports.withColumn("rejected", own)
+    rows = named.filter("rejected is null").withColumn("_chunk", F.floor(F.col("t_us") / CHUNK_US)).withColumns(_reach(max_speed_kn))
+    rows = _with_starts(rows)
+    lone = F.col("_fresh") & F.col("_next_fresh")
     schema = T.StructType([*reports.schema.fields, T.StructField("rejected", T.StringType())])
-    prepare(reports.sparkSession)
-    folded = named.filter("_fold").drop("_own", "_odd", "_fold").groupBy("mmsi", "_part").applyInPandas(_fold(max_speed_kn), schema)
-    return out.unionByName(folded)
+    kept = rows.filter(lone).select(*schema.names)
+    tied = rows.filter(~lone).select(*reports.columns, "_run")
+    tied = tied.repartition("mmsi", "_run").sortWithinPartitions("mmsi", "_run", "t_us", "pos")
+    return named.filter("rejected is not null").select(*schema.names).unionByName(kept).unionByName(tied.mapInPandas(_fold(max_speed_kn), schema))
+
 
+def _reach(max_speed_kn: float) -> dict[str, Column]:
+    """_g0, _g1, ...: distance at the limit since a fixed time, less the place's shadow on a direction.
 
+    A great circle is no longer than the straight line between two places on a map with
+    equal degrees, and that no longer than its greatest shadow over cos(pi / DIRECTIONS).
+    So what is greater in every _g than an earlier report is in its reach.
+    """
+    run = F.col("t_us") / F.lit(3.6e9) * F.lit(max_speed_kn * KM_PER_NM)
+    km = EARTH_RADIUS_KM / np.cos(np.pi / DIRECTIONS)
+    x, y = F.radians("lon") * km, F.radians("lat") * km
+    turn_ = 2 * np.pi / DIRECTIONS
+    return {f"_g{i}": run - (x * float(np.cos(i * turn_)) + y * float(np.sin(i * turn_))) for i in range(DIRECTIONS)}
+
+
+def _with_starts(rows: DataFrame) -> DataFrame:
+    """rows with _fresh (in reach of all earlier reports), _next_fresh (of the next report, or false) and _run.
+
+    A run is days of a vessel of which only the first is known to begin with a fresh
+    start; that is read from the least and greatest reach of each day.
+    """
+    names = [f"_g{i}" for i in range(DIRECTIONS)]
+    chunk, inside = ["mmsi", "_chunk"], Window.partitionBy("mmsi", "_chunk").orderBy("t_us", "pos")
+    days = Window.partitionBy("mmsi").orderBy("_chunk")
+    before = lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    beyond = lambda value, bound: F.coalesce(F.col(value) > bound + _SLACK_KM, F.lit(True))
+    every = lambda conditions: reduce(lambda a, b: a & b, conditions)
+    day = rows.groupBy(*chunk).agg(*[f(g).alias(g + n) for g in names for n, f in (("_least", F.min), ("", F.max))])
+    day = day.select(*chunk, *[f"{g}_least" for g in names], *[before(g, days).alias(f"{g}_before") for g in names])
+    day = day.withColumn("_cut", every(beyond(f"{g}_least", F.col(f"{g}_before")) for g in names)).drop(*[f"{g}_least" for g in names])
+    day = day.withColumns({"_run": F.sum(F.col("_cut").cast("long")).over(days), "_cut_after": F.lead("_cut").over(days)}).drop("_cut")
+    day = day.withColumnsRenamed({"mmsi": "_vessel", "_chunk": "_day"})
+    rows = rows.join(day, F.col("mmsi").eqNullSafe(F.col("_vessel")) & (F.col("_chunk") == F.col("_day")))
+    rows = rows.withColumn("_fresh", every(beyond(g, F.greatest(before(g, inside), F.col(f"{g}_before"))) for g in names))
+    return rows.withColumn("_next_fresh", F.coalesce(F.lead("_fresh").over(inside), "_cut_after", F.lit(True)))
+
+
+#: Half the circumference: after a silence in which the limit covers it no report is too fast.
 HALF_WAY_KM = 20_100.0
 
 
 def _fold(max_speed_kn: float):
-    """The reports of one stretch in time order, each tested against the last one accepted."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "pos"]).drop(columns="_part")
-        t, x, y = pdf.t_us.to_numpy(), np.radians(pdf.lon.to_numpy()), np.radians(pdf.lat.to_numpy())
-        why, last = [None] * len(pdf), -1
-        for i in range(len(pdf)):
-            if last >= 0 and t[i] == t[last]:
-                why[i] = "duplicate_timestamp"
-            elif last >= 0 and implied_knots(x[last], y[last], x[i], y[i], (t[i] - t[last]) / 3.6e9) > max_speed_kn:
-                why[i] = "impossible_speed"
-            else:
-                last = i
-        return pdf.assign(rejected=why)
+    """Sorted reports of runs, each tested against the last one accepted of its run; only that one is carried from batch to batch."""
+
+    def run(batches):
+        here = last = None
+        for pdf in batches:
+            keys = list(zip(pdf.mmsi, pdf._run))
+            ts, xs, ys, why = pdf.t_us.tolist(), np.radians(pdf.lon.to_numpy()).tolist(), np.radians(pdf.lat.to_numpy()).tolist(), []
+            for key, t, x, y in zip(keys, ts, xs, ys):
+                reason = None
+                if key == here and t == last[0]:
+                    reason = "duplicate_timestamp"
+                elif key == here and implied_knots(last[1], last[2], x, y, (t - last[0]) / 3.6e9) > max_speed_kn:
+                    reason = "impossible_speed"
+                else:
+                    here, last = key, (t, x, y)
+                why.append(reason)
+            yield pdf.drop(columns="_run").assign(rejected=why)
 
     return run
 
