@@ -18,6 +18,23 @@ def test_bracket_clamps_and_breaks_ties_to_the_earlier(spark):
     assert {r.nearest for r in asof.bracket(t.filter("t is not null"), "t", one, "step", "at", 7).collect()} == {7}
 
 
+def test_bracket_of_a_sparse_axis_needs_few_bins(spark):
+    """Silences of years beside steps of seconds, against a plain search; and an axis without steps."""
+    at = sorted({int(x) for x in np.random.default_rng(1).integers(0, 500, 60)} | {10**12, 10**12 + 3, 3 * 10**15, 3 * 10**15 + 10**9})
+    axis = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "step int, at long").repartition(5)
+    times = [*range(-3, 505, 7), 10**9, 10**12 + 1, 10**15, 2 * 10**15, 3 * 10**15 + 5, 4 * 10**15]
+    t = spark.createDataFrame([(x,) for x in times], "t long")
+    got = {r.t: (r.before, r.after, r.nearest) for r in asof.bracket(t, "t", axis, "step", "at", 1).collect()}
+    assert len(got) == len(times)
+    for x in times:
+        k = min(max(x, at[0]), at[-1])
+        i = int(np.searchsorted(at, k, "right")) - 1
+        j = min(i + 1, len(at) - 1)
+        assert got[x] == (i, j, j if at[j] - k < k - at[i] else i)
+    none = asof.bracket(t, "t", axis.limit(0), "step", "at", 1)
+    assert none.count() == len(times) and none.filter("before is not null").count() == 0
+
+
 def test_time_units(spark):
     df = spark.createDataFrame([("hours since 1970-01-01 00:00:00",), ("days since 1950-1-1",), ("fortnights since 2000-01-01",), ("hours",), (None,)], "u string")
     scale, epoch = grids.time_units(F.col("u"))
