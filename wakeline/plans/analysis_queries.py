@@ -362,10 +362,13 @@ def flags_array(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(flags, "|").alias("flags"))
 
 
-@query("SELECT mmsi, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[0,0]},\"properties\":{\"mmsi\":\"' || mmsi || '\",\"n\":' || count(*)::STRING || '}}' AS feature FROM reports GROUP BY mmsi")
+@query("SELECT mmsi, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || arg_max(round(lon * 10000)::BIGINT, (t_us, pos))::STRING || ',' || arg_max(round(lat * 10000)::BIGINT, (t_us, pos))::STRING || ']},\"properties\":{\"mmsi\":\"' || mmsi || '\",\"n\":' || count(*)::STRING || '}}' AS feature FROM reports GROUP BY mmsi")
 def geojson_feature(spark, d):
-    n = bridge(spark, d, "reports").groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("mmsi", K.feature("Point", F.array(F.lit(0), F.lit(0)), mmsi=F.col("mmsi"), n=F.col("n")).alias("feature"))
+    """Each vessel's last place and its reports, in ten-thousandths of a degree, which every engine writes alike."""
+    whole = lambda c: F.round(F.col(c) * 10000).cast("long")
+    last = F.max_by(F.array(whole("lon"), whole("lat")), F.struct("t_us", "pos"))
+    n = bridge(spark, d, "reports").groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), last.alias("place"))
+    return n.select("mmsi", K.feature("Point", F.col("place"), mmsi=F.col("mmsi"), n=F.col("n")).alias("feature"))
 
 
 ORACLE_SQL = {k: with_views(s, "duckdb") for k, s in _ORACLES.items()}
