@@ -152,7 +152,7 @@ def _reach(max_speed_kn: float) -> dict[str, Column]:
 
 
 def _with_starts(rows: DataFrame) -> DataFrame:
-    """rows with _fresh (in reach of all earlier reports), _next_fresh (of the next report, or false) and _run.
+    """rows with _fresh (in reach of all earlier reports), _next_fresh (the next report is known to be so, or there is none) and _run.
 
     A run is days of a vessel of which only the first is known to begin with a fresh
     start; that is read from the least and greatest reach of each day.
