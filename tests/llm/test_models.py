@@ -172,10 +172,56 @@ def test_toxicity_on_held_out_rows(spark):
     test = [(got[i].predicted, y) for i, y in labels if i >= 2000]
     assert sum(p == y for p, y in test) / len(test) > 0.97
     assert 0 <= got[5000].score <= 1 and got[None].score == got[0].score and got[5001].predicted == 1 and len(out) == len(data)
+    # repeated ids do not multiply the sample, and a second fit agrees
+    few = [train(frame(spark, data * 3), spark.createDataFrame(labels, "doc_id long, toxic int"), lambda i: i < 2000, sample=500) for _ in range(2)]
+    assert np.array_equal(few[0].terms, few[1].terms) and np.array_equal(few[0].w, few[1].w)
     nothing = train(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"), lambda i: i < 2000)
     assert {r.score for r in score(frame(spark, data[:5]), nothing).collect()} == {0.5}
 
 
+def test_toxicity_against_pairs_one_by_one():
+    """A refit and scores whose interactions are summed pair by pair, without the square of the sum."""
+    from wakeline.llm import toxicity
+
+    rng = random.Random(8)
+    words, y = [], []
+    for _ in range(240):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = prose(rng, 8).split() + ["Insult"] * a + ["mention"] * b + ["vile"] * (a and b)
+        rng.shuffle(w)
+        words.append(w)
+        y.append(int(a and b))
+    number = {w: int(toxicity.term_sets(pa.array([w]))[0][0]) for w in {w for ws in words for w in ws}}
+    m = toxicity.fit(np.array(y), *toxicity.term_sets(pa.array([" ".join(w) for w in words])))
+    terms = [int(t) for t in m.terms]
+    assert len(terms) >= 3
+    held = np.array([[float(t in {number[w] for w in ws}) for t in terms] for ws in words])
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i + 1, len(terms))]
+
+    def raw(w, v, bias):
+        return bias + held @ w + sum(held[:, i] * held[:, j] * float(v[i] @ v[j]) for i, j in pairs)
+
+    y = np.array(y, float)
+    p, n = y.mean(), len(y)
+    w, v, bias = np.zeros(len(terms)), np.random.default_rng(3).normal(0, 0.01, m.v.shape), math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    first, second = [0, 0, 0], [0, 0, 0]
+    for step in range(1, toxicity.STEPS + 1):
+        g = np.where(y > 0, 0.5 / p, 0.5 / (1 - p)) * (1 / (1 + np.exp(-raw(w, v, bias))) - y) / n
+        dv = toxicity.DECAY * v
+        for i, j in pairs:
+            both = float(g @ (held[:, i] * held[:, j]))
+            dv[i] += both * v[j]
+            dv[j] += both * v[i]
+        grads = [held.T @ g + toxicity.DECAY * w / len(w), dv, g.sum()]
+        first = [0.9 * x + 0.1 * d for x, d in zip(first, grads)]
+        second = [0.999 * x + 0.001 * d * d for x, d in zip(second, grads)]
+        w, v, bias = (x - toxicity.RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-9) for x, a, b in zip((w, v, bias), first, second))
+    assert np.allclose(m.w, w, atol=1e-4) and np.allclose(m.v @ m.v.T, v @ v.T, atol=1e-4) and abs(m.bias - bias) < 1e-4
+    got = m.score(*toxicity.term_sets(pa.array([" ".join(w) for w in words])))
+    assert np.allclose(got, 1 / (1 + np.exp(-raw(m.w, m.v, m.bias))), atol=1e-9)
+    assert ((got >= 0.5) == (y > 0)).mean() > 0.95
+
+
 def weighted(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
     return words, Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()

@@ -35,12 +35,12 @@ def term_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches):
-    schema = pa.schema([("toxic", pa.int32()), ("terms", pa.binary())])
+    schema = pa.schema([("_h", pa.string()), ("toxic", pa.int32()), ("terms", pa.binary())])
     for batch in batches:
         for part in chunks(batch, "text"):
             v, limits = term_sets(part.column("text"))
             v = v.astype(np.uint32)
-            yield batch_of(schema, part.column("toxic"), pa.array([v[a:b].tobytes() for a, b in zip(limits, limits[1:])], pa.binary()))
+            yield batch_of(schema, part.column("_h"), part.column("toxic"), pa.array([v[a:b].tobytes() for a, b in zip(limits, limits[1:])], pa.binary()))
 
 
 class Machine:
@@ -153,13 +153,14 @@ def _fit_task(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """A machine from at most ``sample`` labelled rows for which ``usable`` (a predicate on the id) holds."""
+    """A machine from at most ``sample`` labelled rows (those of the smallest id hash, repeated ids included) for which ``usable`` (a predicate on the id) holds."""
     prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter("_id is not null and toxic is not null").filter(usable(F.col("_id")))
-    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample)
+    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.md5(F.col("_id").cast("string"))).orderBy("_h", "_id").limit(sample)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(known), "_id").select("toxic", "text").mapInArrow(_features, "toxic int, terms binary")
-    found = rows.repartition(1).mapInArrow(_fit_task, "term long, w double, v array<double>").orderBy("term").collect()  # at most TERMS + PAIRED + 1 rows
+    rows = text.join(F.broadcast(known), "_id").select("_h", "toxic", "text").mapInArrow(_features, "_h string, toxic int, terms binary")
+    # repeated ids must not multiply the sample; in one order, sums of a refit agree
+    found = rows.orderBy("_h", "terms").limit(sample).mapInArrow(_fit_task, "term long, w double, v array<double>").orderBy("term").collect()  # at most TERMS + PAIRED + 1 rows
     if not found:
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     return Machine(np.array([r.term for r in found[1:]], np.uint64), np.array([r.w for r in found[1:]]), np.array([r.v for r in found[1:]]).reshape(-1, FACTORS), found[0].w)
