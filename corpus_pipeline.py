@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.llm.common import table
+from wakeline.llm.common import free, table
 from wakeline.llm.decontamination import decontaminate
 from wakeline.llm.minhash import near_duplicates
 from wakeline.llm.mixing import mix
@@ -94,5 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir))
+        before, docs = docs, table(stage(spark, docs, sf_dir))
+        free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
