@@ -139,6 +139,15 @@ def test_blended_tiles_hold_every_cell(spark):
         stencils.overlapping(raster(spark, v), 6, 5, 1)
 
 
+def test_tiles_of_a_cell_are_counted_from_it(spark):
+    """Two cells of a scene of two thousand million rows: what a cell costs must not follow the extent."""
+    far = 2_000_000_000
+    cells = spark.createDataFrame([("s", 0, 0), ("s", far, 4)], "scene string, row_i int, col_i int")
+    got = stencils.overlapping(cells, 8, 5, 1).collect()
+    last, weight = far - 7, {(r.row_i, r.tile_row): (r.tile_col, r.weight) for r in got}
+    assert weight == {(0, 0): (0, 1.0), (far, last): (0, 1.0), **{(far, s): (0, 0.0) for s in range(far // 5 * 5, far - 8, -5) if s < last}}
+
+
 def test_features_do_not_follow_gain_and_offset(spark):
     v = np.random.default_rng(9).normal(-20, 1, (16, 16))
     v[5:10, 4:11] -= 7
