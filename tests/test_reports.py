@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import codes
 from wakeline.operators import reports as R
+from wakeline.operators import shortlist
 from wakeline.sources import ais_csv
 
 ROWS = [
@@ -105,3 +106,10 @@ def test_cleaning_folds_only_what_is_near_an_odd_report(spark):
     # 191: the last of the day before, since that day does not end known to be clear
     assert {199, 200, 201} <= tied <= {191, *range(199, 400)}
     assert R.clean(df.limit(0).drop("_chunk")).count() == 0
+
+
+def test_points_of_a_tie_go_up(spark):
+    """5 * 0.67 is 3.35, which doubles put just below the tie."""
+    at = [3.3499999999999996, 3.35, 3.3499999, 4.25, 7.0, -1.0, 0.05]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "i int, x double").select("i", shortlist._points(F.col("x"), 5).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == [3.4, 3.4, 3.3, 4.3, 5.0, 0.0, 0.1]

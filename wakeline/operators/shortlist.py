@@ -58,7 +58,8 @@ def slowest_near(joined: DataFrame, near: DataFrame, seconds: int = 3600) -> Dat
 
 
 def _points(x: Column, most: int) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), x)), 1)
+    """Points from 0 to most, to a tenth; a half of one goes up, also where doubles put the product just below it."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), x)) * 10) / 10
 
 
 def score(joined: DataFrame, static: DataFrame, axis_deg: float, rejected: DataFrame | None = None) -> DataFrame:
