@@ -58,6 +58,22 @@ def test_dropped_vertices_lie_within_the_tolerance(spark):
     assert outlines.simplified(v.limit(0), "ring", 1.0).count() == 0
 
 
+def test_short_rings_need_no_rounds(spark, monkeypatch):
+    """Rings inside tasks keep what the rounds keep, ties included, and rounds are for long rings only."""
+    rng = np.random.default_rng(8)
+    data = [(k, n + 1, float(x), float(y)) for k, size in enumerate([1, 2, 3, 40, 400, 90]) for n, (x, y) in enumerate(rng.integers(0, 12, (size, 2)))]
+    v = spark.createDataFrame(data, "ring int, n int, x double, y double").repartition(3)
+    rows = lambda: sorted(map(tuple, outlines.simplified(v, "ring", 4.0).collect()))
+    rounds = outlines._in_rounds
+    monkeypatch.setattr(outlines, "_in_rounds", None)
+    short = rows()
+    monkeypatch.setattr(outlines, "_in_rounds", rounds)
+    monkeypatch.setattr(outlines, "SHORT_RING", 50)
+    assert 6 < len(short) < len(data) and rows() == short
+    monkeypatch.setattr(outlines, "SHORT_RING", 0)
+    assert rows() == short
+
+
 def test_back_off_and_notes(spark):
     shapes = {"square": [(0, 0), (5, 0.1), (10, 0), (10, 10), (0, 10)], "bow": [(0, 0), (20, 20), (20, 0), (0, 20)], "sliver": [(0, 0), (50, 1), (100, 0), (50, 0.5)]}
     v = spark.createDataFrame([(k, n + 1, float(x), float(y)) for k, p in shapes.items() for n, (x, y) in enumerate(p)], "ring string, n int, x double, y double")
