@@ -128,6 +128,20 @@ def test_candidates_of_near_copies_grow_with_their_number(spark):
     assert sum(counts[600]) <= 6 * sum(counts[150])
 
 
+def test_near_copies_meet_few_hubs(spark, monkeypatch):
+    """The buckets of a group agree on their hubs: a member does not meet one for each of its buckets."""
+    from wakeline.llm import minhash
+
+    rng = random.Random(8)
+    base = prose(rng, 150)
+    data = [(i, edited(rng, base, rng.choice([0.01, 0.03, 0.05])), None, None, None) for i in range(300)]
+    asked, compare = [], minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda pairs, *rest: asked.append(pairs.count()) or compare(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=2).collect()}
+    assert got == brute_components(data, 2)
+    assert sum(asked) <= 1.5 * len(data), asked
+
+
 def test_rows_without_a_key_of_their_own(spark):
     data = [(1, "a b c", None, None, None), (1, "a b c", None, None, None), (None, "a b c", None, None, None), (None, None, None, None, None)]
     got = near_duplicates(frame(spark, data), k=2).collect()
