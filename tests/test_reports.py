@@ -113,3 +113,19 @@ def test_points_of_a_tie_go_up(spark):
     at = [3.3499999999999996, 3.35, 3.3499999, 4.25, 7.0, -1.0, 0.05]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "i int, x double").select("i", shortlist._points(F.col("x"), 5).alias("p")).orderBy("i").collect()
     assert [r.p for r in got] == [3.4, 3.4, 3.3, 4.3, 5.0, 0.0, 0.1]
+
+
+def test_cleaning_reads_its_reports_once(spark):
+    """What makes the reports is not run again for each part of them."""
+    h, seen = 3_600_000_000, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [("v", i, i * h, 99.0 if i in (70, 130) else i * 0.1, 0.0) for i in range(200)] + [("v", 200, None, 1.0, 1.0), ("w", 201, 0, 999.0, 0.0)]
+    schema = "mmsi string, pos long, t_us long, lon double, lat double"
+    got = R.clean(spark.createDataFrame(rows, schema).mapInPandas(counted, schema)).collect()
+    assert {r.pos: r.rejected for r in got if r.rejected} == {70: "impossible_speed", 130: "impossible_speed", 200: "unparsable_time", 201: "bad_position"}
+    assert len(got) == len(rows) == seen.value

@@ -7,6 +7,7 @@ daily extract is parsed inside whole-stage code generation.
 from __future__ import annotations
 
 from functools import reduce
+from math import asin, cos, sin, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import codes
 from ..functions.geo import EARTH_RADIUS_KM, bearing_deg, haversine_km
-from ..session import prepare
+from ..session import table
 
 RAW_COLUMNS = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "COG", "Heading", "VesselName", "IMO", "CallSign", "VesselType", "Status", "Length", "Width", "Draft", "Cargo", "TransceiverClass"]
 # Texts that stand for nothing.
@@ -122,13 +123,16 @@ def clean(reports: DataFrame, max_speed_kn: float = MAX_SPEED_KN) -> DataFrame:
     start, and those just before them, are folded in order, as streams of sorted rows
     that end where a day begins afresh.  An identity that distant vessels share has no
     fresh start while they send: that is one stream, in bounded memory.
+
+    The reports, and then those with their starts, are written as tables, as each is
+    read several times: the plan of the reports runs once.  Their columns all go
+    through every step, so select what is needed before.
     """
-    prepare(reports.sparkSession)
     bad = ~F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))
     own = F.when(F.col("t_us").isNull(), "unparsable_time").when(bad, "bad_position")
-    named = reports.withColumn("rejected", own)
+    named = table(reports.withColumn("rejected", own))
     rows = named.filter("rejected is null").withColumn("_chunk", F.floor(F.col("t_us") / CHUNK_US)).withColumns(_reach(max_speed_kn))
-    rows = _with_starts(rows)
+    rows = table(_with_starts(rows).select(*reports.columns, "rejected", "_fresh", "_next_fresh", "_run"))
     lone = F.col("_fresh") & F.col("_next_fresh")
     schema = T.StructType([*reports.schema.fields, T.StructField("rejected", T.StringType())])
     kept = rows.filter(lone).select(*schema.names)
@@ -201,8 +205,8 @@ def _fold(max_speed_kn: float):
 
 def implied_knots(x1, y1, x2, y2, hours):
     """Speed between two places in radians."""
-    a = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
-    return 2 * EARTH_RADIUS_KM * np.arcsin(min(1.0, np.sqrt(a))) / KM_PER_NM / hours
+    a = sin((y2 - y1) / 2) ** 2 + cos(y1) * cos(y2) * sin((x2 - x1) / 2) ** 2
+    return 2 * EARTH_RADIUS_KM * asin(min(1.0, sqrt(a))) / KM_PER_NM / hours
 
 
 def gaps(reports: DataFrame, factor: float = GAP_FACTOR) -> DataFrame:

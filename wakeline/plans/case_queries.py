@@ -254,7 +254,8 @@ k AS (SELECT w0.*, count(*) OVER (PARTITION BY w0.mmsi) AS n FROM w0 JOIN walk O
 SELECT mmsi, count(*) AS kept, any_value(read) AS read, min(t_us) AS first_us, max(t_us) AS last_us, round(min(sog), 2) AS min_sog, round(median(sog), 2) AS median_sog, round(max(sog), 2) AS max_sog FROM k WHERE n >= 2 GROUP BY mmsi""".replace("WITH \n", "WITH RECURSIVE \n", 1))
 def feed_loader(spark, d):
     """Parse, padded window, box, cleaning and both minimum counts."""
-    fed = S.feed(R_.parse(bridge(spark, d, "raw")), START_US, _END, (-150.0, -10.0, 150.0, 80.0), 20 * 86_400_000_000)
+    parsed = R_.parse(bridge(spark, d, "raw")).select("mmsi", "pos", "t_us", "lon", "lat", "sog", "disposition")
+    fed = S.feed(parsed, START_US, _END, (-150.0, -10.0, 150.0, 80.0), 20 * 86_400_000_000)
     return S.feed_counts(fed)
 
 
