@@ -71,6 +71,32 @@ def test_perplexities_match_brute_force(spark, shards, monkeypatch):
     assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", texts[i][1])) + 1 and math.isclose(p, want[i], rel_tol=1e-9) for i, (n, p) in got.items())
 
 
+def test_quality_frees_the_disk_of_each_part(spark, monkeypatch):
+    """Texts are scored in parts, no shuffle of an earlier step stays on disk, and the session is as before."""
+    from wakeline.llm import quality as Q
+
+    rng, key = random.Random(21), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    data = [(i, prose(rng, rng.randint(0, 120)), None, None, None) for i in range(400)] + [(900, None, None, None, None), (901, "", None, None, None)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(400)], "doc_id long, quality int")
+    run = lambda: {r.doc_id: (r.perplexity, r.limit, r.rejected) for r in quality(frame(spark, data), labels).collect()}
+    whole, asked, write = run(), [], Q.table
+
+    def counted(df):
+        out = write(df)
+        asked.append((spark.conf.get(key), out.count() if "perplexity" in out.columns else None))
+        return out
+
+    monkeypatch.setattr(Q, "table", counted)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(Q, "PART_BLOCKS", 2, raising=False)
+    before = spark.conf.get(key)
+    got = run()
+    assert spark.conf.get(key) == before and {x for x, _ in asked} == {"true"}
+    counts = [n for _, n in asked if n is not None]
+    assert sum(counts) == len(data) and max(counts) < 0.5 * len(data), counts
+    assert got.keys() == whole.keys() and all(g[2] == w[2] and g[:2] == pytest.approx(w[:2], rel=1e-9) for g, w in ((got[i], whole[i]) for i in got))
+
+
 def test_quality_limits_by_language(spark):
     """Limits, and what they reject, recomputed from the perplexities: one language has few trusted rows, one none."""
     rng = random.Random(8)

@@ -10,7 +10,8 @@ pairs (continuation counts, and for each first word how its followers are counte
 again by shards.  Scores: texts are gathered, compressed, in blocks of some megabytes; a
 block asks each shard for its distinct pairs and words, the shards answer, and the
 answers meet the texts in their block.  Asked keys travel sorted, as differences in
-byte planes, which takes about three bytes each.  No count
+byte planes, which takes about three bytes each.  Large tables are scored in a few parts,
+one after another, so that only a part's texts, questions and answers are on disk.  No count
 passes through the driver (it sees sums of counts of counts), nothing that grows is
 broadcast, and the number of shards grows with the text.
 
@@ -20,15 +21,19 @@ million pairs in a shard one question in a million gets another pair's count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, cut, free, keyed, mix, row_sums, table, utf8, word_hashes
+from .common import batch_of, brief_shuffles, chunks, cut, free, keyed, mix, row_sums, table, utf8, word_hashes
 
 #: Text bytes that a task counts, or asks about, at once; of a shard; and that are hashed at once.
 BLOCK_BYTES, SHARD_BYTES, HASHED_BYTES = 8 << 20, 32 << 20, 1 << 20
+#: Parts in which texts are scored, and blocks that a part has at least.
+PARTS, PART_BLOCKS = 3, 8
 #: Trusted ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of trusted documents, the share whose perplexities set the limits, not the counts.
@@ -195,8 +200,9 @@ class Model:
     def __init__(self, trusted: DataFrame, shards: int):
         self.shards = shards
         counted = trusted.select("text").mapInArrow(_count(shards), "shard int, h binary, w binary, c binary")
-        self.pairs = table(counted.groupBy("shard").applyInArrow(_merge(shards), _MODEL_SQL))
-        self.words = table(self.pairs.filter("kind = 1").groupBy("shard").applyInArrow(_words(shards), _MODEL_SQL))
+        with brief_shuffles(trusted.sparkSession):
+            self.pairs = table(counted.groupBy("shard").applyInArrow(_merge(shards), _MODEL_SQL))
+            self.words = table(self.pairs.filter("kind = 1").groupBy("shard").applyInArrow(_words(shards), _MODEL_SQL))
         two, one = (self._sums(t) for t in (self.pairs, self.words))
         self.d2, self.d1 = discounts(*two[:4]), discounts(*one[:4])
         # of single words: the distinct pairs in all, the mass left to words never seen, and their number
@@ -344,13 +350,21 @@ def _score(shards: int, numbers: tuple):
 
 
 def perplexities(rows: DataFrame, model: Model) -> DataFrame:
-    """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is a table of its own."""
+    """rid, n, perplexity of rows (rid, text not null); n counts words and the stop.  The result is read from tables of its own."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = rows.select("rid", "text").mapInArrow(_pack(max(1, -(-size // BLOCK_BYTES))), _PACKED_SQL)
+    parts = min(PARTS, max(1, size // (BLOCK_BYTES * PART_BLOCKS)))
+    blocks = max(1, -(-size // (BLOCK_BYTES * parts)))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("rid")), F.lit(parts))
+    with brief_shuffles(rows.sparkSession):
+        return reduce(DataFrame.union, [table(_scored(rows.filter(part == i), model, blocks)) for i in range(parts)])
+
+
+def _scored(rows: DataFrame, model: Model, blocks: int) -> DataFrame:
+    packed = rows.select("rid", "text").mapInArrow(_pack(blocks), _PACKED_SQL)
     asked = packed.groupBy("block").applyInArrow(_ask(model.shards), "shard int, block int, words binary, pairs binary")
     shards = model.pairs.filter("kind = 0").withColumn("of", F.lit("pairs")).unionByName(model.words.filter("kind = 0").withColumn("of", F.lit("words")))
     reply = asked.groupBy("shard").cogroup(shards.select("shard", "of", "keys", "data").groupBy("shard")).applyInArrow(_reply, "shard int, block int, words array<binary>, pairs binary")
-    return table(packed.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(model.shards, model.numbers()), "rid long, n long, perplexity double"))
+    return packed.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(model.shards, model.numbers()), "rid long, n long, perplexity double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
