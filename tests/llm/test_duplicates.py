@@ -142,6 +142,59 @@ def test_near_copies_meet_few_hubs(spark, monkeypatch):
     assert sum(asked) <= 1.5 * len(data), asked
 
 
+def test_near_copies_whose_first_ids_are_far_out(spark, monkeypatch):
+    """The copies that differ most have the ids whose hashes come first: the group still meets a copy in its middle, and few meet by registers."""
+    from wakeline.llm import minhash
+
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    copies = [edited(rng, base, 0.2 * (1 - i / 300) ** 2) for i in range(300)]
+    ids = [r.id for r in spark.range(300).orderBy(F.xxhash64("id")).collect()]
+    data = [(i, t, None, None, None) for i, t in zip(ids, copies)]
+    met, calls = [], minhash._calls
+
+    def counted(units, kernel, rows):
+        out = calls(units, kernel, rows)
+        if "_by_registers" in kernel.__qualname__:
+            met.append((units.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_calls", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, data), k=2).collect()}
+    assert got == brute_components(data, 2)
+    assert sum(out for _, out in met) <= len(data), met
+
+
+def test_pairs_that_meet_by_registers():
+    """Each pair once, in its first band, and not if both were compared with the hub."""
+    import pyarrow as pa
+
+    from wakeline.llm import minhash as M
+
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{rng.random()}" for w in base) for _ in range(90)]
+    v, limits = M.set_hashes(pa.array(texts), 2)
+    regs = M.registers(v, limits)
+    same = M.equal_registers(regs)
+    assert (same == [[((x == y) & (x > 0)).sum() for y in regs] for x in regs])[~np.eye(90, dtype=bool)].all()
+    keys = M.band_keys(regs)
+    run, n = M._by_registers(0.8), np.diff(limits)
+
+    def pairs(band, far):
+        at = np.flatnonzero(keys[:, band] == Counter(keys[:, band]).most_common(1)[0][0])
+        columns = {"rid": at, "unit": 0 * at, "root": at, "side": 0 * at, "n": n[at], "far": far[at], "band": np.full(len(at), band, np.int32), "regs": pa.array([regs[i].tobytes() for i in at], pa.binary())}
+        return at, set(zip(*run(None, pa.table(columns)).to_pydict().values()))
+
+    for band in (0, 3):
+        at, found = pairs(band, np.ones(90, bool))
+        new = {(x, y) for x in at for y in at if x < y and (keys[x, :band] != keys[y, :band]).all()}
+        near = lambda x, found=found: {x} | {b for a, b in found if a == x} | {a for a, b in found if b == x}
+        assert len(at) > 20 and new and all(near(x) & near(y) for x, y in new)
+        assert all((min(p), max(p)) in new for p in found)
+        assert not pairs(band, np.zeros(90, bool))[1]
+
+
 def test_rows_without_a_key_of_their_own(spark):
     data = [(1, "a b c", None, None, None), (1, "a b c", None, None, None), (None, "a b c", None, None, None), (None, None, None, None, None)]
     got = near_duplicates(frame(spark, data), k=2).collect()
