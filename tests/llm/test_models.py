@@ -248,6 +248,21 @@ def test_toxicity_against_pairs_one_by_one():
     assert ((got >= 0.5) == (y > 0)).mean() > 0.95
 
 
+def test_toxicity_of_texts_without_known_terms(spark):
+    """Texts that hold terms, but none of the machine's, and are scored with no other text beside them."""
+    from wakeline.llm import toxicity
+
+    m = toxicity.fit(np.array([1] * 30 + [0] * 30), *toxicity.term_sets(pa.array(["insult vile"] * 30 + ["mention kind"] * 30)))
+    assert len(m.terms) == 4 and len(m.score(*toxicity.term_sets(pa.array([], pa.string())))) == 0
+    data = [(i, t, "en", "web", None) for i, t in enumerate(["zzz", "insult vile zzz", None, "qqq zzz", "mention kind", ""])]
+    alone = [float(m.score(*toxicity.term_sets(pa.array([d[1]], pa.string())))[0]) for d in data]
+    assert {alone[i] for i in (0, 2, 3, 5)} == {alone[0]} and abs(alone[0] - 1 / (1 + math.exp(-m.bias))) < 1e-12
+    assert alone[1] > 0.7 and alone[4] < 0.3
+    got = {r.doc_id: r.score for r in score(frame(spark, data).coalesce(1), m).collect()}
+    for i, d in enumerate(data):  # a table of one row is one batch
+        assert score(frame(spark, [d]), m).first().score == got[i] == alone[i]
+
+
 def weighted(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
     return words, Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()

@@ -62,7 +62,8 @@ class Machine:
 
 def _raw(w, v, at, row, rows):
     """sum w + (|sum v|^2 - sum |v|^2) / 2 for each row."""
-    z = np.bincount(row, w[at], rows)
+    z = np.zeros(rows)
+    z += np.bincount(row, w[at], rows)  # without terms its counts are whole numbers, to which no fraction can be added
     for f in range(v.shape[1]):
         x = v[at, f]
         s = np.bincount(row, x, rows)
